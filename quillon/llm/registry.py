@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import op01_topk, op03_mix, op06_ring
+from . import op01_topk, op02_tokens, op03_mix, op05_fingerprints, op06_ring, op10_pack
 
 MODULES = {
     "op1_topk": op01_topk,
+    "op2_tokens": op02_tokens,
     "op3_mix": op03_mix,
+    "op5_fingerprints": op05_fingerprints,
     "op6_ring": op06_ring,
+    "op10_pack": op10_pack,
 }
 
 
