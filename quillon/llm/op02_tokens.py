@@ -1,7 +1,8 @@
 """Token counts by a count-only Viterbi over a unigram vocabulary.
 
 Words are what follows each space, with the space written as U+2581 before it
-(a text that doesn't start with a space gets one).  An Aho-Corasick automaton
+(a text that doesn't start with a space gets one); a U+2581 in the text counts
+as a space.  An Aho-Corasick automaton
 enumerates the vocabulary's matches that end at each character; dynamic
 programming keeps, per character, the best score and the number of pieces of
 the path that has it, no path itself.
@@ -81,7 +82,7 @@ class Unigram:
         return count[n], best[n]
 
     def count(self, text: str) -> tuple[int, float]:
-        words = text.split(" ")
+        words = text.replace(SPACE, " ").split(" ")
         if not words[0]:
             words = words[1:]
         if len(words) == 1 and not text:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_topk, op02_tokens, op03_mix, op05_fingerprints, op06_ring, op10_pack
+from . import op01_topk, op02_tokens, op03_mix, op05_fingerprints, op06_ring, op07_toxicity, op08_quality, op10_pack
 
 MODULES = {
     "op1_topk": op01_topk,
@@ -10,6 +10,8 @@ MODULES = {
     "op3_mix": op03_mix,
     "op5_fingerprints": op05_fingerprints,
     "op6_ring": op06_ring,
+    "op7_toxicity": op07_toxicity,
+    "op8_quality": op08_quality,
     "op10_pack": op10_pack,
 }
 
