@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op01_topk, op02_tokens, op03_mix, op05_fingerprints, op06_ring, op07_toxicity, op08_quality, op10_pack
+from . import op01_topk, op02_tokens, op03_mix, op04_jaccard, op05_fingerprints, op06_ring, op07_toxicity, op08_quality, op10_pack
 
 MODULES = {
     "op1_topk": op01_topk,
     "op2_tokens": op02_tokens,
     "op3_mix": op03_mix,
+    "op4_jaccard": op04_jaccard,
     "op5_fingerprints": op05_fingerprints,
     "op6_ring": op06_ring,
     "op7_toxicity": op07_toxicity,
