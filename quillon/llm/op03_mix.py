@@ -22,7 +22,9 @@ are a prefix, so a window over the list of sources (as many rows as there are
 sources) finds the level.
 
 Prefix sums of words are in two steps (cells of about ``CELL`` documents, then
-the cells of a source), so a hot source isn't one task's.
+the cells of a source), so a hot source isn't one task's.  Joins that grow with
+the input are asked to merge: Spark's estimate of a table that is generated from
+the small list of sources would let it broadcast them.
 
 Defined results: null texts have no words; documents without words take 0.  A
 null source is a source of its own, null ids and repeated rows are documents of
@@ -43,6 +45,7 @@ CELL = 4096
 PIECE = 4096
 ROUNDS = 20
 SHARD_SLOTS = 4096
+MOST_TASKS = 20_000
 P = (1 << 31) - 1
 
 
@@ -111,6 +114,8 @@ class Mix:
         by_source = by_source.withColumn("blocks", blocks).withColumn("quota", F.least(F.round(ratio * blocks).cast("long"), cap * blocks))
         ends = F.sum("quota").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
         self.sources = stored(by_source.withColumn("first", ends - F.col("quota")).withColumn("slots", F.sum("quota").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))), "mix-sources")
+        total = self.sources.agg(F.max("slots")).first()[0] or 0
+        self.tasks = int(min(MOST_TASKS, total // (8 * PIECE) + 1))
         cell = F.coalesce(F.pmod(F.pmod(F.col("doc_id"), F.lit(P)) * F.lit(48271) % F.lit(P), F.lit(cells)), F.lit(0))
         sums = rows.withColumn("cell", cell).groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
         before = F.sum("cell_size").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("cell_size")
@@ -119,7 +124,7 @@ class Mix:
         named = self.sources.select(F.col("source").alias("s_source"), "s", "source_size", "target", "blocks")
         self.docs = (
             rows.withColumn("cell", cell).withColumn("inside", inside)
-            .join(sums, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("cell") == F.col("c_cell")))
+            .join(sums.hint("merge"), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("cell") == F.col("c_cell")))
             .withColumn("start", F.col("before") + F.col("inside"))
             .join(named, F.col("source").eqNullSafe(F.col("s_source")))
             .select("doc_id", "source", "s", "size", "start", "source_size", "target")
@@ -127,7 +132,7 @@ class Mix:
 
     def slots(self) -> DataFrame:
         """A row for each slot of the output: shard, slot, s, pass, block."""
-        pieces = self.sources.where(F.col("quota") > 0).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / PIECE).cast("long")))).repartition(F.col("s"), F.col("piece"))
+        pieces = self.sources.where(F.col("quota") > 0).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / PIECE).cast("long")))).repartition(self.tasks, F.col("s"), F.col("piece"))
         j = F.explode(F.sequence(F.col("piece") * PIECE, F.least((F.col("piece") + 1) * PIECE, F.col("quota")) - 1))
         d = pieces.withColumn("j", j).withColumn("pass", F.floor(F.col("j") / F.col("blocks")).cast("long"))
         place = permuted(F.col("first") + F.col("j"), F.col("slots"), F.lit(0).cast("long"))
@@ -146,9 +151,9 @@ class Mix:
     def taken(self) -> DataFrame:
         """The documents with the words that the mix takes from each, repeats counted."""
         uses = self.slots().groupBy("s", "block").agg(F.count("*").alias("uses"))
-        words = self.pieces().join(uses, ["s", "block"]).groupBy("s", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+        words = self.pieces().join(uses.hint("merge"), ["s", "block"]).groupBy("s", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
         named = words.select(F.col("s").alias("t_s"), F.col("start").alias("t_start"), "taken")
-        return self.docs.join(named, (F.col("s") == F.col("t_s")) & (F.col("start") == F.col("t_start")) & (F.col("size") > 0), "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+        return self.docs.join(named.hint("merge"), (F.col("s") == F.col("t_s")) & (F.col("start") == F.col("t_start")) & (F.col("size") > 0), "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
     def texts(self, docs: DataFrame) -> DataFrame:
         """The mixed documents: for each pass over its source, the taken words of a document as a row.
@@ -158,9 +163,9 @@ class Mix:
         """
         b = self.block
         uses = self.slots().select("s", "block", "pass").distinct()
-        parts = self.pieces().join(uses, ["s", "block"]).groupBy("s", "start", "pass").agg(F.sort_array(F.collect_list("block")).alias("taken_blocks"))
+        parts = self.pieces().join(uses.hint("merge"), ["s", "block"]).groupBy("s", "start", "pass").agg(F.sort_array(F.collect_list("block")).alias("taken_blocks"))
         where = self.docs.where(F.col("size") > 0).select(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size"), "source", "s", "start")
-        plan = where.join(parts, ["s", "start"])
+        plan = where.join(parts.hint("merge"), ["s", "start"])
         order = Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text"))
         rows = docs.withColumn("size", sized(docs))
         same = Window.partitionBy("m_id", "source", "m_size")
@@ -169,7 +174,7 @@ class Mix:
         words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
         first = F.col("start")
         cut = F.transform(F.col("taken_blocks"), lambda k: F.slice(F.col("words"), F.greatest(k * b - first + 1, F.lit(1)).cast("int"), (F.least((k + 1) * b - first, F.col("size")) - F.greatest(k * b - first, F.lit(0))).cast("int")))
-        out = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size")) & (rows["copy"] == plan["copy"]))
+        out = rows.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size")) & (rows["copy"] == plan["copy"]))
         text = F.concat_ws("", F.flatten(cut))
         return out.withColumn("words", words).withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
