@@ -106,7 +106,7 @@ class Mix:
     def __init__(self, docs: DataFrame, *, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, cap: int = 3):
         self.block, self.cap = block, cap
         # The ids, sources and sizes alone go through the plan.
-        rows = stored(docs.select("doc_id", "source", sized(docs).alias("size")), "mix")
+        rows = stored(docs.select("doc_id", "source", sized(docs).alias("size"), F.xxhash64("text").alias("th")), "mix")
         cells = max(1, rows.count() // CELL)
         by_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
         blocks = F.ceil(F.col("source_size") / block).cast("long")
@@ -127,7 +127,7 @@ class Mix:
             .join(sums.hint("merge"), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("cell") == F.col("c_cell")))
             .withColumn("start", F.col("before") + F.col("inside"))
             .join(named, F.col("source").eqNullSafe(F.col("s_source")))
-            .select("doc_id", "source", "s", "size", "start", "source_size", "target")
+            .select("doc_id", "source", "s", "size", "start", "source_size", "target", "th")
         )
 
     def slots(self) -> DataFrame:
@@ -164,17 +164,14 @@ class Mix:
         b = self.block
         uses = self.slots().select("s", "block", "pass").distinct()
         parts = self.pieces().join(uses.hint("merge"), ["s", "block"]).groupBy("s", "start", "pass").agg(F.sort_array(F.collect_list("block")).alias("taken_blocks"))
-        where = self.docs.where(F.col("size") > 0).select(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size"), "source", "s", "start")
-        plan = where.join(parts.hint("merge"), ["s", "start"])
-        order = Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text"))
-        rows = docs.withColumn("size", sized(docs))
-        same = Window.partitionBy("m_id", "source", "m_size")
-        plan = plan.withColumn("copy", F.dense_rank().over(same.orderBy("start"))).withColumnRenamed("source", "m_source")
-        rows = rows.withColumn("copy", F.row_number().over(order))
+        where = self.docs.where(F.col("size") > 0).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("th").alias("m_th"), "size", "s", "start")
+        plan = where.join(parts.hint("merge"), ["s", "start"]).select("m_id", "m_source", "m_th", "size", "start", "taken_blocks")
+        # Rows that repeat in every column have places of their own in the plan, and one row here.
+        rows = docs.select(*docs.columns, F.xxhash64("text").alias("_th")).dropDuplicates(["doc_id", "source", "_th"])
         words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
         first = F.col("start")
         cut = F.transform(F.col("taken_blocks"), lambda k: F.slice(F.col("words"), F.greatest(k * b - first + 1, F.lit(1)).cast("int"), (F.least((k + 1) * b - first, F.col("size")) - F.greatest(k * b - first, F.lit(0))).cast("int")))
-        out = rows.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size")) & (rows["copy"] == plan["copy"]))
+        out = rows.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("_th") == F.col("m_th")))
         text = F.concat_ws("", F.flatten(cut))
         return out.withColumn("words", words).withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -321,6 +321,18 @@ def join(docs: DataFrame, *, threshold: Fraction = THRESHOLD, tile: int = TILE,
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), "th", "root")
 
 
+def representatives(docs: DataFrame, **kinds) -> DataFrame:
+    """One document of each class, the one that names it; texts without words stay."""
+    linked = join(docs, **kinds)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    best = linked.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.th")
+    best = best.unionByName(linked.where(F.col("root").isNull()).select("doc_id", "th").distinct())
+    best = best.select(F.col("doc_id").alias("_b_id"), F.col("th").alias("_b_th"))
+    rows = docs.select(*docs.columns, F.xxhash64("text").alias("_th"))
+    kept = rows.join(best.hint("merge"), (F.col("_th") == F.col("_b_th")) & F.col("doc_id").eqNullSafe(F.col("_b_id")), "left_semi")
+    return kept.dropDuplicates(["_th", "doc_id"]).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
 

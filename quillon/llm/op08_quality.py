@@ -21,11 +21,13 @@ among them (0.5 if there are none).  Each row of the table gives one row.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out, labelled_sample, mixed, ready, spread, table, text_or_empty
 
@@ -226,23 +228,28 @@ def fit(sample: DataFrame) -> tuple[dict[str, np.ndarray], Network]:
     return pickle.loads(got[0].model) if got else ({}, Network(0.5))
 
 
-def score(docs: DataFrame, model: tuple[dict, Network], *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document, and the columns in ``keep``."""
-    spark = ready(docs.sparkSession)
-    sent = spark.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: tuple[dict, Network]):
+    """A column function: text (never null) to its score."""
+    import pandas as pd
 
-    def run(batches):
+    sent = ready(spark).sparkContext.broadcast(model)
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         context, net = sent.value
         pooler = Pooler(context)
-        for b in batches:
-            for at in range(0, b.num_rows, GROUP):
-                part = b.slice(at, GROUP)
-                s = net.score(pooler.pool(part.column(2).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32()), *part.columns[3:]], ["doc_id", "held_out", "score", "predicted", *(f"kept_{i}" for i in range(len(keep)))])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
-    kinds = "".join(f", kept_{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(keep))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + kinds)
+        for p in parts:
+            texts = p.tolist()
+            yield pd.Series(np.concatenate([net.score(pooler.pool(texts[i : i + GROUP])) for i in range(0, len(texts), GROUP)]) if texts else np.zeros(0))
+
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, T.DoubleType())
+
+
+def score(docs: DataFrame, model: tuple[dict, Network], *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    s = scorer(docs.sparkSession, model)(text_or_empty(text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), s.alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

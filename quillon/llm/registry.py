@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_topk, op02_tokens, op03_mix, op04_jaccard, op05_fingerprints, op06_ring, op07_toxicity, op08_quality, op10_pack
+from . import op01_topk, op02_tokens, op03_mix, op04_jaccard, op05_fingerprints, op06_ring, op07_toxicity, op08_quality, op09_suffix, op10_pack
 
 MODULES = {
     "op1_topk": op01_topk,
@@ -13,6 +13,7 @@ MODULES = {
     "op6_ring": op06_ring,
     "op7_toxicity": op07_toxicity,
     "op8_quality": op08_quality,
+    "op9_suffix": op09_suffix,
     "op10_pack": op10_pack,
 }
 
