@@ -1 +1,6 @@
 """Named queries over the test tables, with their SQL."""
+
+
+def load() -> None:
+    """Registers every query."""
+    from . import q_engines  # noqa: F401

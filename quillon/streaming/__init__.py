@@ -1,0 +1 @@
+"""Reserved: indexes are rebuilt whole and queries come in batches, so nothing here streams."""
