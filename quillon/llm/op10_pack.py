@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +41,43 @@ BUCKETS = 256
 DIMS, BITS = 4, 10
 RANGE_TOKENS = 4_000_000
 RANGES = 20_000
-KEPT = 300_000
+KEPT = 1_000_000
 END = 0
-_UNSAFE = re.compile(r"\s \S|\S \s|\s \s|^ | $|[\x1c-\x1f\x85]")
+#: Beside these a space may not start a pre-token; the rarer white space counts wherever it stands.
+_BESIDE = [x for c in " \t\n\x0b\x0c\r" for x in (f" {c}", f"{c} ")]
+_RARE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _MADE: dict = {}
 
 
+def _simple(text: str) -> bool:
+    """Every space stands between two characters that aren't white space."""
+    if text[0] == " " or text[-1] == " " or any(x in text for x in _BESIDE) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return False
+    return text.isascii() or not _RARE.search(text)
+
+
+class _Kept(dict):
+    """Ids of pieces that follow a space, as bytes; learnt on demand."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        got = _bytes(self.encode(" " + piece))
+        if len(piece) <= 64:
+            self[piece] = got
+        return got
+
+
+def _bytes(ids: list[int]) -> bytes:
+    a = array("H", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class Ids:
     """Ids of the public byte-level vocabulary, as little-endian 16-bit bytes."""
 
@@ -54,36 +86,22 @@ class Ids:
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.fast = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(json_path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
-
-    def _ids(self, piece: str) -> bytes:
-        return np.array(self.fast.encode_ordinary(piece), dtype="<u2").tobytes()
+        self.kept = _Kept(self.fast)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        if _UNSAFE.search(text):
-            parts = _SAFE.split(text)
-        else:
-            parts = text.split(" ")
+            return _bytes(self.whole.encode(text, add_special_tokens=False).ids)
+        parts = text.split(" ") if _simple(text) else _SAFE.split(text)
         if len(self.kept) > KEPT:
             self.kept.clear()
-        kept, out = self.kept, [self._ids(parts[0])]
-        for p in parts[1:]:
-            got = kept.get(p)
-            if got is None:
-                got = self._ids(" " + p)
-                if len(p) <= 64:
-                    kept[p] = got
-            out.append(got)
-        return b"".join(out)
+        return _bytes(self.fast(parts[0])) + b"".join(map(self.kept.__getitem__, parts[1:]))
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
