@@ -26,7 +26,7 @@ class Params:
         self.proj = [[[sign(f"p:{r}:{i}:{j}") / d_proj**0.5 for j in range(dim)] for i in range(d_proj)] for r in range(reps)]
 
     def bucket(self, x: Column, r: int) -> Column:
-        return sum(F.when(vec.dot(x, F.array(*[F.lit(float(v)) for v in g])) > 0, 1 << i).otherwise(0) for i, g in enumerate(self.planes[r]))
+        return sum((F.when(vec.dot(x, F.array(*[F.lit(float(v)) for v in g])) > 0, 1 << i).otherwise(0) for i, g in enumerate(self.planes[r])), F.lit(0))
 
     def projected(self, x: Column, r: int) -> Column:
         return F.array(*[vec.dot(x, F.array(*[F.lit(float(v)) for v in p])) for p in self.proj[r]])
