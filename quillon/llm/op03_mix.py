@@ -164,16 +164,17 @@ class Mix:
         b = self.block
         uses = self.slots().select("s", "block", "pass").distinct()
         parts = self.pieces().join(uses.hint("merge"), ["s", "block"]).groupBy("s", "start", "pass").agg(F.sort_array(F.collect_list("block")).alias("taken_blocks"))
-        where = self.docs.where(F.col("size") > 0).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("th").alias("m_th"), "size", "s", "start")
-        plan = where.join(parts.hint("merge"), ["s", "start"]).select("m_id", "m_source", "m_th", "size", "start", "taken_blocks")
+        where = self.docs.where(F.col("size") > 0).join(parts.hint("merge"), ["s", "start"])
+        plan = where.select(*[F.col(c).alias(f"_m_{c}") for c in ("doc_id", "source", "th", "size", "start", "taken_blocks")])
         # Rows that repeat in every column have places of their own in the plan, and one row here.
-        rows = docs.select(*docs.columns, F.xxhash64("text").alias("_th")).dropDuplicates(["doc_id", "source", "_th"])
-        words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-        first = F.col("start")
-        cut = F.transform(F.col("taken_blocks"), lambda k: F.slice(F.col("words"), F.greatest(k * b - first + 1, F.lit(1)).cast("int"), (F.least((k + 1) * b - first, F.col("size")) - F.greatest(k * b - first, F.lit(0))).cast("int")))
-        out = rows.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("_th") == F.col("m_th")))
-        text = F.concat_ws("", F.flatten(cut))
-        return out.withColumn("words", words).withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+        rows = docs.select(*docs.columns, F.xxhash64("text").alias("_m_hash")).dropDuplicates(["doc_id", "source", "_m_hash"])
+        first, size = F.col("_m_start"), F.col("_m_size")
+        out = rows.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_m_doc_id")) & F.col("source").eqNullSafe(F.col("_m_source")) & (F.col("_m_hash") == F.col("_m_th")))
+        out = out.withColumn("_m_words", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)))
+        cut = F.transform(F.col("_m_taken_blocks"), lambda k: F.slice(F.col("_m_words"), F.greatest(k * b - first + 1, F.lit(1)).cast("int"), (F.least((k + 1) * b - first, size) - F.greatest(k * b - first, F.lit(0))).cast("int")))
+        out = out.withColumn("_m_text", F.concat_ws("", F.flatten(cut)))
+        new = {"text": F.col("_m_text"), "n_chars": F.length("_m_text").cast("long")}
+        return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
