@@ -146,17 +146,17 @@ def test_split_is_stable(spark):
 
 def test_more_buckets_track_maxsim_better(spark):
     rng = np.random.default_rng(0)
-    centers = unit(rng, 20, 16)
-    tok = spark.createDataFrame([(p, i, (centers[rng.integers(20)] + 0.1 * rng.normal(size=16)).tolist()) for p in range(60) for i in range(6)], "pid long, pos int, emb array<double>")
-    qt = spark.createDataFrame([(0, i, (centers[i] + 0.1 * rng.normal(size=16)).tolist()) for i in range(6)], "qid long, qt int, emb array<double>")
-    exact = {r.pid: r.score for r in exact_scan(nested(tok, "pid", "pos"), nested(qt, "qid", "qt"), 60).collect()}
+    centers = unit(rng, 40, 16)
+    tok = spark.createDataFrame([(p, i, (centers[rng.integers(40)] + 0.05 * rng.normal(size=16)).tolist()) for p in range(150) for i in range(6)], "pid long, pos int, emb array<double>")
+    qt = spark.createDataFrame([(0, i, (centers[i] + 0.05 * rng.normal(size=16)).tolist()) for i in range(6)], "qid long, qt int, emb array<double>")
+    exact = {r.pid: r.score for r in exact_scan(nested(tok, "pid", "pos"), nested(qt, "qid", "qt"), 150).collect()}
 
     def corr(k):
-        p = fde.Params(16, reps=3, k=k, d_proj=8)
-        got = {r.pid: r.score for r in best(fde.queries(qt, p).withColumnRenamed("fde", "v"), ["qid"], "v", fde.documents(tok, p), "pid", "fde", 60).collect()}
+        p = fde.Params(16, reps=8, k=k, d_proj=8)
+        got = {r.pid: r.score for r in best(fde.queries(qt, p).withColumnRenamed("fde", "v"), ["qid"], "v", fde.documents(tok, p), "pid", "fde", 150).collect()}
         return np.corrcoef([exact[p_] for p_ in sorted(exact)], [got[p_] for p_ in sorted(exact)])[0, 1]
 
-    assert corr(3) > corr(0)
+    assert corr(4) > corr(0)
 
 
 def test_kmeans_finds_blobs(spark):
