@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import env_path, ready, table, text_or_empty
 
-KEPT = 300_000
+KEPT = 800_000
 LONGEST = 64
 PENALTY = 10.0
 SPACE = "▁"
@@ -50,12 +50,14 @@ class Unigram:
         self.auto.make_automaton()
         self.unknown = min(s for _, s in vocab) - PENALTY
         self.bytes = byte_fallback and {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in vocab}
+        self.alone = frozenset(p for p, _ in vocab if len(p) == 1)
         self.kept: dict[str, tuple[int, float]] = {}
 
     def word(self, w: str) -> tuple[int, float]:
+        """Of a word, without the space before it."""
         if (got := self.kept.get(w)) is not None:
             return got
-        got = self._best(w)
+        got = self._best(SPACE + w)
         if len(w) <= LONGEST:
             if len(self.kept) >= KEPT:
                 self.kept.clear()
@@ -64,6 +66,14 @@ class Unigram:
 
     def _best(self, w: str) -> tuple[int, float]:
         n = len(w)
+        if self.alone.issuperset(w):  # nothing can be unknown: matches come by end, the longest first
+            best, count = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+            for end, (length, score) in self.auto.iter(w):
+                end += 1
+                at = best[end - length] + score
+                if at > best[end]:
+                    best[end], count[end] = at, count[end - length] + 1
+            return count[n], best[n]
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         for end, (length, score) in self.auto.iter(w):
             ends[end + 1].append((length, score))
@@ -87,9 +97,9 @@ class Unigram:
             words = words[1:]
         if len(words) == 1 and not text:
             return 0, 0.0
-        pieces, total = 0, 0.0
+        pieces, total, kept = 0, 0.0, self.kept
         for w in words:
-            n, s = self.word(SPACE + w)
+            n, s = kept.get(w) or self.word(w)
             pieces += n
             total += s
         return pieces, total

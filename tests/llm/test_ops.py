@@ -87,7 +87,7 @@ def test_token_ties():
     rng = random.Random(1)
     for _ in range(300):
         w = "▁" + "".join(rng.choice("abz") for _ in range(rng.randint(0, 9)))
-        assert u.word(w)[0] == len(t.encode(w).ids), w
+        assert u.word(w[1:])[0] == len(t.encode(w).ids), w
 
 
 def size_of(t):
