@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Registers every query."""
-    from . import q_engines, q_eval, q_index  # noqa: F401
+    from . import q_engines, q_eval, q_index, q_more  # noqa: F401
