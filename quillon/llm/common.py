@@ -54,9 +54,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def freed(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of the plans, the second of their shuffles
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -5,12 +5,14 @@ document with a smaller id.  Three passes:
 
 1. Every window of ``LENGTH`` bytes has an anchor, the least hash among its
    ``GRAM``-byte strings; equal windows have equal anchors.  A unit is a run of
-   windows with one anchor.  Anchors are dealt to buckets by hash, and those
-   that occur in two documents or more are sent back.  A string shared by two
-   documents can't be lost here, and most text goes no further.
-2. Units with such anchors are dealt by anchor.  All windows that could be equal
-   meet in one group.  Equal units count once; where a group has different ones,
-   their suffix array is built and runs of equal windows in it are read off.
+   windows with one anchor.  Anchors are dealt to buckets, with 48-bit hashes of
+   the units' bytes.  An anchor that only one document has is dropped; one with
+   the same bytes everywhere is covered in all documents but the least; the
+   rest is sent back.  A string shared by two documents can't be lost here, and
+   most text goes no further.
+2. Units of the remaining anchors are dealt by anchor, bytes and all, so windows
+   that could be equal meet in one group.  The suffix array of the group's
+   different units is built, and runs of equal windows are read off it.
 3. Each document drops the bytes that its covered windows cover.
 
 Copies and hot passages collapse before the shuffles: of an anchor, or a unit,
@@ -124,8 +126,30 @@ def suffix_order(s: list[int]) -> list[int]:
         start = out[i]
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of _BASE and of its inverse, modulo 2^64."""
+    if len(_POWERS) < 2 or len(_POWERS[0]) < n:
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n - 1, np.uint64(b), np.uint64)], dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def contents(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """48-bit hashes of the units' bytes, from one prefix sum."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    power, inverse = _powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.r_[np.uint64(0), np.cumsum(_SYMBOL[data] * power[:-1], dtype=np.uint64)]
+        own = (sums[last + LENGTH] - sums[first]) * inverse[first]
+    return mixed(own + (last - first).astype(np.uint64)) >> np.uint64(16)
+
+
 def units(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, document, first window, last window) of texts laid end to end."""
+    """(anchor of 48 bits, document, first window, last window) of texts laid end to end."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
@@ -156,7 +180,8 @@ def units(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     anchor = at + (((low & np.uint64(255)).astype(np.int64) - at) & 255)
     first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
     last = np.r_[first[1:] - 1, len(at) - 1]
-    return low[first] >> np.uint64(8), doc[first], at[first], at[last]
+    # Anchors that collide only make a group larger; their units differ.
+    return low[first] >> np.uint64(16), doc[first], at[first], at[last]
 
 
 def _texts(batches):
@@ -172,154 +197,193 @@ def _texts(batches):
             at = end
 
 
-def _least(first: np.ndarray, values: np.ndarray, what=np.minimum) -> np.ndarray:
-    return what.reduceat(values, first) if len(first) else values[:0]
+_SENT = ["bucket", "ids", "at", "anchors", "contents", "starts", "sizes", "bytes"]
+_KINDS = "bucket long, ids binary, at binary, anchors binary, contents binary, starts binary, sizes binary, bytes binary"
+_ANSWER = ["doc_id", "th", "kind", "data"]
+COVERED, MIXED, SPANS = 0, 1, 2
+
+
+def _six(x: np.ndarray) -> bytes:
+    """The low 48 bits of each number."""
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start, and the end."""
+    n = len(keys[0])
+    if not n:
+        return np.zeros(1, np.int64)
+    new = np.zeros(n - 1, bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.r_[np.flatnonzero(np.r_[True, new]), n]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], _SENT)
+
+
+def _spans(ids: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """(id, hash of the text, merged byte ranges) of each document."""
+    order = np.lexsort((start, th, ids))
+    ids, th, start, end = ids[order], th[order], start[order], end[order]
+    cuts = _runs(ids, th)
+    out = []
+    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        s, reach = start[a:z], np.maximum.accumulate(end[a:z])
+        new = np.flatnonzero(np.r_[True, s[1:] > reach[:-1]])
+        out.append((int(ids[a]), int(th[a]), np.stack([s[new], reach[np.r_[new[1:] - 1, z - a - 1]]]).astype(np.int64).tobytes()))
+    return out
+
+
+def _sure(ids: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Spans that need no answer; they go through the shuffle with a negative bucket."""
+    return _rows([(-1 - k % 64, np.array([i, t]).tobytes(), None, None, None, body, None, None) for k, (i, t, body) in enumerate(_spans(ids, th, start, end))])
+
+
+def _answers(rows: list[tuple[int, int, bytes]], kind: int) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([kind] * len(rows), pa.int32()), pa.array(cols[2], pa.binary())], _ANSWER)
+
+
+def _told(doc: np.ndarray, h: np.ndarray, kind: int) -> pa.RecordBatch:
+    """The anchors of each document, as an answer."""
+    order = np.argsort(doc, kind="stable")
+    doc, h = doc[order], h[order]
+    cuts = _runs(doc)
+    return _answers([(int(doc[a]), 0, _six(h[a:z])) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], kind)
+
+
+def _least_only(ids: np.ndarray, h: np.ndarray, u: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by anchor, content and id, and which of them a lesser document of the batch covers."""
+    order = np.lexsort((ids[doc], u, h))
+    cuts = _runs(h[order], u[order])
+    least = np.repeat(ids[doc[order]][cuts[:-1]], np.diff(cuts))
+    return order, ids[doc[order]] > least
 
 
 def _ask_anchors(buckets: int):
-    """Rows (bucket, ids, texts, anchors, documents, shared) of every group of texts."""
+    """Anchors and contents by bucket, the least document of each in the batch."""
 
     def run(batches):
         for b, data, ends in _texts(batches):
-            h, doc, _, _ = units(data, ends)
-            ids = b.column("doc_id").to_numpy()
-            order = np.lexsort((ids[doc], h))
-            h, doc = h[order], doc[order]
-            keep = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, int)
-            h, doc = h[keep], doc[keep]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
-            size = np.diff(np.r_[first, len(h)])
-            shared = np.repeat(_least(first, ids[doc]) != _least(first, ids[doc], np.maximum), size) if len(h) else np.zeros(0, bool)
-            # Of an anchor that several documents share, all are told here, and only the least one asks.
-            told = np.flatnonzero(shared)
-            yield from _told(ids, doc[told], h[told])
-            ask = np.ones(len(h), bool)
-            ask[told] = False
-            ask[first] = True
-            h, doc, shared = h[ask], doc[ask], shared[ask]
+            ids, th = b.column("doc_id").to_numpy(), b.column("th").to_numpy()
+            h, doc, first, last = units(data, ends)
+            if not len(h):
+                continue
+            u = contents(data, first, last)
+            order, sure = _least_only(ids, h, u, doc)
+            if sure.any():
+                k = order[sure]
+                base = np.r_[0, ends[:-1]][doc[k]]
+                yield _sure(ids[doc[k]], th[doc[k]], first[k] - base, last[k] - base + LENGTH)
+            k = order[~sure]
+            h, u, doc = h[k], u[k], doc[k]
+            once = _runs(h, u, ids[doc])[:-1]
+            h, u, doc = h[once], u[once], doc[once]
             to = (h % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            h, doc, shared, to = h[order], doc[order], shared[order], to[order]
-            cuts = np.r_[np.flatnonzero(np.r_[True, to[1:] != to[:-1]]), len(to)] if len(to) else np.zeros(1, int)
-            rows = []
+            h, u, doc, to = h[order], u[order], doc[order], to[order]
+            cuts, rows = _runs(to).tolist(), []
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 used, at = np.unique(doc[i:j], return_inverse=True)
-                rows.append((int(to[i]), ids[used].tobytes(), at.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), h[i:j].tobytes(), np.packbits(shared[i:j]).tobytes()))
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], _ASKED)
+                rows.append((int(to[i]), ids[used].tobytes(), at.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), _six(h[i:j]), _six(u[i:j]), None, None, None))
+            yield _rows(rows)
 
     return run
 
 
-_ASKED = ["bucket", "ids", "at", "anchors", "shared"]
-
-
-def _told(ids: np.ndarray, doc: np.ndarray, h: np.ndarray):
-    """Rows that go through the shuffle as answers already: bucket -1 - (id's bucket)."""
-    if not len(h):
-        return
-    order = np.argsort(ids[doc], kind="stable")
-    i, h = ids[doc][order], h[order]
-    cuts = np.r_[np.flatnonzero(np.r_[True, i[1:] != i[:-1]]), len(i)]
-    n = len(cuts) - 1
-    yield pa.RecordBatch.from_arrays([pa.array(-1 - (np.arange(n) % 64), pa.int64()), pa.array([i[c : c + 1].tobytes() for c in cuts[:-1]], pa.binary()), pa.nulls(n, pa.binary()), pa.array([h[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), pa.nulls(n, pa.binary())], _ASKED)
-
-
-def _by_doc(doc: np.ndarray, h: np.ndarray):
-    order = np.argsort(doc, kind="stable")
-    doc, h = doc[order], h[order]
-    cuts = np.r_[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), len(doc)]
-    return pa.RecordBatch.from_arrays([pa.array(doc[cuts[:-1]], pa.int64()), pa.array([h[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["doc_id", "anchors"])
+def _forwarded(b: pa.RecordBatch):
+    """Spans that came through the shuffle, and the rows to work on."""
+    rows, sure = [], []
+    for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        if r[0] < 0:
+            i, t = np.frombuffer(r[1], dtype=np.int64)
+            sure.append((int(i), int(t), r[5]))
+        else:
+            rows.append(r)
+    return rows, _answers(sure, SPANS) if sure else None
 
 
 def _answer_anchors(batches):
-    docs, hs, marks = [], [], []
+    """Each asking document learns which of its anchors are covered, and which have other contents too."""
+    docs, hs, us = [], [], []
     for b in batches:
-        for bucket, ids, at, anchors, shared in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            ids, h = np.frombuffer(ids, dtype=np.int64), np.frombuffer(anchors, dtype=np.uint64)
-            if bucket < 0:
-                yield _by_doc(np.repeat(ids, len(h)), h)
-                continue
-            kind = np.uint16 if len(at) == 2 * len(h) else np.uint32
-            docs.append(ids[np.frombuffer(at, dtype=kind)])
+        rows, sure = _forwarded(b)
+        if sure is not None:
+            yield sure
+        for _, ids, at, anchors, body, *_ in rows:
+            h = _from_six(anchors)
+            docs.append(np.frombuffer(ids, dtype=np.int64)[np.frombuffer(at, dtype=np.uint16 if len(at) == 2 * len(h) else np.uint32)])
             hs.append(h)
-            marks.append(np.unpackbits(np.frombuffer(shared, dtype=np.uint8), count=len(h)))
-    if hs:
-        doc, h, mark = np.concatenate(docs), np.concatenate(hs), np.concatenate(marks)
-        order = np.argsort(h, kind="stable")
-        doc, h, mark = doc[order], h[order], mark[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        hot = (_least(first, doc) != _least(first, doc, np.maximum)) | (_least(first, mark, np.maximum) > 0)
-        hot = np.repeat(hot, np.diff(np.r_[first, len(h)]))
-        if hot.any():
-            yield _by_doc(doc[hot], h[hot])
-
-
-_SENT = ["bucket", "ids", "at", "anchors", "starts", "sizes", "bytes"]
+            us.append(_from_six(body))
+    if not hs:
+        return
+    doc, h, u = np.concatenate(docs), np.concatenate(hs), np.concatenate(us)
+    order = np.argsort(h, kind="stable")
+    doc, h, u = doc[order], h[order], u[order]
+    cuts = _runs(h)
+    first, size = cuts[:-1], np.diff(cuts)
+    least, most = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+    one = np.minimum.reduceat(u, first) == np.maximum.reduceat(u, first)
+    shared = np.repeat(least != most, size)
+    covered = shared & np.repeat(one, size) & (doc > np.repeat(least, size))
+    mixed_ = shared & np.repeat(~one, size)
+    for which, kind in ((covered, COVERED), (mixed_, MIXED)):
+        if which.any():
+            yield _told(doc[which], h[which], kind)
 
 
 def _ask_units(buckets: int):
-    """Units with shared anchors, by bucket of the anchor; bucket -1: windows covered for certain."""
+    """Units of anchors with several contents, with their bytes, by bucket of the anchor."""
 
     def run(batches):
-        import xxhash
-
         for b, data, ends in _texts(batches):
             ids, th = b.column("doc_id").to_numpy(), b.column("th").to_numpy()
             h, doc, first, last = units(data, ends)
-            flags = b.column("anchors").to_pylist()
             cuts = np.searchsorted(doc, np.arange(len(ends) + 1))
-            hit = np.zeros(len(h), bool)
-            for d, parts in enumerate(flags):
+            state = np.full(len(h), -1, np.int8)
+            for d, told in enumerate(b.column("anchors").to_pylist()):
                 i, j = cuts[d], cuts[d + 1]
-                if j > i:
-                    hit[i:j] = np.isin(h[i:j], np.frombuffer(b"".join(parts), dtype=np.uint64))
-            h, doc, first, last = h[hit], doc[hit], first[hit], last[hit]
-            raw = data.tobytes()
-            body = [raw[i : j + LENGTH] for i, j in zip(first.tolist(), last.tolist(), strict=True)]
-            u = np.array([xxhash.xxh64_intdigest(x) for x in body], dtype=np.uint64)
-            starts = first - np.r_[0, ends[:-1]][doc]
-            order = np.lexsort((ids[doc], u, h))
-            h, u, doc, starts, n = h[order], u[order], doc[order], starts[order], (last - first + 1)[order]
-            if not len(h):
+                for kind in (COVERED, MIXED) if j > i else ():
+                    if parts := [t["data"] for t in told if t["kind"] == kind]:
+                        state[i:j][np.isin(h[i:j], _from_six(b"".join(parts)))] = kind
+            base = np.r_[0, ends[:-1]]
+            k = np.flatnonzero(state == COVERED)
+            if len(k):
+                yield _sure(ids[doc[k]], th[doc[k]], first[k] - base[doc[k]], last[k] - base[doc[k]] + LENGTH)
+            k = np.flatnonzero(state == MIXED)
+            if not len(k):
                 continue
-            new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (u[1:] != u[:-1])])
-            least = np.repeat(ids[doc][new], np.diff(np.r_[new, len(h)]))
-            sure = ids[doc] > least
+            h, doc, first, last = h[k], doc[k], first[k], last[k]
+            u = contents(data, first, last)
+            order, sure = _least_only(ids, h, u, doc)
             if sure.any():
-                at = np.flatnonzero(sure)
-                yield _spans(ids[doc[at]], th[doc[at]], starts[at], starts[at] + n[at] - 1 + LENGTH, _SENT)
-            at = np.flatnonzero(~sure)
-            to = (h[at] % np.uint64(buckets)).astype(np.int64)
-            at = at[np.argsort(to, kind="stable")]
-            to = (h[at] % np.uint64(buckets)).astype(np.int64)
-            cuts = np.r_[np.flatnonzero(np.r_[True, to[1:] != to[:-1]]), len(to)]
-            rows = []
+                k = order[sure]
+                yield _sure(ids[doc[k]], th[doc[k]], first[k] - base[doc[k]], last[k] - base[doc[k]] + LENGTH)
+            k = order[~sure]
+            h, doc, first, last = h[k], doc[k], first[k], last[k]
+            to = (h % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            h, doc, first, last, to = h[order], doc[order], first[order], last[order], to[order]
+            raw, cuts, rows = data.tobytes(), _runs(to).tolist(), []
+            starts, sizes = (first - base[doc]).astype(np.int64), (last - first + 1).astype(np.uint8)
+            body = [raw[i : j + LENGTH] for i, j in zip(first.tolist(), last.tolist(), strict=True)]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                k = at[i:j]
-                used, where = np.unique(doc[k], return_inverse=True)
-                rows.append((int(to[i]), np.stack([ids[used], th[used]]).tobytes(), where.astype(np.uint32).tobytes(), h[k].tobytes(), starts[k].astype(np.int64).tobytes(), n[k].astype(np.uint8).tobytes(), b"".join([body[x] for x in order[k].tolist()])))
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], _SENT)
+                used, where = np.unique(doc[i:j], return_inverse=True)
+                rows.append((int(to[i]), np.stack([ids[used], th[used]]).tobytes(), where.astype(np.uint32).tobytes(), _six(h[i:j]), None, starts[i:j].tobytes(), sizes[i:j].tobytes(), b"".join(body[i:j])))
+            yield _rows(rows)
 
     return run
 
 
-def _spans(ids: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray, names: list[str] | None = None) -> pa.RecordBatch:
-    """Covered byte ranges by document."""
-    order = np.lexsort((start, th, ids))
-    ids, th, start, end = ids[order], th[order], start[order], end[order]
-    cuts = np.r_[np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])]), len(ids)]
-    both = [np.stack([start[a:z], end[a:z]]).astype(np.int64).tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-    i, t = ids[cuts[:-1]], th[cuts[:-1]]
-    if names:
-        n = len(both)
-        return pa.RecordBatch.from_arrays([pa.array(-1 - (np.arange(n) % 64), pa.int64()), pa.array([np.array([a, z]).tobytes() for a, z in zip(i, t, strict=True)], pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(both, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
-    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(t, pa.int64()), pa.array(both, pa.binary())], ["doc_id", "th", "spans"])
-
-
 def window_owners(bodies: list[bytes], owners: list[int]) -> list[list[int]]:
     """For each text, for each of its windows, the least owner of a text that has the same window.
 
@@ -346,22 +410,18 @@ def window_owners(bodies: list[bytes], owners: list[int]) -> list[list[int]]:
 
 
 def _answer_units(batches):
-    out: list[tuple[np.ndarray, ...]] = []
+    """The covered ranges of each document, from the suffix array of each anchor's different units."""
     ids, ths, hs, starts, sizes, bodies = [], [], [], [], [], []
     for b in batches:
-        for bucket, who, at, anchors, start, size, body in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-            start = np.frombuffer(start, dtype=np.int64)
-            if bucket < 0:
-                i, t = np.frombuffer(who, dtype=np.int64)
-                s, e = start.reshape(2, -1)
-                yield _spans(np.full(len(s), i), np.full(len(s), t), s, e)
-                continue
-            who = np.frombuffer(who, dtype=np.int64).reshape(2, -1)
-            where = np.frombuffer(at, dtype=np.uint32)
+        rows, sure = _forwarded(b)
+        if sure is not None:
+            yield sure
+        for _, who, at, anchors, _, start, size, body in rows:
+            who, where = np.frombuffer(who, dtype=np.int64).reshape(2, -1), np.frombuffer(at, dtype=np.uint32)
             ids.append(who[0][where])
             ths.append(who[1][where])
-            hs.append(np.frombuffer(anchors, dtype=np.uint64))
-            starts.append(start)
+            hs.append(_from_six(anchors))
+            starts.append(np.frombuffer(start, dtype=np.int64))
             n = np.frombuffer(size, dtype=np.uint8).astype(np.int64)
             sizes.append(n)
             ends = np.cumsum(n + LENGTH - 1).tolist()
@@ -370,9 +430,8 @@ def _answer_units(batches):
         return
     ids, ths, hs, starts, sizes = (np.concatenate(x) for x in (ids, ths, hs, starts, sizes))
     order = np.lexsort((ids, hs))
-    h = hs[order]
-    cuts = np.r_[np.flatnonzero(np.r_[True, h[1:] != h[:-1]]), len(h)].tolist()
-    order_l, ids_l = order.tolist(), ids.tolist()
+    cuts, order_l, ids_l = _runs(hs[order]).tolist(), order.tolist(), ids.tolist()
+    out: list[tuple[np.ndarray, ...]] = []
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
         group = order_l[a:z]
         if ids_l[group[0]] == ids_l[group[-1]]:
@@ -396,10 +455,10 @@ def _answer_units(batches):
                     lo, hi = w[cut], w[np.r_[cut[1:] - 1, len(w) - 1]]
                     out.append((np.full(len(cut), ids_l[r]), np.full(len(cut), ths[r]), starts[r] + lo, starts[r] + hi + LENGTH))
         if len(out) > 20_000:
-            yield _spans(*(np.concatenate(c) for c in zip(*out, strict=True)))
+            yield _answers(_spans(*(np.concatenate(c) for c in zip(*out, strict=True))), SPANS)
             out = []
     if out:
-        yield _spans(*(np.concatenate(c) for c in zip(*out, strict=True)))
+        yield _answers(_spans(*(np.concatenate(c) for c in zip(*out, strict=True))), SPANS)
 
 
 def _merged(parts: list[bytes] | None) -> list[tuple[int, int]]:
@@ -438,17 +497,18 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", as
     """``docs`` with a column ``dedup`` of n_removed, n_spans and kept (the bytes, or the text, that stay)."""
     spark = ready(docs.sparkSession)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("bytes")).where(F.col("doc_id").isNotNull())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("bytes")).where(F.col("doc_id").isNotNull())
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = int(min(BUCKETS, total // BUCKET_BYTES + 1))
-    asked = rows.mapInArrow(_ask_anchors(buckets), "bucket long, ids binary, at binary, anchors binary, shared binary")
-    flags = stored(asked.repartition("bucket").mapInArrow(_answer_anchors, "doc_id long, anchors binary"), "anchors")
+    kinds = "doc_id long, th long, kind int, data binary"
+    first = stored(rows.mapInArrow(_ask_anchors(buckets), _KINDS).repartition("bucket").mapInArrow(_answer_anchors, kinds), "anchors")
     freed(spark)
-    marked = rows.withColumn("th", F.xxhash64("bytes")).join(flags.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors")).hint("merge"), "doc_id")
-    sent = marked.select("doc_id", "th", "bytes", "anchors").mapInArrow(_ask_units(buckets), "bucket long, ids binary, at binary, anchors binary, starts binary, sizes binary, bytes binary")
-    covered = stored(sent.repartition("bucket").mapInArrow(_answer_units, "doc_id long, th long, spans binary"), "covered")
+    flags = first.where(F.col("kind") != SPANS).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "data")).alias("anchors"))
+    marked = rows.join(flags.hint("merge"), "doc_id").select("doc_id", "th", "bytes", "anchors")
+    second = stored(marked.mapInArrow(_ask_units(buckets), _KINDS).repartition("bucket").mapInArrow(_answer_units, kinds), "covered")
     freed(spark)
-    spans = covered.groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans")).select(F.col("doc_id").alias("_c_id"), F.col("th").alias("_c_th"), F.col("spans").alias("_c_spans"))
+    covered = first.where(F.col("kind") == SPANS).unionByName(second)
+    spans = covered.groupBy("doc_id", "th").agg(F.collect_list("data").alias("spans")).select(F.col("doc_id").alias("_c_id"), F.col("th").alias("_c_th"), F.col("spans").alias("_c_spans"))
     joined = docs.join(spans.hint("merge"), (docs[id_col].cast("long") == F.col("_c_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit("")).cast("binary")) == F.col("_c_th")), "left")
     cut = _cutter(as_text)(F.coalesce(docs[text_col], F.lit("")).cast("binary"), F.col("_c_spans"))
     return joined.select(*[docs[c] for c in docs.columns], cut.alias("dedup"))
