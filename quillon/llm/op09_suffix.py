@@ -45,7 +45,7 @@ from .common import freed, mixed, ready, spread, stored, table
 
 LENGTH = 50
 GRAM = 24
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
 BUCKETS = 20_000
 _SYMBOL = spread(256)
@@ -148,12 +148,21 @@ def contents(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarra
     return mixed(own + (last - first).astype(np.uint64)) >> np.uint64(16)
 
 
-def units(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor of 48 bits, document, first window, last window) of texts laid end to end."""
+def _sliding(key: np.ndarray) -> np.ndarray:
+    """The least key of each window's grams."""
+    wide, k = LENGTH - GRAM + 1, 1
+    while 2 * k <= wide:
+        key = np.minimum(key[:-k], key[k:])
+        k *= 2
+    return np.minimum(key[: len(key) - (wide - k)], key[wide - k :]) if k < wide else key
+
+
+def units(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor of 48 bits, document, first window, last window, place of the anchor) of texts laid end to end."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     with np.errstate(over="ignore"):
         power, h, eight = np.uint64(_BASE), _SYMBOL[data], None
         for k in (1, 2, 4, 8):
@@ -162,26 +171,25 @@ def units(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
             if k == 4:
                 eight, base8 = h, power
         h = h[:-8] * base8 + eight[16 : 16 + len(h) - 8]
-        key = (mixed(h) & ~np.uint64(255)) | (np.arange(len(h), dtype=np.uint64) & np.uint64(255))
-    wide = LENGTH - GRAM + 1
-    low, k = key, 1
-    while 2 * k <= wide:
-        low = np.minimum(low[:-k], low[k:])
-        k *= 2
-    if k < wide:
-        low = np.minimum(low[: len(low) - (wide - k)], low[wide - k :])
+        hashed, place = mixed(h) & ~np.uint64(255), np.arange(len(h), dtype=np.uint64)
+    # The low bits are the place, so the first of equal hashes is the least; they are counted
+    # from 0 or from 128, whichever doesn't wrap within a window.
+    low = _sliding(hashed | (place & np.uint64(255)))
+    late = _sliding(hashed | ((place + np.uint64(128)) & np.uint64(255)))
+    on = (np.arange(len(low)) & 128) != 0
+    low[on] = late[on] ^ np.uint64(128)
     starts = np.r_[0, ends[:-1]]
     windows = np.maximum(ends - starts - LENGTH + 1, 0)
     doc = np.repeat(np.arange(len(ends)), windows)
     at = np.arange(len(doc)) + np.repeat(starts - (np.cumsum(windows) - windows), windows)
     if not len(at):
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     low = low[at]
     anchor = at + (((low & np.uint64(255)).astype(np.int64) - at) & 255)
     first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
     last = np.r_[first[1:] - 1, len(at) - 1]
     # Anchors that collide only make a group larger; their units differ.
-    return low[first] >> np.uint64(16), doc[first], at[first], at[last]
+    return low[first] >> np.uint64(16), doc[first], at[first], at[last], anchor[first]
 
 
 def _texts(batches):
@@ -275,7 +283,7 @@ def _ask_anchors(buckets: int):
     def run(batches):
         for b, data, ends in _texts(batches):
             ids, th = b.column("doc_id").to_numpy(), b.column("th").to_numpy()
-            h, doc, first, last = units(data, ends)
+            h, doc, first, last, _ = units(data, ends)
             if not len(h):
                 continue
             u = contents(data, first, last)
@@ -347,7 +355,7 @@ def _ask_units(buckets: int):
     def run(batches):
         for b, data, ends in _texts(batches):
             ids, th = b.column("doc_id").to_numpy(), b.column("th").to_numpy()
-            h, doc, first, last = units(data, ends)
+            h, doc, first, last, place = units(data, ends)
             cuts = np.searchsorted(doc, np.arange(len(ends) + 1))
             state = np.full(len(h), -1, np.int8)
             for d, told in enumerate(b.column("anchors").to_pylist()):
@@ -362,19 +370,19 @@ def _ask_units(buckets: int):
             k = np.flatnonzero(state == MIXED)
             if not len(k):
                 continue
-            h, doc, first, last = h[k], doc[k], first[k], last[k]
+            h, doc, first, last, place = h[k], doc[k], first[k], last[k], place[k]
             u = contents(data, first, last)
             order, sure = _least_only(ids, h, u, doc)
             if sure.any():
                 k = order[sure]
                 yield _sure(ids[doc[k]], th[doc[k]], first[k] - base[doc[k]], last[k] - base[doc[k]] + LENGTH)
             k = order[~sure]
-            h, doc, first, last = h[k], doc[k], first[k], last[k]
+            h, doc, first, last, place = h[k], doc[k], first[k], last[k], place[k]
             to = (h % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            h, doc, first, last, to = h[order], doc[order], first[order], last[order], to[order]
+            h, doc, first, last, place, to = h[order], doc[order], first[order], last[order], place[order], to[order]
             raw, cuts, rows = data.tobytes(), _runs(to).tolist(), []
-            starts, sizes = (first - base[doc]).astype(np.int64), (last - first + 1).astype(np.uint8)
+            starts, sizes = (first - base[doc]).astype(np.int64), np.stack([last - first + 1, place - first], axis=1).astype(np.uint8)
             body = [raw[i : j + LENGTH] for i, j in zip(first.tolist(), last.tolist(), strict=True)]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 used, where = np.unique(doc[i:j], return_inverse=True)
@@ -409,9 +417,29 @@ def window_owners(bodies: list[bytes], owners: list[int]) -> list[list[int]]:
     return [at[o : o + len(x) - LENGTH + 1] for o, x in zip(base, bodies, strict=True)]
 
 
+def _shared(sides: list[bytes], group: np.ndarray) -> np.ndarray:
+    """For each text, the longest beginning that it has in common with another one of its group."""
+    width = LENGTH - GRAM
+    n = len(sides)
+    m = np.frombuffer(b"".join([x.ljust(32, b"\xff") for x in sides]), dtype=np.uint8).reshape(n, 32)
+    key = m.view(">u8")
+    order = np.lexsort((key[:, 3], key[:, 2], key[:, 1], key[:, 0], group))
+    rows, g = m[order, :width], group[order]
+    common = np.cumprod(rows[1:] == rows[:-1], axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
+    common[g[1:] != g[:-1]] = 0
+    out = np.zeros(n, np.int64)
+    out[order] = np.maximum(np.r_[0, common], np.r_[common, 0])
+    return np.minimum(out, [len(x) for x in sides])
+
+
 def _answer_units(batches):
-    """The covered ranges of each document, from the suffix array of each anchor's different units."""
-    ids, ths, hs, starts, sizes, bodies = [], [], [], [], [], []
+    """The covered ranges of each document, from the suffix array of each anchor's different units.
+
+    Units of a group agree at the anchor.  What lies further from it than any
+    other unit agrees is part of no equal window: it is cut off first, and the
+    suffix array is built of the different texts that remain.
+    """
+    ids, ths, hs, starts, sizes, places, bodies = [], [], [], [], [], [], []
     for b in batches:
         rows, sure = _forwarded(b)
         if sure is not None:
@@ -422,38 +450,60 @@ def _answer_units(batches):
             ths.append(who[1][where])
             hs.append(_from_six(anchors))
             starts.append(np.frombuffer(start, dtype=np.int64))
-            n = np.frombuffer(size, dtype=np.uint8).astype(np.int64)
+            n, place = np.frombuffer(size, dtype=np.uint8).reshape(-1, 2).T
             sizes.append(n)
-            ends = np.cumsum(n + LENGTH - 1).tolist()
-            bodies += [body[e - k : e] for e, k in zip(ends, (n + LENGTH - 1).tolist(), strict=True)]
+            places.append(place)
+            n = n.astype(np.int64) + LENGTH - 1
+            bodies += [body[e - k : e] for e, k in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
     if not hs:
         return
-    ids, ths, hs, starts, sizes = (np.concatenate(x) for x in (ids, ths, hs, starts, sizes))
+    ids, ths, hs, starts = (np.concatenate(x) for x in (ids, ths, hs, starts))
+    sizes, places = (np.concatenate(x).astype(np.int64) for x in (sizes, places))
+    # Different units of each group, with the least document of each: the first in this order.
     order = np.lexsort((ids, hs))
-    cuts, order_l, ids_l = _runs(hs[order]).tolist(), order.tolist(), ids.tolist()
+    cuts, unit_of, first, group, owner = _runs(hs[order]).tolist(), np.zeros(len(ids), np.int64), [], [], []
+    ids_l, order_l = ids.tolist(), order.tolist()
+    for g, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        own: dict[bytes, int] = {}
+        for r in order_l[a:z]:
+            body = bodies[r]
+            k = own.get(body, -1)
+            if k < 0:
+                k = own[body] = len(first)
+                first.append(r)
+                group.append(g)
+                owner.append(ids_l[r])
+            unit_of[r] = k
+    first, group, owner = np.array(first), np.array(group), np.array(owner)
+    whole = np.flatnonzero(ids > owner[unit_of])
+    if len(whole):
+        yield _answers(_spans(ids[whole], ths[whole], starts[whole], starts[whole] + sizes[whole] - 1 + LENGTH), SPANS)
+    # A document may hold its unit several times: all those rows share its answer.
+    mine = np.flatnonzero(ids == owner[unit_of])
+    mine = mine[np.argsort(unit_of[mine], kind="stable")]
+    bounds = np.searchsorted(unit_of[mine], np.arange(len(first) + 1)).tolist()
+    at = places[first].tolist()
+    left = _shared([bodies[r][:p][::-1][: LENGTH - GRAM] for r, p in zip(first.tolist(), at, strict=True)], group)
+    right = _shared([bodies[r][p + GRAM :][: LENGTH - GRAM] for r, p in zip(first.tolist(), at, strict=True)], group)
+    kept = np.flatnonzero(left + GRAM + right >= LENGTH)
     out: list[tuple[np.ndarray, ...]] = []
+    cuts = _runs(group[kept]).tolist() if len(kept) else [0]
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-        group = order_l[a:z]
-        if ids_l[group[0]] == ids_l[group[-1]]:
-            continue
-        owner: dict[bytes, int] = {}
-        for r in group:  # in ascending order of ids
-            owner.setdefault(bodies[r], ids_l[r])
-        whole = [r for r in group if ids_l[r] > owner[bodies[r]]]
-        if whole:
-            k = np.array(whole)
-            out.append((ids[k], ths[k], starts[k], starts[k] + sizes[k] - 1 + LENGTH))
-        if len(owner) == 1:
-            continue
-        texts = list(owner)
-        least = dict(zip(texts, window_owners(texts, list(owner.values())), strict=True))
-        for r in group:
-            if ids_l[r] == owner[bodies[r]]:
-                w = np.flatnonzero(least[bodies[r]] < ids_l[r])
-                if len(w):
-                    cut = np.flatnonzero(np.r_[True, np.diff(w) > 1])
-                    lo, hi = w[cut], w[np.r_[cut[1:] - 1, len(w) - 1]]
-                    out.append((np.full(len(cut), ids_l[r]), np.full(len(cut), ths[r]), starts[r] + lo, starts[r] + hi + LENGTH))
+        texts: dict[bytes, int] = {}
+        cut = []
+        for k in kept[a:z].tolist():
+            x = bodies[first[k]][at[k] - left[k] : at[k] + GRAM + right[k]]
+            cut.append((k, x))
+            texts[x] = min(texts.get(x, owner[k]), owner[k])
+        least = dict(zip(texts, window_owners(list(texts), list(texts.values())), strict=True))
+        for k, x in cut:
+            w = np.flatnonzero(least[x] < owner[k])
+            if len(w):
+                new = np.flatnonzero(np.r_[True, np.diff(w) > 1])
+                lo, hi = w[new], w[np.r_[new[1:] - 1, len(w) - 1]]
+                shift = at[k] - left[k]
+                for row in mine[bounds[k] : bounds[k + 1]].tolist():
+                    out.append((np.full(len(new), ids[row]), np.full(len(new), ths[row]), starts[row] + shift + lo, starts[row] + shift + hi + LENGTH))
         if len(out) > 20_000:
             yield _answers(_spans(*(np.concatenate(c) for c in zip(*out, strict=True))), SPANS)
             out = []

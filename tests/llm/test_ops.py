@@ -337,7 +337,7 @@ def test_suffix_dedup(docs, rows, none, size, monkeypatch):
 def test_units_find_every_window():
     rng = random.Random(6)
     text = "".join(rng.choice("ab ") for _ in range(700)).encode()
-    h, doc, first, last = op09_suffix.units(np.frombuffer(text + text[100:300], np.uint8), np.array([700, 900]))
+    h, doc, first, last, _ = op09_suffix.units(np.frombuffer(text + text[100:300], np.uint8), np.array([700, 900]))
     covered = sorted(p for a, z in zip(first, last, strict=True) for p in range(a, z + 1))
     assert covered == [*range(651), *range(700, 851)]
     of = {}
