@@ -36,6 +36,7 @@ GRAMS, DIM, CONTEXT = 4096, 64, 32
 FREQUENT, AROUND = 20_000, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 64, 3e-3, 1e-4
 KEPT = 150_000
+PASS = 1 << 16
 GROUP = 128
 
 
@@ -62,24 +63,26 @@ class Pooler:
         self.vectors = np.zeros((KEPT + 1, DIM + CONTEXT), np.float32)
 
     def _learn(self, words: list[str]) -> None:
-        """Vectors of new words: their letter trigrams, in one pass over their bytes."""
-        parts = [b"^" + w.encode()[:256] + b"$" for w in words]  # a word's letters beyond that change nothing
-        data = np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.uint64)
-        lens = np.array([len(p) for p in parts])
-        ends = np.cumsum(lens)
-        code = mixed((data[:-2] << np.uint64(16)) | (data[1:-1] << np.uint64(8)) | data[2:]) % np.uint64(GRAMS)
-        first = ends - lens
-        # Trigrams that span two words are left out by summing each word's own range.
-        inside = np.ones(len(code), bool)
-        for e in (ends[:-1] - 1, ends[:-1] - 2):
-            inside[e[e < len(code)]] = False
-        own = np.repeat(np.arange(len(parts)), lens)[: len(code)][inside]
-        sums = np.zeros((len(parts), DIM), np.float32)
-        rows = self.grams[code[inside].astype(np.int64)]
-        cuts = np.flatnonzero(np.r_[True, np.diff(own) > 0]) if len(own) else np.zeros(0, int)
-        if len(own):
-            sums[own[cuts]] = np.add.reduceat(rows, cuts, axis=0)
-        del first
+        """Vectors of new words: their letter trigrams, in passes over ``PASS`` of their bytes."""
+        parts = [b"^" + w.encode() + b"$" for w in words]
+        data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        ends = np.cumsum([len(p) for p in parts])
+        sums = np.zeros((len(parts), DIM))  # whole numbers, so the passes' cuts change nothing
+        for i in range(0, len(data) - 2, PASS):
+            d = data[i : i + PASS + 2].astype(np.uint64)
+            code = mixed((d[:-2] << np.uint64(16)) | (d[1:-1] << np.uint64(8)) | d[2:]) % np.uint64(GRAMS)
+            lo, hi = np.searchsorted(ends, [i, i + len(code) - 1], side="right")
+            e = ends[lo : hi + 1] - i
+            own = np.repeat(np.arange(lo, hi + 1), np.diff(np.r_[0, np.minimum(e, len(code))]))
+            # Trigrams that span two words are left out by summing each word's own range.
+            inside = np.ones(len(code), bool)
+            for k in (e - 1, e - 2):
+                inside[k[(k >= 0) & (k < len(code))]] = False
+            own, rows = own[inside], self.grams[code[inside].astype(np.int64)]
+            if len(own):
+                cuts = np.flatnonzero(np.r_[True, np.diff(own) > 0])
+                sums[own[cuts]] += np.add.reduceat(rows, cuts, axis=0)
+        sums = sums.astype(np.float32)
         base = len(self.at)
         self.vectors[base : base + len(words), :DIM] = _unit(sums)
         for i, w in enumerate(words):

@@ -302,6 +302,22 @@ def test_classifiers(spark, rows, docs, none, op, bad):
     assert {r.score for r in op.score(docs, blank).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("size", [1 << 16, 50])
+def test_quality_whole_words(size, monkeypatch):
+    monkeypatch.setattr(op08_quality, "PASS", size, raising=False)
+    rng = random.Random(6)
+    made = ["".join(rng.choice("abc日é") for _ in range(n)) for n in (1, 3, 254, 255, 256, 257, 900, 70_000 if size > 50 else 2_000)]
+    made += [made[-2] + "xyz", "z"]
+    pooler = op08_quality.Pooler({})
+    pooler.pool([" ".join(made)])
+    for w in made:
+        b = b"^" + w.encode() + b"$"
+        code = np.array([b[i] << 16 | b[i + 1] << 8 | b[i + 2] for i in range(len(b) - 2)], dtype=np.uint64)
+        v = pooler.grams[(op08_quality.mixed(code) % np.uint64(op08_quality.GRAMS)).astype(int)].astype(float).sum(axis=0)
+        assert np.allclose(pooler.vectors[pooler.at[w], : op08_quality.DIM], v / np.sqrt((v * v).sum()), atol=1e-6)
+    assert not np.array_equal(*pooler.pool([made[-3], made[-2]])[:, : op08_quality.DIM])
+
+
 def passages_brute(rows):
     first, out = {}, Counter()
     body = lambda t: (t or "").encode()
