@@ -36,15 +36,16 @@ def mapped_answers(answers: DataFrame, layout: DataFrame) -> DataFrame:
     return d.select(F.concat_ws(".", "domain", "kind", F.col("qid").cast("string")).alias("qid"), pid.alias("pid"))
 
 
-def hashed_encoder(docs: DataFrame, dim: int, most: int = 32) -> DataFrame:
+def hashed_encoder(docs: DataFrame, dim: int, most: int | None = None) -> DataFrame:
     """A stand-in for a neural encoder: pid, pos, word and a unit vector of signs by the word's hash.
 
-    Each of the first ``most`` words is a token; ``dim`` is at most 64, the hex
-    digits of SHA-256.
+    Each word is a token, or each of the first ``most`` (32 in a query); ``dim``
+    is at most 64, the hex digits of SHA-256.
     """
     if dim > 64:
         raise ValueError("at most 64 dimensions")
-    words = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, most)
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    words = words if most is None else F.slice(words, 1, most)
     d = docs.select("pid", F.posexplode(words).alias("pos", "word")).withColumn("h", F.sha2(F.col("word").cast("binary"), 256))
     sign = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: (1 - 2 * (F.conv(F.substring(F.col("h"), i, F.lit(1)), 16, 10).cast("int") % 2)) / F.lit(float(dim) ** 0.5))
     return d.select("pid", "pos", "word", sign.alias("emb"))

@@ -568,7 +568,7 @@ def _(x):
 def _(x):
     from ..operators.collection import hashed_encoder
 
-    d = hashed_encoder(x.read("documents").select(F.col("doc_id").alias("pid"), "text"), 64)
+    d = hashed_encoder(x.read("documents").select(F.col("doc_id").alias("pid"), "text"), 64, most=32)  # as in its SQL
     return d.select("pid", "pos", r6(F.element_at("emb", 1)).alias("first"), r6(F.element_at("emb", 64)).alias("last"))
 
 

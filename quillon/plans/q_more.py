@@ -207,7 +207,7 @@ def _(x):
 
 @raw("B19_passage_tokens", "SELECT doc_id AS pid, least(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')), 32) AS n FROM documents")
 def _(x):
-    d = collection.hashed_encoder(x.read("documents").select(F.col("doc_id").alias("pid"), "text"), 64)
+    d = collection.hashed_encoder(x.read("documents").select(F.col("doc_id").alias("pid"), "text"), 64, most=32)  # as in its SQL
     return d.groupBy("pid").agg(F.count("*").alias("n"))
 
 

@@ -195,6 +195,13 @@ def test_block_match_errors(spark):
     assert collection.block_offset(joint, spark.createDataFrame([(0, "b"), (1, "a")], "pid long, text string")).first().offset == 1
 
 
+def test_encoder_takes_every_word(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    d = spark.createDataFrame([(0, text)], "pid long, text string")
+    assert [r.word for r in collection.hashed_encoder(d, 8).orderBy("pos").collect()] == text.split()
+    assert collection.hashed_encoder(d, 8, most=32).count() == 32
+
+
 def test_parameters_are_checked():
     with pytest.raises(ValueError):
         Params(k_eids=0)
