@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import codec, vec
-from quillon.operators import collection, evaluate, fde, filters, index, probe, score
+from quillon.operators import collection, diag, evaluate, fde, filters, index, probe, score
 from quillon.operators.matrix import best, exact_scan
 from quillon.plans.engines import Params, search
 from quillon.sources import readers
@@ -202,6 +202,15 @@ def test_encoder_takes_every_word(spark):
     assert collection.hashed_encoder(d, 8, most=32).count() == 32
 
 
+def test_slice_hits_of_many_queries(spark):
+    rng = np.random.default_rng(3)
+    q, p = unit(rng, 1100, 4), unit(rng, 3, 4)
+    made = [spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{n} long, emb array<double>") for n, m in (("qid", q), ("pid", p))]
+    got = {(r.qid, r.pid): r.hits for r in diag.slice_hits(*made, 2, 2, 0.5).collect()}
+    near = ((q[:, None] - p[None]) ** 2).reshape(1100, 3, 2, 2).sum(axis=3) <= 0.5
+    assert got == {(i, j): int(near[i, j].sum()) for i in range(1100) for j in range(3)}
+
+
 def test_parameters_are_checked():
     with pytest.raises(ValueError):
         Params(k_eids=0)
