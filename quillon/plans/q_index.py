@@ -530,8 +530,8 @@ def _(x):
     return x.codes.select("tok_id", "cid")
 
 
-def _slices(x):
-    return x.rtok.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda s: vec.subspace(F.col("emb"), s, WIDTH))).alias("s", "x"))
+def _slices(x, n: int = SUB):
+    return x.rtok.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: vec.subspace(F.col("emb"), s, WIDTH))).alias("s", "x"))
 
 
 @q("B4_codebooks")
@@ -541,7 +541,7 @@ def _(x):
 
 @q("B4_codebook_error", f", d AS (SELECT tok_id, w.s, min(list_sum(list_transform(list_zip(rt.emb[w.s*{WIDTH}+1 : w.s*{WIDTH}+{WIDTH}], w.w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d2, any_value(list_inner_product(rt.emb[w.s*{WIDTH}+1 : w.s*{WIDTH}+{WIDTH}], rt.emb[w.s*{WIDTH}+1 : w.s*{WIDTH}+{WIDTH}])) AS n2 FROM rt, words w WHERE w.s < 4 GROUP BY ALL) SELECT s, round(avg(d2), 6) AS mse, round(sum(d2) / sum(n2), 6) AS rel_err FROM d GROUP BY s")
 def _(x):
-    return index.codebook_error(_slices(x), x.codewords).select("s", r6(F.col("mse")).alias("mse"), r6(F.col("rel_err")).alias("rel_err"))
+    return index.codebook_error(_slices(x, 4), x.codewords).select("s", r6(F.col("mse")).alias("mse"), r6(F.col("rel_err")).alias("rel_err"))
 
 
 @q("B5_codebook_index", "SELECT s, cid, eid, pid FROM postings")

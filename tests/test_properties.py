@@ -211,6 +211,15 @@ def test_slice_hits_of_many_queries(spark):
     assert got == {(i, j): int(near[i, j].sum()) for i in range(1100) for j in range(3)}
 
 
+def test_codebooks_of_every_subspace(spark):
+    from quillon.plans import load, registry
+    from quillon.plans.fixtures import SUB
+
+    load()
+    d = registry.queries()["B4_codebooks"](spark, "/root/testdata/sf0.001").groupBy("s").count()
+    assert {r["s"]: r["count"] for r in d.collect()} == dict.fromkeys(range(SUB), 16)
+
+
 def test_parameters_are_checked():
     with pytest.raises(ValueError):
         Params(k_eids=0)
