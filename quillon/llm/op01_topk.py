@@ -12,8 +12,9 @@ vectors in blocks of at most ``CELLS`` scores.
 
 Defined results: vectors that are null or hold null or non-finite components,
 and rows with a null id, take no part.  An empty vector has score 0 with other
-empty ones.  Vectors of different lengths have no score.  Components beyond
-2^27 after scaling count as 2^27.  Repeated ids: each row is a query and a
+empty ones.  Vectors of different lengths have no score.  Scores are
+the true integers; vectors whose lengths allow one of 2^62 or more are an
+error, since it may not fit the column.  Repeated ids: each row is a query and a
 candidate of its own, but never a candidate of its own id.  Empty tables give
 no rows; other columns, whatever their names, are not read.
 """
@@ -34,7 +35,7 @@ from .common import ready, table
 CHUNK = 4096
 BINS = 256
 CELLS = 2_000_000
-LIMIT = float(1 << 27)
+LIMIT = float(1 << 62)
 
 
 def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -44,7 +45,7 @@ def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _scaled(x: np.ndarray, scale: float) -> np.ndarray:
-    return np.clip(np.floor(x * scale), -LIMIT, LIMIT)
+    return np.floor(x * scale)
 
 
 def _matrices(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -151,7 +152,11 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str = "vec_i
         n = len(part.ids)
         hi = np.zeros(n, np.int64)
         for d, (at, q) in part.groups.items():
-            hi[at] = np.ceil(np.sqrt((q * q).sum(axis=1)) * norms.get(d, 0.0)).astype(np.int64) + 1
+            own = np.sqrt((q * q).sum(axis=1))
+            most = np.multiply(own, norms.get(d, 0.0) * (1 + 1e-9), out=np.zeros(len(own)), where=own > 0)
+            if (most >= LIMIT).any():
+                raise ValueError("vectors are so long that a score may not fit 64 bits")
+            hi[at] = np.ceil(most).astype(np.int64) + 1
         lo, above, floor, open_ = -hi, np.zeros(n, np.int64), -hi, np.ones(n, bool)
         sent = spark.sparkContext.broadcast(part)
         while open_.any():

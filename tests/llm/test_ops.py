@@ -302,6 +302,15 @@ def test_classifiers(spark, rows, docs, none, op, bad):
     assert {r.score for r in op.score(docs, blank).collect()} == {0.5}
 
 
+def test_topk_large_components(spark):
+    vecs = [(0, [3e6, 1.0]), (1, [1e6, 0.0]), (2, [2e6, 0.0]), (3, [4e6, 7.0]), (4, [-5e6, 1.0]), (5, [6e5, 0.0])]
+    e = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    got = [(r.vec_id, r.score) for r in op01_topk.topk(e.where("vec_id = 0"), e, 5).orderBy("rank").collect()]
+    assert got == [(i, 65536 * sum(int(a) * int(b) for a, b in zip(vecs[0][1], v, strict=True))) for i, v in (vecs[3], vecs[2], vecs[1], vecs[5], vecs[4])]
+    with pytest.raises(ValueError, match="64 bits"):
+        op01_topk.topk(e, e.unionByName(spark.createDataFrame([(9, [1e30, 0.0])], e.schema)), 5)
+
+
 @pytest.mark.parametrize("size", [1 << 16, 50])
 def test_quality_whole_words(size, monkeypatch):
     monkeypatch.setattr(op08_quality, "PASS", size, raising=False)
