@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -10,9 +11,12 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Characters that separate words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: What the texts that a classifier is fitted on may hold together.
+SAMPLE_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,46 +24,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers that run on the driver's machine import this package.
+    """Lets Python workers on the driver's machine import this package, and bounds what they are sent at once.
 
-    On a cluster the package is installed or sent by ``--py-files``; then this
-    changes nothing of importance.
+    On a cluster the package is installed or sent by ``--py-files``.  Batches of
+    Arrow are cut by rows and by bytes, unless the session says otherwise, so a
+    worker's memory doesn't follow the lengths of texts.
     """
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), root) if x)
+    for key, most in (("maxRecordsPerBatch", "2000"), ("maxBytesPerBatch", str(4 << 20))):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one of our own on a local master, else an error."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
         spark.conf.set("spark.checkpoint.dir", there)
     return there
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: lineage ends there.
 
     A lost executor then costs a re-read, and a costly step runs once however
-    often its result is used.
+    often its result is used.  Shuffle files of the write go when it ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def freed(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
-    import gc
-    import time
-
-    for _ in range(2):  # the first round lets go of the plans, the second of their shuffles
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    was = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if was is None else spark.conf.set(_CLEAN, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for t in tables:
+        if path := getattr(t, "_stored_at", None):
+            sc = t.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -71,23 +90,30 @@ def held_out(name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents outside the held-out fifth: (text, y).
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, size: int = SAMPLE_BYTES) -> DataFrame:
+    """At most ``rows`` labelled texts of ``size`` bytes in all outside the held-out fifth: (doc_id, text, y).
 
     Labels whose target or id is null are left out, of several labels of one id
-    the largest counts.  When there are more than ``rows`` of them, the ids with
-    the least hashes are taken, so the choice doesn't depend on the layout.  The
-    ids are chosen first, without their texts; the broadcast side holds at most
-    ``rows`` ids.
+    the largest counts, and labels without a document don't count.  An id with
+    several texts gives each text once.  The texts are those of the least hashes
+    of their ids, whole, up to the first that would pass a bound, so the choice
+    doesn't depend on the layout.  Ids, hashes and lengths alone are sorted; the
+    broadcast side holds at most ``rows`` of them.
     """
-    ids = (
+    known = (
         labels.select(F.col("doc_id").alias("id"), F.col(target).cast("int").alias("y"))
         .where(F.col("id").isNotNull() & F.col("y").isNotNull())
         .where(~held_out("id"))
         .groupBy("id").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("id"), "id").limit(rows)
     )
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
+    body = text_or_empty()
+    texts = docs.select(F.col("doc_id"), F.xxhash64(body).alias("th"), F.octet_length(body).cast("long").alias("bytes"))
+    order = [F.xxhash64("id"), "id", "th"]
+    first = texts.join(known, F.col("doc_id") == F.col("id")).select("id", "th", "bytes", "y").distinct().orderBy(*order).limit(rows)
+    upto = F.sum("bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn("upto", upto).where(F.col("upto") <= size).select("id", "th", "y")
+    found = docs.select("doc_id", body.alias("text"), F.xxhash64(body).alias("_th")).join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("_th") == F.col("th")))
+    return found.groupBy("doc_id", "_th", "y").agg(F.first("text").alias("text")).select("doc_id", "text", "y")
 
 
 def spread(n: int) -> np.ndarray:

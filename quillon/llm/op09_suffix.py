@@ -6,17 +6,21 @@ document with a smaller id.  Three passes:
 1. Every window of ``LENGTH`` bytes has an anchor, the least hash among its
    ``GRAM``-byte strings; equal windows have equal anchors.  A unit is a run of
    windows with one anchor.  Anchors are dealt to buckets, with 48-bit hashes of
-   the units' bytes.  An anchor that only one document has is dropped; one with
-   the same bytes everywhere is covered in all documents but the least; the
-   rest is sent back.  A string shared by two documents can't be lost here, and
-   most text goes no further.
-2. Units of the remaining anchors are dealt by anchor, bytes and all, so windows
-   that could be equal meet in one group.  The suffix array of the group's
-   different units is built, and runs of equal windows are read off it.
+   the units' bytes (a unit's content).  Anchors that only one document has are
+   dropped: no string of theirs is shared, and most text goes no further.  Of
+   the rest, each document is told which it has, and of which contents it is
+   the least holder.
+2. Units of these anchors are dealt by anchor, so windows that could be equal
+   meet in one group.  The least holder of a content sends its bytes and stands
+   for it; other holders send hashes.  The suffix array of a group's different
+   units is built, and for each window the least document that has it is read
+   off.  A document loses the windows that a lesser one has, by the unit that
+   stands for its own.
 3. Each document drops the bytes that its covered windows cover.
 
-Copies and hot passages collapse before the shuffles: of an anchor, or a unit,
-that several documents of a batch hold, only the least document is sent.
+Copies and hot passages collapse before the shuffles: of a unit that several
+documents of a batch hold, byte for byte, only the least document's is sent, and
+the others are covered by it.
 
 The suffix array is built by grouping (after Baier): suffixes are grouped by
 first symbol and groups are taken in descending order.  For each member the
@@ -25,29 +29,39 @@ pointer; positions that are pointed at move to a new group just above their
 own, the more often the higher.  At the end each group holds the suffixes of
 one Lyndon prefix, and one scan in ascending order emits each group's order
 along the same pointers.  Both phases are linear; nothing is renamed or sorted
-recursively.
+recursively.  ``suffix_order`` does this for one text, ``suffix_orders`` for
+many short ones at once.
+
+Tasks work bucket by bucket, so their memory is a bucket's, ``BUCKET_BYTES`` of
+text on average.  Beyond ``FAN`` buckets units are dealt in two steps.
 
 Defined results: null texts are empty.  A document with a null id takes no part
 and is kept whole.  Rows of one id are one document: they don't cover each
-other.  Every row gives one row; an empty table gives none; columns with other
-names are left alone.
+other.  Texts of any length are taken whole, those of less than ``LENGTH`` bytes
+stay as they are, and a text without spaces is like any other.  Ties: of equal
+passages the document with the least id keeps its own.  Every row gives one row;
+an empty table gives none; columns with other names are left alone.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import freed, mixed, ready, spread, stored, table
+from .common import mixed, ready, spread, stored, table
 
 LENGTH = 50
 GRAM = 24
 GROUP_BYTES = 1 << 20
+MOST_ROWS = 1 << 15
 BUCKET_BYTES = 16 << 20
-BUCKETS = 20_000
+FAN = 4096
+SYMBOLS = 1 << 18
+FEW = 48
 _SYMBOL = spread(256)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -126,6 +140,97 @@ def suffix_order(s: list[int]) -> list[int]:
         start = out[i]
 
 
+def suffix_orders(s: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``suffix_order`` of many texts of small symbols laid end to end, all taken forward together.
+
+    A step takes one group of every text.  The result has, in each text's
+    place, the positions of its suffixes in ascending order.
+    """
+    size, texts = len(s), len(ends)
+    starts = np.r_[0, ends[:-1]]
+    text_of = np.repeat(np.arange(texts), ends - starts)
+    log = np.zeros(2 * size, np.int64)  # the members of each group, in a run
+    log[:size] = np.argsort(text_of * (int(s.max(initial=0)) + 1) + s, kind="stable")
+    first = _runs(text_of[log[:size]], s[log[:size]])
+    n = len(first) - 1
+    lo, hi, above, below = (np.full(n + size, -1, np.int64) for _ in range(4))
+    lo[:n], hi[:n] = first[:-1], first[1:]
+    owner = text_of[log[first[:-1]]]
+    same = owner[1:] == owner[:-1]
+    above[:n], below[:n] = np.r_[np.where(same, np.arange(1, n), -1), -1], np.r_[-1, np.where(same, np.arange(n - 1), -1)]
+    group = np.empty(size, np.int64)
+    group[log[:size]] = np.repeat(np.arange(n), np.diff(first))
+    taken, up = np.zeros(size + 1, bool), np.arange(-1, size - 1)  # the last of taken stands for place -1
+    up[starts] = -1
+    head, room, used = np.zeros(n + size, np.int64), ends.copy(), size
+    live = np.arange(texts)
+    now = np.full(texts, -1, np.int64)
+    now[owner] = np.arange(n)  # the last group of each text
+    while len(live):
+        g = now[live]
+        count = hi.take(g) - lo.take(g)
+        step = np.cumsum(count)
+        own = log.take(np.repeat(lo.take(g) - step + count, count) + np.arange(step[-1]))
+        of = np.repeat(np.arange(len(g)), count)
+        still = np.flatnonzero(group.take(own) == g.take(of))
+        own, of = own.take(still), of.take(still)
+        taken[own] = True
+        room[live] -= np.bincount(of, minlength=len(g))
+        head[g] = room[live]
+        p = up.take(own)
+        on = np.flatnonzero(taken.take(p))
+        while len(on):
+            p[on] = q = up.take(p.take(on))
+            on = on[taken.take(q)]
+        up[own] = p
+        hit = np.sort(p[p >= 0])
+        if len(hit):
+            cuts = _runs(hit)
+            at, times = hit[cuts[:-1]], np.diff(cuts)
+            bits = int(len(at)).bit_length()
+            key = np.sort(((group[at] * (int(times.max()) + 1) + times) << bits) | np.arange(len(at)))
+            at, key = at[key & ((1 << bits) - 1)], key >> bits
+            cuts = _runs(key)
+            k = len(cuts) - 1
+            new, old = np.arange(n, n + k), group[at[cuts[:-1]]]
+            lowest = np.r_[True, old[1:] != old[:-1]]
+            highest = np.r_[lowest[1:], True]
+            over = above[old]
+            below[new], above[new] = np.where(lowest, old, new - 1), np.where(highest, over, new + 1)
+            below[over[highest & (over >= 0)]] = new[highest & (over >= 0)]
+            above[old[lowest]] = new[lowest]
+            lo[new], hi[new] = used + cuts[:-1], used + cuts[1:]
+            log[used : used + len(at)] = at
+            group[at] = np.repeat(new, np.diff(cuts))
+            n, used = n + k, used + len(at)
+        now[live] = below[g]
+        live = live[now[live] >= 0]
+    out, placed = np.zeros(size, np.int64), np.zeros(size + 1, bool)
+    placed[size] = True
+    live = np.flatnonzero(ends > starts)
+    j, i = ends[live] - 1, starts[live] - 1
+    while len(live):
+        fresh = ~placed.take(j)
+        a = j[fresh]
+        placed[a] = True
+        g = group.take(a)
+        h = head.take(g)
+        out[h] = a
+        head[g] = h + 1
+        j[fresh] = up.take(a)
+        rest = np.flatnonzero(~fresh)
+        i[rest] += 1
+        more = i[rest] < ends[live[rest]]
+        rest, done = rest[more], rest[~more]
+        last = out[i[rest]]
+        j[rest] = np.where(last > starts[live[rest]], last - 1, -1)
+        if len(done):
+            keep = np.ones(len(live), bool)
+            keep[done] = False
+            live, i, j = live[keep], i[keep], j[keep]
+    return out
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first powers of _BASE and of its inverse, modulo 2^64."""
     if len(_POWERS) < 2 or len(_POWERS[0]) < n:
@@ -193,7 +298,7 @@ def units(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _texts(batches):
-    """Groups of rows of about GROUP_BYTES: (record batch, bytes laid end to end, ends)."""
+    """Groups of at most MOST_ROWS rows of about GROUP_BYTES: (record batch, bytes laid end to end, ends)."""
     for b in batches:
         text = b.column("bytes")
         off = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
@@ -201,22 +306,25 @@ def _texts(batches):
         at = 0
         while at < b.num_rows:
             end = max(at + 1, int(np.searchsorted(off, off[at] + GROUP_BYTES, side="right")) - 1)
+            end = min(end, at + MOST_ROWS)
             yield b.slice(at, end - at), data[off[at] : off[end]], off[at + 1 : end + 1] - off[at]
             at = end
 
 
-_SENT = ["bucket", "ids", "at", "anchors", "contents", "starts", "sizes", "bytes"]
-_KINDS = "bucket long, ids binary, at binary, anchors binary, contents binary, starts binary, sizes binary, bytes binary"
-_ANSWER = ["doc_id", "th", "kind", "data"]
-COVERED, MIXED, SPANS = 0, 1, 2
+_KINDS = "bucket long, ids binary, at binary, anchors binary, contents binary, starts binary, shapes binary, bytes binary"
+_SENT = [x.split()[0] for x in _KINDS.split(", ")]
+_ANSWERS = "g long, kind int, who binary, counts binary, data binary"
+_ANSWER = [x.split()[0] for x in _ANSWERS.split(", ")]
+HOLDER, LEAST, SPANS, TEXT = 0, 1, 2, 3
+_P = (1 << 31) - 1
 
 
-def _six(x: np.ndarray) -> bytes:
-    """The low 48 bits of each number."""
-    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _six(x: np.ndarray) -> np.ndarray:
+    """The low 48 bits of each number, as bytes."""
+    return np.ascontiguousarray(np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
 
 
-def _from_six(b: bytes) -> np.ndarray:
+def _from_six(b) -> np.ndarray:
     out = np.zeros((len(b) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
     return out.reshape(-1).view("<u8")
@@ -233,335 +341,527 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, new]), n]
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], _SENT)
+def _ramp(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts[k]`` numbers from ``starts[k]`` on, for each k."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _spans(ids: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(id, hash of the text, merged byte ranges) of each document."""
-    order = np.lexsort((start, th, ids))
-    ids, th, start, end = ids[order], th[order], start[order], end[order]
-    cuts = _runs(ids, th)
-    out = []
-    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        s, reach = start[a:z], np.maximum.accumulate(end[a:z])
-        new = np.flatnonzero(np.r_[True, s[1:] > reach[:-1]])
-        out.append((int(ids[a]), int(th[a]), np.stack([s[new], reach[np.r_[new[1:] - 1, z - a - 1]]]).astype(np.int64).tobytes()))
+def _words(data: np.ndarray) -> np.ndarray:
+    """At each place, the eight bytes from there on."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    out = wide[: len(data)].copy()
+    for k in range(1, 8):
+        out |= wide[k : k + len(data)] << np.uint64(8 * k)
     return out
 
 
-def _sure(ids: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """Spans that need no answer; they go through the shuffle with a negative bucket."""
-    return _rows([(-1 - k % 64, np.array([i, t]).tobytes(), None, None, None, body, None, None) for k, (i, t, body) in enumerate(_spans(ids, th, start, end))])
+def _differ(words: np.ndarray, a: np.ndarray, b: np.ndarray, size) -> np.ndarray:
+    """Whether the ``size`` bytes (24 at least) from a differ from those from b."""
+    out = np.zeros(len(a), bool)
+    for k in range(0, int(np.max(size, initial=0)), 8):
+        at = np.minimum(k, size - 8)
+        out |= words.take(a + at) != words.take(b + at)
+    return out
+
+
+def _binaries(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary column of what lies between the cuts."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+class Units:
+    """Units as columns.
+
+    ``who`` holds documents (ids, and hashes of their texts), ``doc`` the place
+    of each unit's there; h and u are anchor and content.  The second pass adds
+    the first window, the shape (windows, place of the anchor, whether bytes
+    come along) and the bytes.
+    """
+
+    def __init__(self, who, doc, h, u, start=None, shape=None, body=None):
+        self.who, self.doc, self.h, self.u, self.start, self.shape, self.body = who, doc, h, u, start, shape, body
+
+    def sizes(self) -> np.ndarray:
+        """Bytes sent of each unit."""
+        return np.where(self.shape[:, 2] > 0, self.shape[:, 0].astype(np.int64) + LENGTH - 1, 0)
+
+    def rows(self, buckets: int, fan: int) -> pa.RecordBatch:
+        """A row for each bucket (for the first of two steps, each of ``fan`` groups of buckets)."""
+        to = (self.h % np.uint64(buckets)).astype(np.int64) % fan
+        order = np.argsort(to, kind="stable")
+        cuts, rows = _runs(to[order]).tolist(), []
+        size = None if self.shape is None else self.sizes()
+        ends = None if size is None else np.cumsum(size)
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            k = order[i:j]
+            there = np.zeros(self.who.shape[1], bool)
+            there[self.doc[k]] = True
+            at, who = (np.cumsum(there) - 1)[self.doc[k]], self.who[:, there]
+            row = [int(to[k[0]]), who.tobytes(), at.astype(np.uint16 if who.shape[1] < 65536 else np.uint32).tobytes(), _six(self.h[k]).tobytes(), _six(self.u[k]).tobytes(), None, None, None]
+            if ends is not None:
+                n = size[k]
+                row[5:] = self.start[k].tobytes(), self.shape[k].tobytes(), self.body[_ramp(ends[k] - n, n)].tobytes()
+            rows.append(row)
+        return _rows(rows)
+
+    @staticmethod
+    def read(row: tuple) -> Units:
+        _, who, at, h, u, start, shape, body = row
+        h = _from_six(h)
+        who, doc = np.frombuffer(who, dtype=np.int64).reshape(2, -1), np.frombuffer(at, dtype=np.uint16 if len(at) == 2 * len(h) else np.uint32)
+        if start is None:
+            return Units(who, doc, h, _from_six(u))
+        return Units(who, doc, h, _from_six(u), np.frombuffer(start, dtype=np.int64), np.frombuffer(shape, dtype=np.uint8).reshape(-1, 3), np.frombuffer(body, dtype=np.uint8))
+
+    @staticmethod
+    def of(parts: list[Units]) -> Units:
+        base = np.cumsum([0, *(p.who.shape[1] for p in parts)])
+        rest = (None if getattr(parts[0], c) is None else np.concatenate([getattr(p, c) for p in parts]) for c in ("h", "u", "start", "shape", "body"))
+        return Units(np.concatenate([p.who for p in parts], axis=1), np.concatenate([p.doc + b for p, b in zip(parts, base, strict=False)]), *rest)
+
+
+def _rows(rows: list[list]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(_SENT)
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], _SENT)
+
+
+def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Maximal runs of byte ranges of each document, in order."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    wide = int(end.max(initial=0)) + 1
+    cuts = _runs(doc)[1:-1]
+    base = np.zeros(len(doc), np.int64)
+    base[cuts] = wide
+    base = np.cumsum(base)
+    reach = np.maximum.accumulate(end + base)
+    new = np.flatnonzero(np.r_[True, start[1:] + base[1:] > reach[:-1]] | np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    return doc[new], start[new], (reach - base)[np.r_[new[1:] - 1, len(doc) - 1]] if len(new) else end[:0]
+
+
+def _spans(who: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, how many ranges each has, the merged ranges)."""
+    doc, start, end = _merged(doc, start, end)
+    n = np.bincount(doc, minlength=who.shape[1])
+    return who[:, n > 0], n[n > 0], np.stack([start, end], axis=1).astype(np.int64)
+
+
+def _sure(group: int, who, doc, start, end) -> pa.RecordBatch:
+    """Ranges that need no answer; they go through the shuffle with a negative bucket."""
+    who, n, ranges = _spans(who, doc, start, end)
+    return _rows([[-1 - group, who.tobytes(), n.astype(np.int64).tobytes(), None, None, None, None, ranges.tobytes()]])
+
+
+def _group(ids: np.ndarray, groups: int) -> np.ndarray:
+    """The group of documents that an id belongs to; ``_group_of`` is the same as a column."""
+    return np.mod(ids, _P) * 48271 % _P % groups
+
 
+def _group_of(doc_id: Column, groups: int) -> Column:
+    return F.pmod(doc_id, F.lit(_P)) * F.lit(48271) % F.lit(_P) % F.lit(groups)
 
-def _answers(rows: list[tuple[int, int, bytes]], kind: int) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([kind] * len(rows), pa.int32()), pa.array(cols[2], pa.binary())], _ANSWER)
 
+def _answers(who: np.ndarray, n: np.ndarray, data: np.ndarray, kind: int, groups: int) -> pa.RecordBatch:
+    """A row for each group of documents: which of them, how many items each has, and the items (rows of bytes)."""
+    g = _group(who[0], groups)
+    order = np.argsort(g, kind="stable")
+    data = data[_ramp((np.cumsum(n) - n)[order], n[order])]
+    g, n = g[order], n[order]
+    cuts = _runs(g)
+    items = np.r_[0, np.cumsum(n)][cuts]
+    return pa.RecordBatch.from_arrays([
+        pa.array(g[cuts[:-1]]), pa.array(np.full(len(cuts) - 1, kind, np.int32)),
+        _binaries(np.ascontiguousarray(who[:, order].T).reshape(-1).view(np.uint8), 16 * cuts),
+        _binaries(n.astype(np.int32).view(np.uint8), 4 * cuts), _binaries(data.reshape(-1), data.shape[1] * items),
+    ], _ANSWER)
 
-def _told(doc: np.ndarray, h: np.ndarray, kind: int) -> pa.RecordBatch:
-    """The anchors of each document, as an answer."""
-    order = np.argsort(doc, kind="stable")
-    doc, h = doc[order], h[order]
-    cuts = _runs(doc)
-    return _answers([(int(doc[a]), 0, _six(h[a:z])) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], kind)
 
+def _covered(who: np.ndarray, n: np.ndarray, ranges: np.ndarray, groups: int) -> pa.RecordBatch:
+    return _answers(who, n, ranges.reshape(-1).view(np.uint8).reshape(-1, 16), SPANS, groups)
 
-def _least_only(ids: np.ndarray, h: np.ndarray, u: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by anchor, content and id, and which of them a lesser document of the batch covers."""
-    order = np.lexsort((ids[doc], u, h))
+
+def _told(ids: np.ndarray, h: np.ndarray, kind: int, groups: int) -> pa.RecordBatch:
+    """The anchors of each document."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    cuts = _runs(ids)
+    who = ids[cuts[:-1]]
+    return _answers(np.stack([who, np.zeros_like(who)]), np.diff(cuts), _six(h[order]).reshape(-1, 6), kind, groups)
+
+
+def _items(who: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The document of each item of an answer: ids and hashes of texts."""
+    return tuple(np.repeat(np.frombuffer(who, np.int64).reshape(-1, 2), np.frombuffer(counts, np.int32), axis=0).T)
+
+
+def _least_only(words: np.ndarray, ids: np.ndarray, h: np.ndarray, u: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the units that are left, by anchor and content; those that a lesser document of the batch has, byte for byte)."""
+    rank = np.unique(ids, return_inverse=True)[1].astype(np.uint64)[doc]  # below MOST_ROWS
+    with np.errstate(over="ignore"):
+        order = np.argsort((mixed(h + u * np.uint64(_BASE)) & ~np.uint64(0xFFFF)) | rank)
     cuts = _runs(h[order], u[order])
-    least = np.repeat(ids[doc[order]][cuts[:-1]], np.diff(cuts))
-    return order, ids[doc[order]] > least
+    least = np.repeat(order[cuts[:-1]], np.diff(cuts))
+    sure = np.flatnonzero(rank[order] > rank[least])
+    k, least = order[sure], least[sure]
+    size = last[k] - first[k] + LENGTH
+    same = (last[least] - first[least] + LENGTH == size) & ~_differ(words, first[k], first[least], size)
+    left = np.ones(len(order), bool)
+    left[sure[same]] = False
+    return order[left], k[same]
 
 
-def _ask_anchors(buckets: int):
+def _ask_anchors(buckets: int, fan: int):
     """Anchors and contents by bucket, the least document of each in the batch."""
 
     def run(batches):
-        for b, data, ends in _texts(batches):
-            ids, th = b.column("doc_id").to_numpy(), b.column("th").to_numpy()
+        for group, (b, data, ends) in enumerate(_texts(batches)):
+            who = np.stack([b.column("doc_id").to_numpy(), b.column("th").to_numpy()])
             h, doc, first, last, _ = units(data, ends)
             if not len(h):
                 continue
             u = contents(data, first, last)
-            order, sure = _least_only(ids, h, u, doc)
-            if sure.any():
-                k = order[sure]
+            left, k = _least_only(_words(data), who[0], h, u, doc, first, last)
+            if len(k):
                 base = np.r_[0, ends[:-1]][doc[k]]
-                yield _sure(ids[doc[k]], th[doc[k]], first[k] - base, last[k] - base + LENGTH)
-            k = order[~sure]
-            h, u, doc = h[k], u[k], doc[k]
-            once = _runs(h, u, ids[doc])[:-1]
-            h, u, doc = h[once], u[once], doc[once]
-            to = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            h, u, doc, to = h[order], u[order], doc[order], to[order]
-            cuts, rows = _runs(to).tolist(), []
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                used, at = np.unique(doc[i:j], return_inverse=True)
-                rows.append((int(to[i]), ids[used].tobytes(), at.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), _six(h[i:j]), _six(u[i:j]), None, None, None))
-            yield _rows(rows)
+                yield _sure(group % 64, who, doc[k], first[k] - base, last[k] - base + LENGTH)
+            k = left[_runs(h[left], u[left], who[0][doc[left]])[:-1]]
+            yield Units(who * [[1], [0]], doc[k], h[k], u[k]).rows(buckets, fan)
 
     return run
 
 
-def _forwarded(b: pa.RecordBatch):
-    """Spans that came through the shuffle, and the rows to work on."""
-    rows, sure = [], []
-    for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-        if r[0] < 0:
-            i, t = np.frombuffer(r[1], dtype=np.int64)
-            sure.append((int(i), int(t), r[5]))
-        else:
-            rows.append(r)
-    return rows, _answers(sure, SPANS) if sure else None
+def _resplit(buckets: int):
+    """The second step of dealing: units of a group of buckets, gathered up to a bound, to their buckets."""
 
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r[0] < 0:
+                    yield _rows([list(r)])
+                    continue
+                held.append(Units.read(r))
+                size += sum(map(len, filter(None, r[1:])))
+                if size >= BUCKET_BYTES:
+                    yield Units.of(held).rows(buckets, buckets)
+                    held, size = [], 0
+        if held:
+            yield Units.of(held).rows(buckets, buckets)
 
-def _answer_anchors(batches):
-    """Each asking document learns which of its anchors are covered, and which have other contents too."""
-    docs, hs, us = [], [], []
-    for b in batches:
-        rows, sure = _forwarded(b)
-        if sure is not None:
-            yield sure
-        for _, ids, at, anchors, body, *_ in rows:
-            h = _from_six(anchors)
-            docs.append(np.frombuffer(ids, dtype=np.int64)[np.frombuffer(at, dtype=np.uint16 if len(at) == 2 * len(h) else np.uint32)])
-            hs.append(h)
-            us.append(_from_six(body))
-    if not hs:
-        return
-    doc, h, u = np.concatenate(docs), np.concatenate(hs), np.concatenate(us)
-    order = np.argsort(h, kind="stable")
-    doc, h, u = doc[order], h[order], u[order]
+    return run
+
+
+def _answering(answer, groups: int):
+    """``answer`` of the units of each bucket; ranges that came along are handed on."""
+
+    def run(batches):
+        held, now = [], None
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r[0] < 0:
+                    who = np.frombuffer(r[1], dtype=np.int64).reshape(2, -1)
+                    yield _covered(who, np.frombuffer(r[2], dtype=np.int64), np.frombuffer(r[7], dtype=np.int64).reshape(-1, 2), groups)
+                    continue
+                if r[0] != now and held:
+                    yield from answer(Units.of(held), groups)
+                    held = []
+                now = r[0]
+                held.append(Units.read(r))
+        if held:
+            yield from answer(Units.of(held), groups)
+
+    return run
+
+
+def _answer_anchors(x: Units, groups: int):
+    """Each document learns which of its anchors others have too, and of which contents it is the least holder."""
+    ids = x.who[0][x.doc]
+    order = np.lexsort((ids, x.u, x.h))
+    ids, h, u = ids[order], x.h[order], x.u[order]
     cuts = _runs(h)
-    first, size = cuts[:-1], np.diff(cuts)
-    least, most = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-    one = np.minimum.reduceat(u, first) == np.maximum.reduceat(u, first)
-    shared = np.repeat(least != most, size)
-    covered = shared & np.repeat(one, size) & (doc > np.repeat(least, size))
-    mixed_ = shared & np.repeat(~one, size)
-    for which, kind in ((covered, COVERED), (mixed_, MIXED)):
+    size = np.diff(cuts)
+    shared = np.repeat(np.minimum.reduceat(ids, cuts[:-1]) != np.maximum.reduceat(ids, cuts[:-1]), size)
+    cuts = _runs(h, u)
+    least = ids == np.repeat(ids[cuts[:-1]], np.diff(cuts))
+    for which, kind in ((shared & least, LEAST), (shared & ~least, HOLDER)):
         if which.any():
-            yield _told(doc[which], h[which], kind)
+            yield _told(ids[which], h[which], kind, groups)
+
+
+def _with_answers(batches, text: str = "bytes"):
+    """Texts in groups of about GROUP_BYTES, each with the answers to its documents.
 
+    The rows of a group of documents come together, answers first.
+    """
+    told: list[tuple] = []  # (g, who, counts, data, kind)
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        kind = b.column("kind").to_numpy()
+        cuts = _runs(kind == TEXT).tolist()
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            part = b.slice(i, j - i)
+            if kind[i] != TEXT:
+                if size >= GROUP_BYTES:
+                    yield pa.Table.from_batches(held), told
+                    held, size, told = [], 0, []
+                told += zip(*(part.column(c).to_pylist() for c in (*_ANSWER[:1], *_ANSWER[2:], "kind")), strict=True)
+                continue
+            length = pc.coalesce(pc.binary_length(part.column(text)), 0).to_numpy().astype(np.int64)
+            at = 0
+            while at < part.num_rows:
+                room = max(1, int(np.searchsorted(np.cumsum(length[at:]), GROUP_BYTES - size, side="right")))
+                piece = part.slice(at, room)
+                held.append(piece)
+                size += int(length[at : at + room].sum())
+                at += room
+                if size >= GROUP_BYTES or len(held) > 512 or sum(p.num_rows for p in held) > MOST_ROWS // 2:
+                    yield pa.Table.from_batches(held), told
+                    last = piece.column("g")[-1].as_py()
+                    held, size, told = [], 0, [t for t in told if t[0] == last]
+    if held:
+        yield pa.Table.from_batches(held), told
+
+
+def _state(ids: np.ndarray, told: list[tuple], h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of each unit, what its document was told of its anchor; -1 if nothing.
+
+    A document may hold an anchor with several contents; it sends the bytes of
+    all if it is the least holder of one.
+    """
+    some, rank = np.unique(ids, return_inverse=True)
+    whose, kind = _told_items(told)
+    key = _from_six(b"".join(t[3] for t in told))
+    at = np.minimum(np.searchsorted(some, whose), len(some) - 1)
+    k = np.flatnonzero(some[at] == whose)
+    key, kind = (at[k].astype(np.uint64) << np.uint64(48)) | key[k], kind[k]
+    order = np.lexsort((-kind, key))
+    key, kind = key[order], kind[order]
+    own = (rank[doc].astype(np.uint64) << np.uint64(48)) | h
+    at = np.minimum(np.searchsorted(key, own), len(key) - 1)
+    return np.where(key[at] == own, kind[at], -1) if len(key) else np.full(len(h), -1)
 
-def _ask_units(buckets: int):
-    """Units of anchors with several contents, with their bytes, by bucket of the anchor."""
+
+def _told_items(told: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The id and the kind of each item."""
+    ids = [_items(t[1], t[2])[0] for t in told]
+    return np.concatenate([np.zeros(0, np.int64), *ids]), np.repeat(np.array([t[4] for t in told], np.int64), [len(x) for x in ids])
+
+
+def _ask_units(buckets: int, fan: int):
+    """Units of shared anchors by bucket, with bytes where the document was told to stand for them."""
 
     def run(batches):
-        for b, data, ends in _texts(batches):
-            ids, th = b.column("doc_id").to_numpy(), b.column("th").to_numpy()
+        for group, (rows, told) in enumerate(_with_answers(batches)):
+            rows = rows.filter(pc.is_in(rows.column("doc_id"), pa.array(np.unique(_told_items(told)[0]))))
+            if not rows.num_rows:
+                continue
+            who = np.stack([rows.column("doc_id").to_numpy(), rows.column("th").to_numpy()])
+            texts = rows.column("bytes").to_pylist()
+            data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+            del texts
             h, doc, first, last, place = units(data, ends)
-            cuts = np.searchsorted(doc, np.arange(len(ends) + 1))
-            state = np.full(len(h), -1, np.int8)
-            for d, told in enumerate(b.column("anchors").to_pylist()):
-                i, j = cuts[d], cuts[d + 1]
-                for kind in (COVERED, MIXED) if j > i else ():
-                    if parts := [t["data"] for t in told if t["kind"] == kind]:
-                        state[i:j][np.isin(h[i:j], _from_six(b"".join(parts)))] = kind
-            base = np.r_[0, ends[:-1]]
-            k = np.flatnonzero(state == COVERED)
-            if len(k):
-                yield _sure(ids[doc[k]], th[doc[k]], first[k] - base[doc[k]], last[k] - base[doc[k]] + LENGTH)
-            k = np.flatnonzero(state == MIXED)
+            state = _state(who[0], told, h, doc)
+            k = np.flatnonzero(state >= 0)
             if not len(k):
                 continue
-            h, doc, first, last, place = h[k], doc[k], first[k], last[k], place[k]
-            u = contents(data, first, last)
-            order, sure = _least_only(ids, h, u, doc)
-            if sure.any():
-                k = order[sure]
-                yield _sure(ids[doc[k]], th[doc[k]], first[k] - base[doc[k]], last[k] - base[doc[k]] + LENGTH)
-            k = order[~sure]
-            h, doc, first, last, place = h[k], doc[k], first[k], last[k], place[k]
-            to = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            h, doc, first, last, place, to = h[order], doc[order], first[order], last[order], place[order], to[order]
-            raw, cuts, rows = data.tobytes(), _runs(to).tolist(), []
-            starts, sizes = (first - base[doc]).astype(np.int64), np.stack([last - first + 1, place - first], axis=1).astype(np.uint8)
-            body = [raw[i : j + LENGTH] for i, j in zip(first.tolist(), last.tolist(), strict=True)]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                used, where = np.unique(doc[i:j], return_inverse=True)
-                rows.append((int(to[i]), np.stack([ids[used], th[used]]).tobytes(), where.astype(np.uint32).tobytes(), _six(h[i:j]), None, starts[i:j].tobytes(), sizes[i:j].tobytes(), b"".join(body[i:j])))
-            yield _rows(rows)
+            h, doc, first, last, place, state = h[k], doc[k], first[k], last[k], place[k], state[k]
+            u, base = contents(data, first, last), np.r_[0, ends[:-1]][doc]
+            left, k = _least_only(_words(data), who[0], h, u, doc, first, last)
+            if len(k):
+                yield _sure(group % 64, who, doc[k], first[k] - base[k], last[k] - base[k] + LENGTH)
+            k = left
+            shape = np.stack([last - first + 1, place - first, state], axis=1)[k].astype(np.uint8)
+            x = Units(who, doc[k], h[k], u[k], (first - base)[k], shape)
+            x.body = data[_ramp(first[k], x.sizes())]
+            yield x.rows(buckets, fan)
 
     return run
 
 
-def window_owners(bodies: list[bytes], owners: list[int]) -> list[list[int]]:
-    """For each text, for each of its windows, the least owner of a text that has the same window.
+def window_owners(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owners: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Of every window of every piece of ``data``, the least owner of a piece of its group that has the same window.
 
-    The texts' suffix array puts equal windows side by side.
+    Pieces come in the order of their groups.  A group's pieces are one text
+    for the suffix array, which puts equal windows side by side.
     """
-    s: list[int] = []
-    base = []
-    for x in bodies:
-        base.append(len(s))
-        s.extend(x)
-        s.append(-1)  # sorts before every byte and is part of no window
-    whole = b"\0".join(bodies) + b"\0"
-    text_of = np.repeat(np.arange(len(bodies)), [len(x) + 1 for x in bodies])
-    order = np.array(suffix_order(s), dtype=np.int64)
-    ends = np.array([o + len(x) for o, x in zip(base, bodies, strict=True)])
-    order = order[order + LENGTH <= ends[text_of[order]]]
-    found = np.array([whole[p : p + LENGTH] for p in order.tolist()], dtype=f"V{LENGTH}")
-    first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-    who = np.array(owners, dtype=np.int64)[text_of[order]]
-    least = np.repeat(np.minimum.reduceat(who, first), np.diff(np.r_[first, len(order)]))
-    at = np.zeros(len(s), np.int64)
-    at[order] = least
-    return [at[o : o + len(x) - LENGTH + 1] for o, x in zip(base, bodies, strict=True)]
-
-
-def _shared(sides: list[bytes], group: np.ndarray) -> np.ndarray:
-    """For each text, the longest beginning that it has in common with another one of its group."""
+    out = np.zeros(int((sizes - LENGTH + 1).sum()), np.int64)
+    window = np.cumsum(sizes - LENGTH + 1) - (sizes - LENGTH + 1)
+    cuts = _runs(groups)
+    length = np.add.reduceat(sizes + 1, cuts[:-1])
+    order = np.argsort(length, kind="stable")  # groups of like length go forward together
+    total = np.cumsum(length[order])
+    at = 0
+    while at < len(order):
+        end = max(at + 1, int(np.searchsorted(total, total[at] - length[order[at]] + SYMBOLS, side="right")))
+        some = order[at:end]
+        at = end
+        p = _ramp(cuts[:-1][some], np.diff(cuts)[some])
+        # Bytes count from 1; 0 ends each piece, sorts first and is part of no window.
+        s = np.zeros(int((sizes[p] + 1).sum()), np.int64)
+        ends = np.cumsum(sizes[p] + 1)
+        first = ends - sizes[p] - 1
+        s[_ramp(first, sizes[p])] = data[_ramp(starts[p], sizes[p])].astype(np.int64) + 1
+        text_ends = np.cumsum(length[some])
+        if len(some) >= FEW:
+            suffixes = suffix_orders(s, text_ends)
+        else:
+            suffixes = np.concatenate([np.array(suffix_order(s[z - n : z].tolist()), np.int64) + z - n for z, n in zip(text_ends.tolist(), length[some].tolist(), strict=True)])
+        piece = np.repeat(np.arange(len(p)), sizes[p] + 1)
+        text = np.repeat(np.arange(len(some)), length[some])
+        suffixes = suffixes[suffixes + LENGTH < ends[piece[suffixes]]]
+        words = _words((s - 1).astype(np.uint8))
+        new = np.r_[True, (text[suffixes[1:]] != text[suffixes[:-1]]) | _differ(words, suffixes[1:], suffixes[:-1], LENGTH)]
+        runs = np.flatnonzero(new)
+        mine = piece[suffixes]
+        least = np.minimum.reduceat(owners[p[mine]], runs)
+        out[window[p[mine]] + suffixes - first[mine]] = np.repeat(least, np.diff(np.r_[runs, len(suffixes)]))
+    return out
+
+
+def _shared(data: np.ndarray, start: np.ndarray, step: int, sizes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """How far each text, read from ``start`` by ``step``, agrees with another one of its group."""
     width = LENGTH - GRAM
-    n = len(sides)
-    m = np.frombuffer(b"".join([x.ljust(32, b"\xff") for x in sides]), dtype=np.uint8).reshape(n, 32)
+    at = start[:, None] + step * np.arange(width)[None, :]
+    m = np.full((len(start), 32), 255, np.uint8)
+    m[:, :width] = np.where(np.arange(width)[None, :] < sizes[:, None], data.take(np.clip(at, 0, len(data) - 1)), 255)
     key = m.view(">u8")
     order = np.lexsort((key[:, 3], key[:, 2], key[:, 1], key[:, 0], group))
     rows, g = m[order, :width], group[order]
     common = np.cumprod(rows[1:] == rows[:-1], axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
     common[g[1:] != g[:-1]] = 0
-    out = np.zeros(n, np.int64)
+    out = np.zeros(len(start), np.int64)
     out[order] = np.maximum(np.r_[0, common], np.r_[common, 0])
-    return np.minimum(out, [len(x) for x in sides])
+    return np.minimum(out, sizes)
 
 
-def _answer_units(batches):
+def _answer_units(x: Units, groups: int):
     """The covered ranges of each document, from the suffix array of each anchor's different units.
 
     Units of a group agree at the anchor.  What lies further from it than any
-    other unit agrees is part of no equal window: it is cut off first, and the
-    suffix array is built of the different texts that remain.
+    other unit agrees is part of no equal window: of several units it is cut off
+    first, and the suffix array is built of the different texts that remain.
     """
-    ids, ths, hs, starts, sizes, places, bodies = [], [], [], [], [], [], []
-    for b in batches:
-        rows, sure = _forwarded(b)
-        if sure is not None:
-            yield sure
-        for _, who, at, anchors, _, start, size, body in rows:
-            who, where = np.frombuffer(who, dtype=np.int64).reshape(2, -1), np.frombuffer(at, dtype=np.uint32)
-            ids.append(who[0][where])
-            ths.append(who[1][where])
-            hs.append(_from_six(anchors))
-            starts.append(np.frombuffer(start, dtype=np.int64))
-            n, place = np.frombuffer(size, dtype=np.uint8).reshape(-1, 2).T
-            sizes.append(n)
-            places.append(place)
-            n = n.astype(np.int64) + LENGTH - 1
-            bodies += [body[e - k : e] for e, k in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
-    if not hs:
-        return
-    ids, ths, hs, starts = (np.concatenate(x) for x in (ids, ths, hs, starts))
-    sizes, places = (np.concatenate(x).astype(np.int64) for x in (sizes, places))
-    # Different units of each group, with the least document of each: the first in this order.
-    order = np.lexsort((ids, hs))
-    cuts, unit_of, first, group, owner = _runs(hs[order]).tolist(), np.zeros(len(ids), np.int64), [], [], []
-    ids_l, order_l = ids.tolist(), order.tolist()
-    for g, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        own: dict[bytes, int] = {}
-        for r in order_l[a:z]:
-            body = bodies[r]
-            k = own.get(body, -1)
-            if k < 0:
-                k = own[body] = len(first)
-                first.append(r)
-                group.append(g)
-                owner.append(ids_l[r])
-            unit_of[r] = k
-    first, group, owner = np.array(first), np.array(group), np.array(owner)
-    whole = np.flatnonzero(ids > owner[unit_of])
-    if len(whole):
-        yield _answers(_spans(ids[whole], ths[whole], starts[whole], starts[whole] + sizes[whole] - 1 + LENGTH), SPANS)
-    # A document may hold its unit several times: all those rows share its answer.
-    mine = np.flatnonzero(ids == owner[unit_of])
-    mine = mine[np.argsort(unit_of[mine], kind="stable")]
-    bounds = np.searchsorted(unit_of[mine], np.arange(len(first) + 1)).tolist()
-    at = places[first].tolist()
-    left = _shared([bodies[r][:p][::-1][: LENGTH - GRAM] for r, p in zip(first.tolist(), at, strict=True)], group)
-    right = _shared([bodies[r][p + GRAM :][: LENGTH - GRAM] for r, p in zip(first.tolist(), at, strict=True)], group)
-    kept = np.flatnonzero(left + GRAM + right >= LENGTH)
-    out: list[tuple[np.ndarray, ...]] = []
-    cuts = _runs(group[kept]).tolist() if len(kept) else [0]
-    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-        texts: dict[bytes, int] = {}
-        cut = []
-        for k in kept[a:z].tolist():
-            x = bodies[first[k]][at[k] - left[k] : at[k] + GRAM + right[k]]
-            cut.append((k, x))
-            texts[x] = min(texts.get(x, owner[k]), owner[k])
-        least = dict(zip(texts, window_owners(list(texts), list(texts.values())), strict=True))
-        for k, x in cut:
-            w = np.flatnonzero(least[x] < owner[k])
-            if len(w):
-                new = np.flatnonzero(np.r_[True, np.diff(w) > 1])
-                lo, hi = w[new], w[np.r_[new[1:] - 1, len(w) - 1]]
-                shift = at[k] - left[k]
-                for row in mine[bounds[k] : bounds[k + 1]].tolist():
-                    out.append((np.full(len(new), ids[row]), np.full(len(new), ths[row]), starts[row] + shift + lo, starts[row] + shift + hi + LENGTH))
-        if len(out) > 20_000:
-            yield _answers(_spans(*(np.concatenate(c) for c in zip(*out, strict=True))), SPANS)
-            out = []
-    if out:
-        yield _answers(_spans(*(np.concatenate(c) for c in zip(*out, strict=True))), SPANS)
-
-
-def _merged(parts: list[bytes] | None) -> list[tuple[int, int]]:
-    """Maximal runs of the covered ranges."""
-    if parts is None or not len(parts):
-        return []
-    both = np.concatenate([np.frombuffer(p, dtype=np.int64).reshape(2, -1) for p in parts], axis=1)
-    both = both[:, np.argsort(both[0], kind="stable")]
-    reach = np.maximum.accumulate(both[1])
-    cut = np.flatnonzero(np.r_[True, both[0][1:] > reach[:-1]])
-    return list(zip(both[0][cut].tolist(), reach[np.r_[cut[1:] - 1, len(reach) - 1]].tolist(), strict=True))
+    ids, size = x.who[0][x.doc], x.sizes()
+    offset = np.cumsum(size) - size
+    order = np.lexsort((size == 0, ids, x.u, x.h))
+    cuts = _runs(x.h[order], x.u[order])
+    stands = order[cuts[:-1]]  # of each content, a unit of its least holder
+    if not size[stands].all():
+        raise RuntimeError("a passage has no least holder: the table changed between passes")
+    content = np.empty(len(x.h), np.int64)
+    content[order] = np.repeat(np.arange(len(stands)), np.diff(cuts))
+    owner = ids[stands]
+    start, size, place = offset[stands], size[stands], x.shape[stands, 1].astype(np.int64)
+    cuts = _runs(x.h[stands])
+    group, several = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), np.repeat(np.diff(cuts) > 1, np.diff(cuts))
+    shift = np.zeros(len(stands), np.int64)
+    piece = np.arange(len(stands))  # the text that stands for each content in the suffix array
+    k = np.flatnonzero(several)
+    if len(k):
+        reach = np.minimum(place[k], LENGTH - GRAM)
+        left = _shared(x.body, start[k] + place[k] - 1, -1, reach, group[k])
+        rest = size[k] - place[k] - GRAM
+        right = _shared(x.body, start[k] + place[k] + GRAM, 1, np.minimum(rest, LENGTH - GRAM), group[k])
+        shift[k] = place[k] - left
+        start[k] += shift[k]
+        size[k] = left + GRAM + right
+        raw, seen = x.body.tobytes(), {}
+        for c, g, a, n in zip(k.tolist(), group[k].tolist(), start[k].tolist(), size[k].tolist(), strict=True):
+            piece[c] = seen.setdefault((g, raw[a : a + n]), c) if n >= LENGTH else -1
+    used = np.flatnonzero(piece == np.arange(len(piece)))
+    asked = np.flatnonzero(piece >= 0)
+    least = np.full(len(stands), np.iinfo(np.int64).max)
+    np.minimum.at(least, piece[asked], owner[asked])
+    found = window_owners(x.body, start[used], size[used], least[used], group[used])
+    windows = size[used] - LENGTH + 1
+    at = np.zeros(len(stands), np.int64)
+    at[used] = np.cumsum(windows) - windows
+    # Holders: rows of the least document follow the windows of its own content, all windows of others are covered.
+    n = size[asked] - LENGTH + 1
+    of, w = np.repeat(asked, n), _ramp(np.zeros(len(asked), np.int64), n)
+    less = np.flatnonzero(found[_ramp(at[piece[asked]], n)] < owner[of])
+    of, w = of[less], w[less]
+    first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (w[1:] != w[:-1] + 1)]) if len(of) else np.zeros(0, np.int64)
+    last = np.r_[first[1:] - 1, len(of) - 1][: len(first)]
+    of, lo, hi = of[first], w[first] + shift[of[first]], w[last] + shift[of[first]] + LENGTH
+    mine = np.flatnonzero(ids == owner[content])
+    mine = mine[np.argsort(content[mine], kind="stable")]
+    bounds = np.searchsorted(content[mine], np.arange(len(stands) + 1))
+    times = (bounds[1:] - bounds[:-1])[of]
+    row, r = mine[_ramp(bounds[of], times)], np.repeat(np.arange(len(of)), times)
+    whole = np.flatnonzero(ids > owner[content])
+    span = x.shape[whole, 0].astype(np.int64) - 1 + LENGTH
+    rows = np.r_[row, whole]
+    if len(rows):
+        yield _covered(*_spans(x.who, x.doc[rows], np.r_[x.start[row] + lo[r], x.start[whole]], np.r_[x.start[row] + hi[r], x.start[whole] + span]), groups)
+
+
+def _cut(columns: list[str], text: str, as_text: bool):
+    """Documents with the bytes (or, without characters that were cut through, the text) outside their covered ranges."""
+    kind = pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if as_text else pa.binary())])
+
+    def run(batches):
+        for rows, told in _with_answers(batches, text):
+            parts = [(*_items(t[1], t[2]), np.frombuffer(t[3], np.int64).reshape(-1, 2)) for t in told]
+            ids, ths, spans = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2 + (np.zeros((0, 2), np.int64),)
+            who, doc = {}, np.empty(len(ids), np.int64)
+            for r, key in enumerate(zip(ids.tolist(), ths.tolist(), strict=True)):
+                doc[r] = who.setdefault(key, len(who))
+            doc, start, end = _merged(doc, spans[:, 0], spans[:, 1])
+            bounds = np.searchsorted(doc, np.arange(len(who) + 1)).tolist()
+            start, end, out = start.tolist(), end.tolist(), []
+            for i, th, t in zip(rows.column("doc_id").to_pylist(), rows.column("th").to_pylist(), rows.column(text).cast(pa.binary()).to_pylist(), strict=True):
+                t, k = t or b"", who.get((i, th), -1)
+                runs = range(bounds[k], bounds[k + 1]) if k >= 0 else ()
+                at, kept = 0, []
+                for r in runs:
+                    kept.append(t[at : start[r]])
+                    at = end[r]
+                kept.append(t[at:])
+                body = b"".join(kept)
+                out.append((sum(end[r] - start[r] for r in runs), len(runs), body.decode("utf-8", "ignore") if as_text else body))
+            new = pa.array([dict(zip(("n_removed", "n_spans", "kept"), x, strict=True)) for x in out], kind)
+            for part in rows.select([f"c_{k}" for k in range(len(columns))]).append_column("dedup", new).rename_columns([*columns, "dedup"]).to_batches():
+                yield part
 
+    return run
 
-def _cutter(as_text: bool):
-    """The bytes (or, with characters that were cut through left out, the text) outside the covered ranges."""
-    kind = T.StringType() if as_text else T.BinaryType()
 
-    def run(text, spans):
-        import pandas as pd
+def _dealt(asked: DataFrame, buckets: int, fan: int, answer) -> DataFrame:
+    """Units to their buckets, and each bucket's answers."""
+    if fan < buckets:
+        asked = asked.repartition(fan, "bucket").mapInArrow(_resplit(buckets), _KINDS)
+    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, _ANSWERS)
 
-        rows = []
-        for t, parts in zip(text, spans, strict=True):
-            runs, at, kept = _merged(parts), 0, []
-            for a, z in runs:
-                kept.append(t[at:a])
-                at = z
-            kept.append(t[at:])
-            out = b"".join(kept)
-            rows.append((sum(z - a for a, z in runs), len(runs), out.decode("utf-8", "ignore") if as_text else out))
-        return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept"])
 
-    return F.pandas_udf(run, T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", kind)]))
+def _met(texts: DataFrame, answers: DataFrame, tasks: int) -> DataFrame:
+    """Texts and answers by group of documents, answers first."""
+    return texts.unionByName(answers, allowMissingColumns=True).repartition(tasks, "g").sortWithinPartitions("g", "kind")
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """``docs`` with a column ``dedup`` of n_removed, n_spans and kept (the bytes, or the text, that stay)."""
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("bytes")).where(F.col("doc_id").isNotNull())
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = int(min(BUCKETS, total // BUCKET_BYTES + 1))
-    kinds = "doc_id long, th long, kind int, data binary"
-    first = stored(rows.mapInArrow(_ask_anchors(buckets), _KINDS).repartition("bucket").mapInArrow(_answer_anchors, kinds), "anchors")
-    freed(spark)
-    flags = first.where(F.col("kind") != SPANS).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "data")).alias("anchors"))
-    marked = rows.join(flags.hint("merge"), "doc_id").select("doc_id", "th", "bytes", "anchors")
-    second = stored(marked.mapInArrow(_ask_units(buckets), _KINDS).repartition("bucket").mapInArrow(_answer_units, kinds), "covered")
-    freed(spark)
+    buckets, groups = int(total // BUCKET_BYTES + 1), int(total // GROUP_BYTES + 1)
+    fan = buckets if buckets <= FAN else FAN
+    doc_id = F.col(id_col).cast("long")
+    # Documents without an id have no answers; they are spread by their texts.
+    place = F.coalesce(_group_of(doc_id, groups), -1 - F.pmod(F.xxhash64(body), F.lit(groups)))
+    own = [place.alias("g"), F.lit(TEXT).alias("kind"), doc_id.alias("doc_id"), F.xxhash64(body).alias("th")]
+    rows = docs.select(*own, body.alias("bytes")).where(F.col("doc_id").isNotNull())
+    asked = rows.select("doc_id", "th", "bytes").mapInArrow(_ask_anchors(buckets, fan), _KINDS)
+    first = stored(_dealt(asked, buckets, fan, _answering(_answer_anchors, groups)), "anchors")
+    asked = _met(rows, first.where(F.col("kind") != SPANS), buckets).mapInArrow(_ask_units(buckets, fan), _KINDS)
+    second = stored(_dealt(asked, buckets, fan, _answering(_answer_units, groups)), "covered")
     covered = first.where(F.col("kind") == SPANS).unionByName(second)
-    spans = covered.groupBy("doc_id", "th").agg(F.collect_list("data").alias("spans")).select(F.col("doc_id").alias("_c_id"), F.col("th").alias("_c_th"), F.col("spans").alias("_c_spans"))
-    joined = docs.join(spans.hint("merge"), (docs[id_col].cast("long") == F.col("_c_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit("")).cast("binary")) == F.col("_c_th")), "left")
-    cut = _cutter(as_text)(F.coalesce(docs[text_col], F.lit("")).cast("binary"), F.col("_c_spans"))
-    return joined.select(*[docs[c] for c in docs.columns], cut.alias("dedup"))
+    named = [F.col(c).alias(f"c_{k}") for k, c in enumerate(docs.columns)]
+    kind = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("dedup", kind)])
+    return _met(docs.select(*own, *named), covered, buckets).mapInArrow(_cut(docs.columns, f"c_{docs.columns.index(text_col)}", as_text), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

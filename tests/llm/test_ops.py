@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillon.llm import op01_topk, op02_tokens, op03_mix, op04_jaccard, op05_fingerprints, op06_ring, op07_toxicity, op08_quality, op09_suffix, op10_pack
 from quillon.llm.components import components
 
+NO_CONTEXT = ([], np.zeros((0, op08_quality.CONTEXT), np.float32))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, th long, key string, root long, shard int"
 
 
@@ -311,22 +312,115 @@ def test_topk_large_components(spark):
         op01_topk.topk(e, e.unionByName(spark.createDataFrame([(9, [1e30, 0.0])], e.schema)), 5)
 
 
-@pytest.mark.parametrize("size", [1 << 16, 50])
-def test_quality_whole_words(size, monkeypatch):
-    monkeypatch.setattr(op08_quality, "PASS", size, raising=False)
+@pytest.mark.parametrize("short", [32, 2])
+def test_quality_whole_words(short, monkeypatch):
+    monkeypatch.setattr(op08_quality, "SHORT", short)
     rng = random.Random(6)
-    made = ["".join(rng.choice("abc日é") for _ in range(n)) for n in (1, 3, 254, 255, 256, 257, 900, 70_000 if size > 50 else 2_000)]
+    made = ["".join(rng.choice("abc日é") for _ in range(n)) for n in (1, 3, 31, 32, 33, 254, 255, 256, 257, 900, 70_000)]
     made += [made[-2] + "xyz", "z"]
-    pooler = op08_quality.Pooler({})
-    pooler.pool([" ".join(made)])
-    for w in made:
+    pooler = op08_quality.Pooler(NO_CONTEXT)
+    got = pooler.vectors(made)
+    for w, v in zip(made, got, strict=True):
         b = b"^" + w.encode() + b"$"
         code = np.array([b[i] << 16 | b[i + 1] << 8 | b[i + 2] for i in range(len(b) - 2)], dtype=np.uint64)
-        v = pooler.grams[(op08_quality.mixed(code) % np.uint64(op08_quality.GRAMS)).astype(int)].astype(float).sum(axis=0)
-        assert np.allclose(pooler.vectors[pooler.at[w], : op08_quality.DIM], v / np.sqrt((v * v).sum()), atol=1e-6)
+        want = pooler.grams[(op08_quality.mixed(code) % np.uint64(op08_quality.GRAMS)).astype(int)].astype(float).sum(axis=0)
+        assert np.allclose(v[: op08_quality.DIM], want / np.sqrt((want * want).sum()), atol=1e-6)
     assert not np.array_equal(*pooler.pool([made[-3], made[-2]])[:, : op08_quality.DIM])
 
 
+def test_quality_pool(rows, monkeypatch):
+    """Against a plain pool of each text, whole and in parts."""
+    texts = [t or "" for _, t, *_ in rows] + ["long " * 50_000, "x" * 1_000_000, " ".join(f"v{k % 977}" for k in range(90_000))]
+    context = op08_quality.contexts([t for t in texts if t] * 5)
+    for part in (op08_quality.PART, 7):
+        monkeypatch.setattr(op08_quality, "PART", part)
+        pooler, want = op08_quality.Pooler(context), []
+        some = texts if part > 7 else texts[:-3]
+        for t in some:
+            w = t.split()
+            v = pooler.vectors(w).astype(float) if w else np.zeros((0, 96))
+            if not w:
+                want.append(np.zeros(195))
+                continue
+            alike = (v[1:, :64] * v[:-1, :64]).sum() / max(1, len(w) - 1)
+            kinds = list(dict.fromkeys(w))
+            want.append(np.r_[v.mean(axis=0), v[[w.index(k) for k in kinds]].mean(axis=0), alike, np.log1p(len(w)), len(kinds) / len(w)])
+        assert np.allclose(np.vstack([pooler.pool(g) for g in op08_quality._grouped(some)]), np.array(want), atol=1e-4)
+
+
+def test_quality_network():
+    """The score is a plain forward pass; the temperature is the grid's best on the held-out fifth."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 6))
+    y = (x[:, 0] + 0.5 * rng.normal(size=400) > 0).astype(float)
+    net = op08_quality.Network(0.5)
+    net.fit(x, y)
+
+    def logit(r):
+        z = [min(8.0, max(-8.0, (r[j] - net.mean[j]) / net.sd[j])) for j in range(6)]
+        h = [np.tanh(sum(z[j] * net.w1[j][k] for j in range(6)) + net.b1[k]) for k in range(op08_quality.HIDDEN)]
+        return sum(a * b for a, b in zip(h, net.w2, strict=True)) + net.b2[0]
+
+    z = np.array([logit(r) for r in x])
+    assert np.allclose(net.score(x), 1 / (1 + np.exp(-z / net.temperature)))
+    held = np.random.default_rng(7).permutation(400)[:80]
+    loss = lambda t: np.mean(np.log1p(np.exp(-np.where(y[held] == 1, 1, -1) * z[held] / t)))
+    assert all(loss(net.temperature) <= loss(t) + 1e-12 for t in np.exp(np.linspace(-1.5, 3, 91)))
+    assert np.mean((net.score(x) >= 0.5) == y) > 0.8
+
+
+def test_ftrl_by_the_book():
+    """Against FTRL-proximal written a coordinate at a time."""
+    rng, o = random.Random(3), op07_toxicity
+    made = [(sorted(rng.sample(range(50), 8)), rng.randrange(2)) for _ in range(120)]
+    model, z, n = o.Ftrl(), {}, {}
+    bias = 1 << o.BITS
+
+    def weight(i):
+        if i == bias:
+            return -z.get(i, 0.0) * o.ALPHA / (o.BETA + n.get(i, 0.0) ** 0.5)
+        if abs(z.get(i, 0.0)) <= o.L1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * o.L1) / ((o.BETA + n[i] ** 0.5) / o.ALPHA + o.L2)
+
+    for at, y in made * 4:
+        at = [*at, bias]
+        model.learn(np.array(at), y)
+        w = {i: weight(i) for i in at}
+        g = (1 / (1 + np.exp(-sum(w.values()))) - y) * (o.POSITIVE if y else 1.0)
+        for i in at:
+            m = n.get(i, 0.0) + g * g
+            z[i] = z.get(i, 0.0) + g - (m**0.5 - n.get(i, 0.0) ** 0.5) / o.ALPHA * w[i]
+            n[i] = m
+    at, w = model.sparse()
+    assert {int(i) for i in at} == {i for i in z if i == bias or abs(z[i]) > o.L1}
+    assert all(abs(weight(int(i)) - x) < 1e-9 for i, x in zip(at, w, strict=True)) and 0 < len(at) < 50
+
+
+def test_labelled_sample(spark):
+    from quillon.llm.common import labelled_sample
+
+    rng = random.Random(8)
+    docs = [(i, f"text {i} " + "x" * rng.randrange(50)) for i in range(200)] + [(3, "another"), (5, None), (5, ""), (None, "no id")] + [(7, "again")] * 50
+    labels = [(i, rng.randrange(2)) for i in range(0, 300, 2)] + [(i, None) for i in range(1, 40, 4)] + [(7, 0), (7, 1), (None, 1), (3, 1), (5, 0)] + [(i, 1) for i in range(5000, 5400)]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    best = {}
+    for i, v in labels:
+        if i is not None and v is not None and zlib.crc32(str(i).encode()) % 5:
+            best[i] = max(v, best.get(i, 0))
+    everything = {(i, t or "", best[i]) for i, t in docs if i in best}
+    got = [tuple(r) for r in labelled_sample(d, y, "toxic", 10_000).collect()]
+    assert len(got) == len(set(got)) and set(got) == everything
+    hashed = {r.i: r.h for r in spark.createDataFrame([(i,) for i in best], "i long").select("i", F.xxhash64("i").alias("h")).collect()}
+    for rows, size in ((5, 1 << 20), (10_000, 300), (3, 40)):
+        some = [tuple(r) for r in labelled_sample(d, y, "toxic", rows, size).collect()]
+        assert set(some) <= everything and len(some) <= rows and sum(len(t.encode()) for _, t, _ in some) <= size
+        top = sorted({i for i, *_ in some}, key=lambda i: hashed[i])
+        assert top == sorted({i for i, *_ in everything}, key=lambda i: hashed[i])[: len(top)]
+        if rows == 5:
+            assert len(some) == 5
+
+
 def passages_brute(rows):
     first, out = {}, Counter()
     body = lambda t: (t or "").encode()
@@ -351,9 +445,21 @@ def test_suffix_order():
         assert op09_suffix.suffix_order(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("size", [2 << 20, 400])
-def test_suffix_dedup(docs, rows, none, size, monkeypatch):
+def test_suffix_orders_of_many_texts():
+    rng = random.Random(1)
+    for _ in range(200):
+        texts = [[rng.randrange(rng.choice((1, 2, 4, 256))) for _ in range(rng.randrange(1, 60))] for _ in range(rng.randrange(1, 9))]
+        got, at = op09_suffix.suffix_orders(np.array(sum(texts, [])), np.cumsum([len(t) for t in texts])), 0
+        for t in texts:
+            assert (got[at : at + len(t)] - at).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+            at += len(t)
+
+
+@pytest.mark.parametrize("size,bucket,fan", [(2 << 20, 16 << 20, 4096), (400, 4000, 4096), (400, 4000, 3)])
+def test_suffix_dedup(docs, rows, none, size, bucket, fan, monkeypatch):
     monkeypatch.setattr(op09_suffix, "GROUP_BYTES", size)
+    monkeypatch.setattr(op09_suffix, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(op09_suffix, "FAN", fan)
     got = Counter((r.doc_id, r.dedup.n_removed, r.dedup.n_spans, bytes(r.dedup.kept)) for r in op09_suffix.dedup(docs).collect())
     assert got == passages_brute(rows)
     assert op09_suffix.dedup(none).count() == 0
