@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import op03_mix, op04_jaccard, op08_quality, op09_suffix, op10_pack
-from quillon.llm.common import labelled_sample, stored, table, text_or_empty
+from quillon.llm.common import dropped, labelled_sample, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = op08_quality.fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", op08_quality.ROWS))
-    return docs.where(op08_quality.scorer(spark, model)(text_or_empty()) >= 0.3)
+    return op08_quality.kept(docs, model)
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,6 @@ ORACLE_SQL = None  # the classifier and the packing are beyond SQL
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
