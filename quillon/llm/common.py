@@ -85,6 +85,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def rest_of(docs: DataFrame) -> Column:
+    """A hash of the columns of simple types, to tell apart rows with one id and text."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "<" not in kind and kind not in ("variant", "void")])
+
+
 def held_out(name: str = "doc_id") -> Column:
     """crc32 of the id as text is divisible by 5; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(name).cast("string")) % 5 == 0, F.lit(False))

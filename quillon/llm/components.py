@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
@@ -35,5 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         inner = n == nodes and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
         if n == nodes and not inner:
             break
-        e = stored(_star(_star(e, True), False), "edges")
+        before, e = e, stored(_star(_star(e, True), False), "edges")
+        dropped(before)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

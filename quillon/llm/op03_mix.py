@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, stored, table
+from .common import WORD, rest_of, stored, table
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 64
@@ -135,7 +135,7 @@ class Mix:
     def __init__(self, docs: DataFrame, *, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, shard_slots: int = SHARD_SLOTS):
         self.cap, self._slots, spark = cap, None, docs.sparkSession
         # The ids, sources and sizes alone go through the plan.
-        rows = stored(docs.select("doc_id", "source", sized(docs).alias("size"), F.xxhash64("text").alias("th"), _rest(docs).alias("rest")), "mix")
+        rows = stored(docs.select("doc_id", "source", sized(docs).alias("size"), F.xxhash64("text").alias("th"), rest_of(docs).alias("rest")), "mix")
         cells = max(1, rows.count() // CELL)
         by_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
         by_source = by_source.withColumn("block", F.greatest(_long(1), F.least(_long(block), F.floor(F.col("source_size") / FINE).cast("long"))))
@@ -236,7 +236,7 @@ class Mix:
         parts = parts.withColumn("flags", F.transform("flags", lambda f: f["used"]))
         where = self.docs.where(F.col("size") > 0).join(parts.hint("merge"), ["s", "start"])
         plan = where.select(*[F.col(c).alias(f"_m_{c}") for c in ("doc_id", "source", "th", "copy", "size", "start", "b", "n", "flags")])
-        rows = docs.select(*docs.columns, F.xxhash64("text").alias("_m_hash"), _rest(docs).alias("_m_rest"))
+        rows = docs.select(*docs.columns, F.xxhash64("text").alias("_m_hash"), rest_of(docs).alias("_m_rest"))
         rows = rows.withColumn("_m_row", F.row_number().over(Window.partitionBy("doc_id", "source", "_m_hash").orderBy("_m_rest"))).drop("_m_rest")
         same = [F.col("doc_id").eqNullSafe(F.col("_m_doc_id")), F.col("source").eqNullSafe(F.col("_m_source")), F.col("_m_hash") == F.col("_m_th"), F.col("_m_row") == F.col("_m_copy")]
         out = rows.join(plan.hint("merge"), same[0] & same[1] & same[2] & same[3])
@@ -248,11 +248,6 @@ class Mix:
         return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
-def _rest(docs: DataFrame) -> Column:
-    """A hash of the columns of simple types, to tell apart rows with one id, source and text."""
-    return F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "<" not in kind and kind not in ("variant", "void")])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken", "first_shard", "last_shard")
 

@@ -7,11 +7,21 @@ agree on none.  In a band's bucket, pairs are compared a few values at a time,
 and a pair is dropped once the posterior probability of reaching the threshold
 (uniform prior) is below ``TOLERANCE``.  What survives is handed on as trees,
 so a bucket gives fewer rows than it has nodes; connected survivors form a
-cluster, and within a cluster all pairs are verified exactly, from their
-shingle sets.  Links are counted there, not emitted.
-
-Large buckets and clusters are cut into tiles of ``TILE`` nodes, and pairs of
-tiles are tasks' groups, so no group is larger than two tiles.
+cluster, and within a cluster all pairs are decided exactly, from their shingle
+sets.  Links are counted there, not emitted.
+
+Distance (1 - similarity) is a metric, so most pairs of a cluster need no
+comparison: the distances x and y of two nodes from the cluster's first node
+tell that they are linked where x + y is at most 1 - threshold.  Distances are
+rounded up to thousandths and counted, so a cluster of near copies costs one
+comparison a node, however large it is.  Pairs for which the sum is larger are
+compared: nodes further than half the bound with each other and with the nearer
+ones for which it matters, never the nearer ones among themselves.
+
+Buckets are cut into tiles of ``TILE`` nodes, and pairs of tiles are tasks'
+groups; a bucket of more than ``WIDE`` nodes, where that would be too many
+pairs, goes on as a whole, which loses nothing.  Clusters are cut into tiles of
+at most ``TILE`` nodes and about ``TILE_BYTES`` of shingles.
 
 Shingles are ``N`` consecutive words, words being separated by space and U+0009
 to U+000D; fewer words than ``N`` make one shingle of all of them.
@@ -19,8 +29,10 @@ to U+000D; fewer words than ``N`` make one shingle of all of them.
 Defined results: a text without words (null, empty or white space) is similar
 to nothing, not even to another such text: it has 0 links and is its own class.
 A class is named by its least doc_id; a null id counts as a document and names
-no class unless all its ids are null.  Repeated rows are copies.  Every row
-gives one row; an empty table gives none.
+no class unless all its ids are null.  Repeated rows are copies.  Texts of any
+length count whole, and so do words; a text without spaces is one word.  A
+similarity of exactly the threshold is a link.  Every row gives one row; an
+empty table gives none; columns other than id and text aren't read.
 """
 
 from __future__ import annotations
@@ -30,10 +42,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import mixed, ready, spread, stored, table, text_or_empty
+from .common import WORD, dropped, mixed, ready, rest_of, spread, stored, table, text_or_empty
 from .components import components
 
 N = 5
@@ -43,6 +56,9 @@ HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
 TILE = 1024
+WIDE = 8 * TILE
+TILE_BYTES = 16 << 20
+LEVELS = 1000
 KEPT = 300_000
 
 _A = (spread(HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -148,14 +164,15 @@ def _groups(batches, keys: int):
         yield pa.Table.from_batches(held)
 
 
-def _tiled(df: DataFrame, key: str, size: str, tile: int) -> DataFrame:
-    """Rows of ``df`` dealt to pairs of tiles: columns key, a, b, side first; sorted in partitions."""
-    t = F.ceil(F.col(size) / tile).cast("int")
-    own = F.pmod(F.xxhash64("nid"), t).cast("int")
-    d = df.withColumn("_t", t).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_t") - 1)))
-    d = d.withColumn("a", F.least("_own", "_other")).withColumn("b", F.greatest("_own", "_other"))
-    rest = [c for c in df.columns if c not in (key, size)]
-    return d.select(key, "a", "b", F.col("_own").alias("side"), *rest).repartition(key, "a", "b").sortWithinPartitions(key, "a", "b", "nid")
+def _paired(df: DataFrame, key: str, own: Column, others: Column, rest: list[str]) -> DataFrame:
+    """Rows dealt to pairs of tiles, their own and each of the others: key, a, b, side, rest; sorted in partitions."""
+    d = df.withColumn("_own", own.cast("int")).withColumn("_other", F.explode(others.cast("array<int>")))
+    d = d.select(key, F.least("_own", "_other").alias("a"), F.greatest("_own", "_other").alias("b"), F.col("_own").alias("side"), *rest)
+    return d.repartition(key, "a", "b").sortWithinPartitions(key, "a", "b", "nid")
+
+
+def _tile(tiles: Column) -> Column:
+    return F.pmod(F.xxhash64("nid"), tiles)
 
 
 def _survivors(least: dict[int, int]):
@@ -215,9 +232,40 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
+def _levels(batches):
+    """Distance of each node from its cluster's first node, in steps of 1 / LEVELS, rounded up."""
+    pivot, now, last = None, None, None
+    for b in batches:
+        cluster, tile, first, nid = (b.column(i).to_numpy() for i in range(4))
+        cuts = sorted({0, b.num_rows, *np.flatnonzero(first).tolist()})
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if first[i]:  # it comes before the other rows of its group
+                if (cluster[i], tile[i]) != now:
+                    pivot, now, last = np.frombuffer(b.column(5)[i].as_py(), dtype=np.uint64), (cluster[i], tile[i]), None
+                i += 1
+            keep = np.ones(j - i, bool)
+            for k in range(i, j):  # a node whose document is repeated came more than once
+                if (cluster[k], tile[k]) != now:
+                    raise RuntimeError("a cluster has no first node: the table changed between passes")
+                keep[k - i], last = nid[k] != last, nid[k]
+            at = np.flatnonzero(keep) + i
+            if not len(at):
+                continue
+            part = b.take(pa.array(at))
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in part.column(5).to_pylist()]
+            size = np.array([len(x) for x in sets], dtype=np.int64)
+            flat = np.concatenate(sets)
+            hit = pivot[np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)] == flat
+            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+            union = size + len(pivot) - common
+            level = -(-LEVELS * (union - common) // union)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), part.column(4), pa.array(size), pa.array(level)], ["cluster", "nid", "weight", "size", "level"])
+
+
 def _verified(threshold: Fraction):
-    """Links of each node in a group, weighted by copies, and trees of the linked."""
+    """Links of each node in a group that distances didn't tell, weighted by copies, and trees of the linked."""
     num, den = threshold.numerator, threshold.denominator
+    reach = LEVELS * (den - num) // den
 
     def run(batches):
         for g in _groups(batches, 3):
@@ -230,23 +278,19 @@ def _verified(threshold: Fraction):
             if n < 2:
                 continue
             g = g.take(at)
-            side, nid, weight = g.column(3).to_numpy(), g.column(4).to_numpy(), g.column(5).to_numpy()
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in g.column(6).to_pylist()]
+            side, nid, weight, level = (g.column(i).to_numpy() for i in (3, 4, 5, 6))
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in g.column(7).to_pylist()]
             size = np.array([len(s) for s in sets], dtype=np.int64)
-            inter = _intersections(sets)
-            link = inter * (num + den) >= num * (size[:, None] + size[None, :])
+            link = _intersections(sets) * (num + den) >= num * (size[:, None] + size[None, :])
+            link &= level[:, None] + level[None, :] > reach
             np.fill_diagonal(link, False)
             if a != b:
                 link &= side[:, None] != side[None, :]
             forest = Forest(n)
-            parent = nid.copy()
-            for i in range(n):
-                for j in np.flatnonzero(link[i, i + 1 :]) + i + 1:
-                    forest.join(i, int(j))
-            for i in range(n):
-                parent[i] = nid[forest.find(i)]
-            links = link @ weight
-            yield pa.RecordBatch.from_arrays([pa.array(nid, pa.int64()), pa.array(parent, pa.int64()), pa.array(links, pa.int64())], ["nid", "parent", "links"])
+            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(link))), strict=True):
+                forest.join(i, j)
+            parent = nid[[forest.find(i) for i in range(n)]]
+            yield pa.RecordBatch.from_arrays([pa.array(nid, pa.int64()), pa.array(parent, pa.int64()), pa.array(link @ weight, pa.int64())], ["nid", "parent", "links"])
 
     return run
 
@@ -286,51 +330,90 @@ def _fetched(batches):
                 keep.append(r)
                 sets.append(s.tobytes())
         part = b.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(5), pa.array(sets, pa.binary())], ["cluster", "nid", "weight", "members", "shingles"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(sets, pa.binary())], ["cluster", "nid", "weight", "shingles"])
 
 
-def join(docs: DataFrame, *, threshold: Fraction = THRESHOLD, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, *, threshold: Fraction = THRESHOLD, tile: int = TILE, wide: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the least id of its connected group), links and th (a hash of the text)."""
     ready(docs.sparkSession)
+    wide = WIDE if wide is None else wide
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
     signed = stored(rows.mapInArrow(_signed, "doc_id long, th long, set_key string, size long, sig binary"), "signed")
     # Nodes: sets, with one document to read the set from.
-    nodes = signed.where(F.col("size") > 0).groupBy("set_key").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.count("*").alias("weight"), F.min("sig").alias("sig"))
-    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("nid"), "set_key", "one.doc_id", "one.th", "weight", "sig"), "nodes")
-    keyed = nodes.select("nid", "sig").mapInArrow(_banded, "key long, nid long")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("nid").alias("one")).where(F.col("n") > 1).select("key", "n")
-    meeting = stored(keyed.join(shared.hint("merge"), "key"), "meeting")
-    buckets = meeting.join(nodes.select("nid", "sig").hint("merge"), "nid").select("key", "n", "nid", "sig")
-    trees = stored(_tiled(buckets, "key", "n", tile).mapInArrow(_survivors(least_matches(threshold, TOLERANCE)), "u long, v long"), "survivors")
-    clusters = stored(components(trees), "clusters")
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("members"))
-    wanted = (
-        clusters.join(sizes.hint("merge"), "root").join(nodes.drop("sig").hint("merge"), clusters["node"] == nodes["nid"])
-        .select(F.col("root").alias("cluster"), "nid", "weight", "set_key", "members", F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"))
-    )
-    texts = rows.join(wanted.hint("merge"), (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("cluster", "nid", "weight", "set_key", "text", "members")
-    sets = texts.mapInArrow(_fetched, "cluster long, nid long, weight long, members long, shingles binary")
-    checked = stored(_tiled(sets, "cluster", "members", tile).mapInArrow(_verified(threshold), "nid long, parent long, links long"), "verified")
+    nodes = signed.where(F.col("size") > 0).groupBy("set_key").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.min("doc_id").alias("least_id"), F.count("*").alias("weight"), F.min("size").alias("size"), F.min("sig").alias("sig"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("nid"), "set_key", "one.doc_id", "one.th", "least_id", "weight", "size", "sig"), "nodes")
+    clusters = _clusters(nodes, least_matches(threshold, TOLERANCE), tile, wide)
+    wanted = clusters.join(nodes.drop("sig").hint("merge"), clusters["node"] == nodes["nid"])
+    wanted = wanted.select(F.col("root").alias("cluster"), "nid", "weight", "set_key", F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"))
+    texts = rows.join(wanted.hint("merge"), (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("cluster", "nid", "weight", "set_key", "text")
+    sets = stored(texts.mapInArrow(_fetched, "cluster long, nid long, weight long, shingles binary"), "sets")
+    checked = stored(_linked(sets, clusters, nodes, threshold, tile), "verified")
     roots = components(checked.select(F.col("nid").alias("u"), F.col("parent").alias("v")))
     links = checked.groupBy("nid").agg(F.sum("links").alias("other"))
-    placed = nodes.select("nid", "set_key", "weight").join(roots.hint("merge"), F.col("nid") == F.col("node"), "left").join(links.hint("merge"), "nid", "left")
-    placed = placed.select("set_key", F.coalesce("root", "nid").alias("root"), (F.coalesce("other", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    found = stored(signed.drop("sig").join(placed.hint("merge"), "set_key", "left"), "linked")
-    names = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    out = found.join(names.hint("merge"), "root", "left")
+    placed = nodes.select("nid", "set_key", "weight", "least_id").join(roots.hint("merge"), F.col("nid") == F.col("node"), "left").join(links.hint("merge"), "nid", "left")
+    placed = stored(placed.select("set_key", "least_id", F.coalesce("root", "nid").alias("root"), (F.coalesce("other", F.lit(0)) + F.col("weight") - 1).alias("links")), "placed")
+    # Both sides of a join on a root come from tables, so a hot root can be split.
+    names = stored(placed.groupBy("root").agg(F.min("least_id").alias("class_id")), "names")
+    placed = placed.join(names.hint("merge"), "root").select("set_key", "root", "links", "class_id")
+    out = signed.drop("sig").join(placed.hint("merge"), "set_key", "left")
+    dropped(clusters, sets, checked)
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), "th", "root")
 
 
+def _clusters(nodes: DataFrame, least: dict[int, int], tile: int, wide: int) -> DataFrame:
+    """(node, root) of all nodes that a chain of candidates connects with another."""
+    keyed = nodes.select("nid", "sig").mapInArrow(_banded, "key long, nid long")
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("nid").alias("one")).where(F.col("n") > 1), "shared")
+    meeting = stored(keyed.join(shared.hint("merge"), "key"), "meeting")
+    buckets = meeting.where(F.col("n") <= wide).join(nodes.select("nid", "sig").hint("merge"), "nid").select("key", F.ceil(F.col("n") / tile).alias("t"), "nid", "sig")
+    trees = _paired(buckets, "key", _tile(F.col("t")), F.sequence(F.lit(0), F.col("t").cast("int") - 1), ["nid", "sig"]).mapInArrow(_survivors(least), "u long, v long")
+    whole = meeting.where((F.col("n") > wide) & (F.col("nid") != F.col("one"))).select(F.col("nid").alias("u"), F.col("one").alias("v"))
+    edges = stored(trees.unionByName(whole), "survivors")
+    dropped(shared, meeting)
+    found = stored(components(edges), "clusters")
+    dropped(edges)
+    return found
+
+
+def _linked(sets: DataFrame, clusters: DataFrame, nodes: DataFrame, threshold: Fraction, tile: int) -> DataFrame:
+    """nid, parent (a node that it is linked with, directly or not) and links, in parts that add up."""
+    reach = LEVELS * (threshold.denominator - threshold.numerator) // threshold.denominator
+    tiles = lambda n, size: F.ceil(F.greatest(n / tile, size * 8 / TILE_BYTES)).cast("int")
+    sizes = clusters.join(nodes.select("nid", "size").hint("merge"), F.col("node") == F.col("nid")).groupBy("root").agg(tiles(F.count("*"), F.sum("size")).alias("t"))
+    dealt = sets.join(stored(sizes, "sizes").hint("merge"), F.col("cluster") == F.col("root"))
+    # The first node of a cluster, the one that names it, goes to each of its tiles.
+    own = dealt.select("cluster", _tile(F.col("t")).cast("int").alias("tile"), F.lit(0).alias("first"), "nid", "weight", "shingles")
+    firsts = dealt.where(F.col("nid") == F.col("cluster")).select("cluster", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("tile"), F.lit(1).alias("first"), "nid", "weight", "shingles")
+    met = own.unionByName(firsts).repartition("cluster", "tile").sortWithinPartitions("cluster", "tile", F.desc("first"), "nid")
+    levels = stored(met.mapInArrow(_levels, "cluster long, nid long, weight long, size long, level long"), "levels")
+    counts = levels.groupBy("cluster", "level").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.sum("size").alias("size"))
+    # At most LEVELS + 1 entries for a cluster.
+    counts = stored(counts.groupBy(F.col("cluster").alias("c_cluster")).agg(F.collect_list(F.struct("level", "w", "n", "size")).alias("at"), F.max("level").alias("far")), "counts")
+    told = levels.join(counts.hint("merge"), F.col("cluster") == F.col("c_cluster"))
+    total = lambda keep, what: F.aggregate(F.filter("at", keep), F.lit(0).cast("long"), lambda s, x: s + x[what])
+    near = F.col("level") * 2 <= reach
+    sure = total(lambda x: x["level"] <= reach - F.col("level"), "w") - F.when(near, F.col("weight")).otherwise(0)
+    # Without the first node itself, whose links are all told.
+    asked = told.where((F.col("level") + F.col("far") > reach) & (F.col("nid") != F.col("cluster")))
+    is_far, is_near = lambda x: x["level"] * 2 > reach, lambda x: (x["level"] * 2 <= reach) & (x["level"] + F.col("far") > reach)
+    asked = asked.select("cluster", "nid", "level", near.alias("near"), tiles(total(is_far, "n"), total(is_far, "size")).alias("f"), tiles(total(is_near, "n"), total(is_near, "size")).alias("m"), (total(is_far, "n") + total(is_near, "n")).alias("all")).where(F.col("all") > 1)
+    wanted = sets.join(asked.select(F.col("nid").alias("a_nid"), "level", "near", "f", "m").hint("merge"), F.col("nid") == F.col("a_nid"))
+    own = F.when(F.col("near"), F.col("f") + _tile(F.greatest("m", F.lit(1)))).otherwise(_tile(F.col("f")))
+    others = F.sequence(F.lit(0), F.when(F.col("near"), F.col("f") - 1).otherwise(F.col("f") + F.col("m") - 1))
+    compared = _paired(wanted, "cluster", own, others, ["nid", "weight", "level", "shingles"]).mapInArrow(_verified(threshold), "nid long, parent long, links long")
+    return told.select("nid", F.when(F.col("level") <= reach, F.col("cluster")).otherwise(F.col("nid")).alias("parent"), sure.alias("links")).unionByName(compared)
+
+
 def representatives(docs: DataFrame, **kinds) -> DataFrame:
-    """One document of each class, the one that names it; texts without words stay."""
+    """One row of each class, of the document that names it (of repeated rows the first by their other columns); rows without words stay."""
     linked = join(docs, **kinds)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
-    best = linked.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.th")
-    best = best.unionByName(linked.where(F.col("root").isNull()).select("doc_id", "th").distinct())
-    best = best.select(F.col("doc_id").alias("_b_id"), F.col("th").alias("_b_th"))
-    rows = docs.select(*docs.columns, F.xxhash64("text").alias("_th"))
-    kept = rows.join(best.hint("merge"), (F.col("_th") == F.col("_b_th")) & F.col("doc_id").eqNullSafe(F.col("_b_id")), "left_semi")
-    return kept.dropDuplicates(["_th", "doc_id"]).select(*docs.columns)
+    best = linked.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_b_id"), F.col("k.th").alias("_b_th"))
+    rows = docs.select(*docs.columns, F.xxhash64("text").alias("_th"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("_worded"))
+    kept = rows.where("_worded").join(best.hint("merge"), (F.col("_th") == F.col("_b_th")) & F.col("doc_id").eqNullSafe(F.col("_b_id")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("_th", "doc_id").orderBy(rest_of(docs)))
+    kept = kept.withColumn("_first", first).where(F.col("_first") == 1)
+    return kept.select(*docs.columns).unionByName(rows.where(~F.col("_worded")).select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

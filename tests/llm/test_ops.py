@@ -210,12 +210,47 @@ def jaccard_brute(rows):
     return out
 
 
-@pytest.mark.parametrize("tile", [1024, 2])
-def test_jaccard(docs, rows, tile):
-    got = Counter((r.doc_id, r.class_id, r.links) for r in op04_jaccard.join(docs, tile=tile).collect())
+@pytest.mark.parametrize("tile,wide", [(1024, 8192), (2, 8192), (2, 2)])
+def test_jaccard(docs, rows, tile, wide):
+    got = Counter((r.doc_id, r.class_id, r.links) for r in op04_jaccard.join(docs, tile=tile, wide=wide).collect())
     assert got == jaccard_brute(rows)
 
 
+@pytest.mark.parametrize("tile,wide", [(1024, 8192), (5, 8192), (5, 6)])
+def test_jaccard_of_near_copies(spark, tile, wide):
+    """Groups whose members lie at all distances from each other, and a chain."""
+    rng, made = random.Random(12), []
+    for g in range(3):
+        base = words(rng, 120, 5000).split()
+        for k in range(40):
+            w = list(base)
+            for _ in range(rng.choice((0, 1, 2, 3, 4, 6))):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+            made.append((1000 * g + k, " ".join(w)))
+    chain = words(rng, 200, 5000).split()
+    for k in range(30):
+        made.append((9000 - k, " ".join(chain)))
+        chain[5 * k : 5 * k + 3] = [f"y{k}", f"x{k}", f"u{k}"]
+    d = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.class_id, r.links) for r in op04_jaccard.join(d, tile=tile, wide=wide).collect())
+    assert got == jaccard_brute(made)
+
+
+def test_jaccard_recall():
+    """Of pairs at a similarity of 0.8, hardly any is lost to bands or pruning."""
+    rng, lost, tried = np.random.default_rng(5), 0, 0
+    least = op04_jaccard.least_matches(Fraction(4, 5), op04_jaccard.TOLERANCE)
+    for size in (9, 45, 450):
+        for _ in range(150):
+            common = rng.integers(0, 2**64, size * 8 // 9, dtype=np.uint64)
+            own = rng.integers(0, 2**64, (2, size - len(common)), dtype=np.uint64)
+            a, b = (op04_jaccard.signature(np.unique(np.r_[common, x])) for x in own)
+            same = a == b
+            lost += not same.reshape(op04_jaccard.BANDS, op04_jaccard.ROWS).all(axis=1).any() or any(same[:n].sum() < k for n, k in least.items())
+            tried += 1
+    assert lost <= 0.01 * tried
+
+
 def test_jaccard_empty(none):
     assert op04_jaccard.join(none).count() == 0
     assert op04_jaccard.representatives(none).columns == none.columns
@@ -227,6 +262,8 @@ def test_representatives(docs, rows):
     worded = {r[0] for r in rows if r[0] is not None and (r[1] or "").encode().split()}
     assert {r.doc_id for r in kept} & worded == {c for _, c, _ in brute} & worded
     assert sum((r.text or "").encode().split() != [] for r in kept) == len({c for i, c, _ in brute if i in worded})
+    blank = lambda some: Counter((r[0], r[1]) for r in some if not (r[1] or "").encode().split())
+    assert blank(kept) == blank(rows)
 
 
 def test_pruning_spares_pairs_at_the_threshold():
