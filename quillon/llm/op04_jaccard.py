@@ -259,7 +259,7 @@ def _levels(batches):
             common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
             union = size + len(pivot) - common
             level = -(-LEVELS * (union - common) // union)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), part.column(4), pa.array(size), pa.array(level)], ["cluster", "nid", "weight", "size", "level"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), part.column(4), pa.array(size), pa.array(level)], ["cluster", "tile", "nid", "weight", "size", "level"])
 
 
 def _verified(threshold: Fraction):
@@ -385,11 +385,12 @@ def _linked(sets: DataFrame, clusters: DataFrame, nodes: DataFrame, threshold: F
     own = dealt.select("cluster", _tile(F.col("t")).cast("int").alias("tile"), F.lit(0).alias("first"), "nid", "weight", "shingles")
     firsts = dealt.where(F.col("nid") == F.col("cluster")).select("cluster", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("tile"), F.lit(1).alias("first"), "nid", "weight", "shingles")
     met = own.unionByName(firsts).repartition("cluster", "tile").sortWithinPartitions("cluster", "tile", F.desc("first"), "nid")
-    levels = stored(met.mapInArrow(_levels, "cluster long, nid long, weight long, size long, level long"), "levels")
-    counts = levels.groupBy("cluster", "level").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.sum("size").alias("size"))
-    # At most LEVELS + 1 entries for a cluster.
-    counts = stored(counts.groupBy(F.col("cluster").alias("c_cluster")).agg(F.collect_list(F.struct("level", "w", "n", "size")).alias("at"), F.max("level").alias("far")), "counts")
-    told = levels.join(counts.hint("merge"), F.col("cluster") == F.col("c_cluster"))
+    levels = stored(met.mapInArrow(_levels, "cluster long, tile int, nid long, weight long, size long, level long"), "levels")
+    counts = levels.groupBy("cluster", "level").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.sum("size").alias("size"), F.max("tile").alias("tile"))
+    # At most LEVELS + 1 entries for a cluster; its tiles meet them in tasks of their own.
+    counts = counts.groupBy(F.col("cluster").alias("c_cluster")).agg(F.collect_list(F.struct("level", "w", "n", "size")).alias("at"), F.max("level").alias("far"), F.max("tile").alias("tiles"))
+    counts = stored(counts.withColumn("c_tile", F.explode(F.sequence(F.lit(0), F.col("tiles")))).drop("tiles"), "counts")
+    told = levels.join(counts.hint("merge"), (F.col("cluster") == F.col("c_cluster")) & (F.col("tile") == F.col("c_tile")))
     total = lambda keep, what: F.aggregate(F.filter("at", keep), F.lit(0).cast("long"), lambda s, x: s + x[what])
     near = F.col("level") * 2 <= reach
     sure = total(lambda x: x["level"] <= reach - F.col("level"), "w") - F.when(near, F.col("weight")).otherwise(0)
