@@ -30,7 +30,7 @@ def tiled(ranges: DataFrame, total: int) -> DataFrame:
 
 def mapped_answers(answers: DataFrame, layout: DataFrame) -> DataFrame:
     """(domain, kind, qid, pid in the domain) -> qid ``domain.kind.qid`` and pid in the joint collection."""
-    d = answers.join(F.broadcast(layout), "domain")
+    d = answers.join(layout, "domain")
     inside = (F.col("pid") >= 0) & (F.col("pid") < F.col("count"))
     pid = F.when(inside, F.col("pid") + F.col("first")).otherwise(F.raise_error(F.lit("an answer lies outside its domain")).cast("long"))
     return d.select(F.concat_ws(".", "domain", "kind", F.col("qid").cast("string")).alias("qid"), pid.alias("pid"))

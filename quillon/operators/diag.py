@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from .matrix import best
+from .matrix import best, held_blocks, ready
 
 
 def shortlist_recall(queries: DataFrame, points: DataFrame, m: int, k: int, alpha: int) -> DataFrame:
@@ -16,15 +18,44 @@ def shortlist_recall(queries: DataFrame, points: DataFrame, m: int, k: int, alph
     return exact.join(short, ["qid", "pid"], "left").groupBy("qid").agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
-def slice_hits(queries: DataFrame, points: DataFrame, subspaces: int, width: int, radius2: float) -> DataFrame:
-    """qid, pid, hits: in how many slices a point lies within the radius of the query.
+def slice_rms(points: DataFrame, subspaces: int, width: int) -> list[float]:
+    """Root mean square length of each slice of the points."""
+    from .index import energies
 
-    Every point meets every query, as the diagnosis asks; neither side is
-    collected or has to be small.
+    d = points.select(F.posexplode(energies(F.col("emb"), subspaces, width)).alias("s", "e")).groupBy("s").agg(F.sqrt(F.avg("e")).alias("rms"))
+    return [r.rms for r in d.orderBy("s").collect()]  # a row for each slice
+
+
+def slice_hits(queries: DataFrame, points: DataFrame, subspaces: int, width: int, radius2: float | list[float]) -> DataFrame:
+    """qid, pid, hits: in how many slices a point lies within the radius (one, or one for each slice) of the query.
+
+    Every point meets every query, as the diagnosis asks: blocks of queries are
+    held, points stream.
     """
-    d = points.select("pid", "emb").crossJoin(queries.select("qid", F.col("emb").alias("q")))
-    near = F.transform(F.sequence(F.lit(0), F.lit(subspaces - 1)), lambda s: (F.round(vec.l2(F.slice("q", s * width + 1, F.lit(width)), F.slice("emb", s * width + 1, F.lit(width))), 9) <= radius2).cast("int"))
-    return d.select("qid", "pid", F.aggregate(near, F.lit(0), lambda a, x: a + x).alias("hits"))
+    spark = ready(points.sparkSession).sparkContext
+    most = np.broadcast_to(np.asarray(radius2, dtype=np.float64), subspaces)
+    rows, out = points.select(F.col("pid").cast("long").alias("pid"), F.slice("emb", 1, subspaces * width).alias("emb")), None
+    for block in held_blocks(queries.select(F.col("qid").cast("long").alias("qid"), F.slice("emb", 1, subspaces * width).alias("emb")), "qid", "emb"):
+        sent = spark.broadcast(block)
+
+        def run(batches, sent=sent):
+            qids, q = sent.value
+            q = q.reshape(len(qids), subspaces, width)
+            for b in batches:
+                for at in range(0, b.num_rows, 64):
+                    part = b.slice(at, 64)
+                    p = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, subspaces, width)
+                    for i in range(0, len(qids), 1024):
+                        hits = np.zeros((part.num_rows, len(qids[i : i + 1024])), np.int32)
+                        for s in range(subspaces):
+                            d = p[:, None, s, :] - q[None, i : i + 1024, s, :]
+                            hits += np.round((d * d).sum(axis=2), 9) <= most[s]
+                        n = hits.shape[1]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.tile(qids[i : i + 1024], part.num_rows), pa.int64()), part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), n))), pa.array(hits.ravel())], ["qid", "pid", "hits"])
+
+        one = rows.mapInArrow(run, "qid long, pid long, hits int")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def hit_filter(hits: DataFrame, truth: DataFrame, least: int) -> DataFrame:
@@ -42,6 +73,13 @@ def stage1_recall(exact: DataFrame, got: DataFrame, rays: DataFrame, keys: list[
 
 
 def selective_lut(pairs: DataFrame, codewords: DataFrame, radius2: float) -> DataFrame:
-    """Codewords within the radius of each (query, subspace) residual: qid, s, eid, d2."""
-    d = pairs.join(F.broadcast(codewords), "s").withColumn("d2", vec.l2(F.col("x"), F.col("w")))
-    return d.where(F.round("d2", 9) <= radius2).select("qid", "s", "eid", "d2")
+    """Codewords within the radius of each (query, subspace) residual: the pairs' keys, s, eid, d2."""
+    keys = [c for c in pairs.columns if c not in ("s", "x")]
+    d = pairs.join(codewords, "s").withColumn("d2", vec.l2(F.col("x"), F.col("w")))
+    return d.where(F.round("d2", 9) <= radius2).select(*keys, "s", "eid", "d2")
+
+
+def radius_of(pairs: DataFrame, codewords: DataFrame, fraction: float) -> DataFrame:
+    """s, r2: the squared distance within which ``fraction`` of a subspace's (residual, codeword) pairs lie."""
+    d = pairs.join(codewords, "s").withColumn("d2", vec.l2(F.col("x"), F.col("w")))
+    return d.groupBy("s").agg(F.expr(f"percentile(d2, {fraction})").alias("r2"))

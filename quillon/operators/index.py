@@ -27,6 +27,21 @@ def token_ivf(codes: DataFrame) -> DataFrame:
     return codes.select("cid", "tok_id", "pid")
 
 
+def passage_of(tokens: DataFrame, starts: DataFrame, block: int = 1_000_000) -> DataFrame:
+    """tok_id -> pid of the last passage that starts at or before it (starts: tok_id, pid).
+
+    As-of by a running maximum in two steps: within a block of ids, then over
+    the blocks, whose last starts are carried on.
+    """
+    both = starts.select("tok_id", "pid", F.lit(0).alias("kind")).unionByName(tokens.select("tok_id", F.lit(None).cast("long").alias("pid"), F.lit(1).alias("kind")))
+    both = both.withColumn("block", F.expr(f"tok_id div {block}"))
+    inside = F.last("pid", ignorenulls=True).over(Window.partitionBy("block").orderBy("tok_id", "kind"))
+    last = both.groupBy("block").agg(F.max_by("pid", F.when(F.col("kind") == 0, F.col("tok_id"))).alias("last"))
+    carried = F.last("last", ignorenulls=True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    d = both.withColumn("own", inside).where(F.col("kind") == 1).join(last.withColumn("carried", carried), "block")
+    return d.select("tok_id", F.coalesce("own", "carried").alias("pid"))
+
+
 def chunked(lists: DataFrame, most: int, order: list[str]) -> DataFrame:
     """Lists cut into runs of at most ``most`` postings: the run's number is eid."""
     rn = F.row_number().over(Window.partitionBy("cid").orderBy(*order))
@@ -76,15 +91,24 @@ def nearest_codeword(slices: DataFrame, codewords: DataFrame) -> DataFrame:
     keys = [c for c in slices.columns if c != "x"]
     book = codewords.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("eid", "w"))).alias("book"))
     near = F.array_min(F.transform("book", lambda c: F.struct(F.round(vec.l2(F.col("x"), c["w"]), 9).alias("d2"), c["eid"].alias("eid"))))
-    return slices.join(F.broadcast(book), "s").withColumn("near", near).select(*keys, "near.eid", "near.d2")
+    return slices.join(book, "s").withColumn("near", near).select(*keys, "near.eid", "near.d2")
+
+
+def nearest(points: DataFrame, centers: DataFrame) -> DataFrame:
+    """``points`` (keys, emb) with the nearest centre (cid), ties to the lesser id, and the squared distance, 0 at least.
+
+    The nearest centre c has the largest x.c - c.c/2: an inner product with a
+    vector that is one longer.
+    """
+    half = vec.dot(F.col("emb"), F.col("emb")) / -2.0
+    longer = points.withColumn("_x", F.concat("emb", F.array(F.lit(1.0))))
+    d = best(longer.withColumn("_n", vec.dot(F.col("emb"), F.col("emb"))), [*points.columns, "_n"], "_x", centers.select("cid", F.concat("emb", F.array(half)).alias("_c")), "cid", "_c", 1)
+    return d.select(*points.columns, "cid", F.greatest(F.col("_n") - 2 * F.col("score"), F.lit(0.0)).alias("d2"))
 
 
 def lloyd_step(points: DataFrame, centers: DataFrame) -> DataFrame:
     """One step of k-means: cid, mean of its points (cid, center ARRAY)."""
-    book = centers.agg(F.array_sort(F.collect_list(F.struct("cid", "emb"))).alias("book"))  # the centres of a codebook: few
-    near = F.array_min(F.transform("book", lambda c: F.struct(F.round(vec.l2(F.col("emb"), c["emb"]), 9).alias("d2"), c["cid"].alias("cid"))))
-    d = points.join(F.broadcast(book)).withColumn("cid", near["cid"])
-    dims = d.select("cid", F.posexplode("emb").alias("dim", "x")).groupBy("cid", "dim").agg(F.avg("x").alias("x"))
+    dims = nearest(points.select("emb"), centers).select("cid", F.posexplode("emb").alias("dim", "x")).groupBy("cid", "dim").agg(F.avg("x").alias("x"))
     return dims.groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"]).alias("emb"))
 
 
@@ -163,8 +187,11 @@ def codebook_error(slices: DataFrame, codewords: DataFrame) -> DataFrame:
 def checked(lists: DataFrame, passages: DataFrame, keys: list[str]) -> DataFrame:
     """One row of facts about an index, each true when it holds."""
     sizes = lists.groupBy(*keys).agg(F.count("*").alias("n"))
-    a = sizes.agg(F.sum("n").alias("postings"), F.min("n").alias("least"), F.count("*").alias("lists"))
-    b = lists.agg(F.max("pid").alias("last"), F.min("pid").alias("first"), F.countDistinct("pid").alias("seen"))
+    start = F.sum("n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))  # a row for each list
+    sizes = sizes.withColumn("start", F.coalesce(start, F.lit(0)))
+    steps = F.col("start") + F.col("n") == F.coalesce(F.lead("start").over(Window.orderBy(*keys)), F.lit(lists.count()))
+    a = sizes.withColumn("step", steps).agg(F.sum("n").alias("postings"), F.min("n").alias("least"), F.count("*").alias("lists"), F.min("step").alias("starts_follow"))
+    b = lists.agg(F.max("pid").alias("last"), F.min("pid").alias("first"), F.countDistinct("pid").alias("seen"), F.avg((F.col("pid") >= 1 << 22).cast("int")).alias("wide_ids"))
     c = passages.agg(F.countDistinct("pid").alias("passages"), F.max("pid").alias("last_pid"))
     one = a.join(F.broadcast(b)).join(F.broadcast(c))  # a row each
-    return one.select("postings", "lists", (F.col("least") > 0).alias("no_empty_list"), (F.col("first") >= 0).alias("ids_from_zero"), (F.col("last") == F.col("last_pid")).alias("last_id_fits"), (F.col("seen") == F.col("passages")).alias("all_passages_seen"))
+    return one.select("postings", "lists", (F.col("least") > 0).alias("no_empty_list"), "starts_follow", "wide_ids", (F.col("first") >= 0).alias("ids_from_zero"), (F.col("last") == F.col("last_pid")).alias("last_id_fits"), (F.col("seen") == F.col("passages")).alias("all_passages_seen"))

@@ -45,7 +45,7 @@ def adaptive(ranks: DataFrame, counts: DataFrame, nc: int, ncap: int, selectivit
     selectivity leads one to expect; when more than 1 - quantile of the tokens
     are, the query opens as many lists as that quantile of them needs.
     """
-    d = ranks.where(F.col("rn") <= ncap).join(F.broadcast(counts.select("cid", "tot", "pass")), "cid", "left").fillna(0, ["tot", "pass"])
+    d = ranks.where(F.col("rn") <= ncap).join(counts.select("cid", "tot", "pass"), "cid", "left").fillna(0, ["tot", "pass"])
     cum = F.sum("pass").over(Window.partitionBy("qid", "qt").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0))
     first = F.col("rn") <= nc
     d = d.withColumn("cum", cum)
@@ -70,7 +70,7 @@ def probed_to(ranks: DataFrame, depth: DataFrame) -> DataFrame:
 
 def nonempty(ranks: DataFrame, counts: DataFrame) -> DataFrame:
     """Ranks among the centroids whose lists hold a passing posting."""
-    d = ranks.join(F.broadcast(counts.where(F.col("pass") > 0).select("cid")), "cid", "left_semi")
+    d = ranks.join(counts.where(F.col("pass") > 0).select("cid"), "cid", "left_semi")
     w = Window.partitionBy("qid", "qt").orderBy("rn")
     return d.withColumn("deep", F.col("rn")).withColumn("rn", F.row_number().over(w))
 

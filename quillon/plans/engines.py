@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import codec, vec
 from ..operators import fde, filters, probe, score
-from ..operators.matrix import exact_scan
+from ..operators.matrix import exact_scan, searched
 from .fixtures import DIM, SUB, WEIGHTS, WIDTH, Fixtures
 
 
@@ -78,7 +78,7 @@ def _residual_postings(x: Fixtures, p: Params, mask: int) -> DataFrame:
     lists = x.residual.select("cid", "pid", "data")
     if mask:
         lists = lists.join(_passing(x, mask), "pid", "left_semi")
-    d = opened.join(lists, "cid").join(F.broadcast(x.qtok), ["qid", "qt"])
+    d = opened.join(lists, "cid").join(x.qtok, ["qid", "qt"])
     return d.withColumn("base", F.greatest(F.col("base") + vec.dot(F.col("emb"), codec.decoded(F.col("data"), WEIGHTS)), F.lit(0.0)))
 
 
@@ -91,7 +91,7 @@ def ivf_residual_only(x: Fixtures, p: Params, mask: int = 0) -> DataFrame:
 
 
 def _counts(x: Fixtures, mask: int) -> DataFrame:
-    return probe.list_counts(x.ivf, _passing(x, mask)).cache()
+    return probe.list_counts(x.ivf, _passing(x, mask))
 
 
 def _depth(x: Fixtures, p: Params, n: int) -> int:
@@ -129,7 +129,7 @@ def ivf_nonempty_adaptive(x: Fixtures, p: Params, mask: int = 0) -> DataFrame:
 def ivf_floor_nonempty(x: Fixtures, p: Params, mask: int = 0) -> DataFrame:
     """Opens the usual lists; the floor is the nearest lower score of a list that isn't empty."""
     ranks = probe.ranked(x.qtok, x.cen, x.cen.count())
-    among = ranks.join(F.broadcast(_counts(x, mask).where(F.col("pass") > 0).select("cid")), "cid", "left_semi")
+    among = ranks.join(_counts(x, mask).where(F.col("pass") > 0).select("cid"), "cid", "left_semi")
     return _inverted(x, probe.with_floor(probe.plain(ranks, p.nc), among), p, mask)
 
 
@@ -143,7 +143,7 @@ def _codeword_lists(x: Fixtures, p: Params, mode: str) -> DataFrame:
     """qid, qt, s, eid, hit: the codewords that each query slice selects."""
     book = x.codewords
     q = x.rqtok.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SUB - 1)))).select("qid", "qt", "s", vec.subspace(F.col("emb"), F.col("s"), WIDTH).alias("x"))
-    d = q.join(F.broadcast(book), "s").withColumn("hit", vec.dot(F.col("x"), F.col("w"))).drop("x", "w")
+    d = q.join(book, "s").withColumn("hit", vec.dot(F.col("x"), F.col("w"))).drop("x", "w")
     if mode == "all":
         return d
     d = d.where(F.col("hit") > 0) if mode == "topk" else d.where((F.col("hit") > 0) & (F.col("hit") >= p.tau))
@@ -217,11 +217,8 @@ def staged_middle(x: Fixtures, p: Params, mask: int = 0) -> DataFrame:
 
 def fixed_dimensional(x: Fixtures, p: Params, mask: int = 0) -> DataFrame:
     """Inner product of fixed-dimensional encodings, then the filter, then exact scores."""
-    from ..operators.matrix import best
-
     params = fde.Params(DIM)
-    docs = fde.documents(x.tok, params).select(F.col("pid"), "fde")
-    found = best(fde.queries(x.qtok, params).withColumnRenamed("fde", "v"), ["qid"], "v", docs, "pid", "fde", p.cands).select("qid", "pid")
+    found = searched(fde.documents(x.tok, params), "pid", "fde", fde.queries(x.qtok, params), "qid", "fde", p.cands).select("qid", "pid")
     if mask:
         found = found.join(_passing(x, mask), "pid", "left_semi")
     return _final(score.rerank(found, x.queries, x.passages), p.top_k)

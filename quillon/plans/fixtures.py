@@ -62,7 +62,7 @@ class Fixtures:
     @cached_property
     def residual(self) -> DataFrame:
         """pid, pos, tok_id, cid, center, data: the stored form of each token."""
-        d = self.codes.join(self.tok.select("tok_id", "emb"), "tok_id").join(F.broadcast(self.cen.withColumnRenamed("emb", "center")), "cid")
+        d = self.codes.join(self.tok.select("tok_id", "emb"), "tok_id").join(self.cen.withColumnRenamed("emb", "center"), "cid")
         return d.select("pid", "pos", "tok_id", "cid", "center", codec.packed(codec.quantized(vec.minus(F.col("emb"), F.col("center")), CUTS), DIM).alias("data"))
 
     @cached_property
@@ -106,7 +106,7 @@ class Fixtures:
         active = index.top_subspaces(self.rtok.select("tok_id", "emb"), SUB, WIDTH, 4).select("tok_id", "s")
         c = self.rcen.withColumnRenamed("emb", "center")
         x = vec.minus(vec.subspace(F.col("emb"), F.col("s"), WIDTH), vec.subspace(F.col("center"), F.col("s"), WIDTH))
-        slices = d.join(active, "tok_id").join(F.broadcast(c), "cid").select("pid", "cid", "s", x.alias("x"))
+        slices = d.join(active, "tok_id").join(c, "cid").select("pid", "cid", "s", x.alias("x"))
         return index.nearest_codeword(slices, self.codewords).select("s", "cid", "eid", "pid").distinct()
 
     @cached_property

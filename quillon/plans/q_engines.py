@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .engines import ENGINES, Params, search
-from .fixtures import MASK, WEIGHTS, WIDTH, Fixtures, sql
+from .fixtures import MASK, WIDTH, Fixtures, sql
 from .registry import register
 
 P = Params()
@@ -78,15 +78,15 @@ def _book(mask: int, mode: str, weight: int) -> str:
     return _post(f"SELECT qid, qt, l.pid, score + {weight} * hit AS base FROM rrk JOIN hit USING (qid, qt) JOIN {_lists(mask, 'postings')} l USING (s, cid, eid) WHERE rn <= {NC} AND score + {weight} * hit > 0", more)
 
 
-def _staged(mask: int, where: str) -> str:
+def _staged(mask: int, where: str, p: Params = P) -> str:
     early = f" AND pid IN {_pass(mask)}" if where == "early" else ""
     body = (
-        f", c1 AS MATERIALIZED (SELECT DISTINCT qid, pid FROM rk JOIN ivf USING (cid) WHERE rn <= {P.ncells}{early})"
-        f", kc AS (SELECT qid, cid FROM rk GROUP BY qid, cid HAVING max(score) >= {P.threshold})"
+        f", c1 AS MATERIALIZED (SELECT DISTINCT qid, pid FROM rk JOIN ivf USING (cid) WHERE rn <= {p.ncells}{early})"
+        f", kc AS (SELECT qid, cid FROM rk GROUP BY qid, cid HAVING max(score) >= {p.threshold})"
         ", pr AS (SELECT qid, pid, sum(m) AS a FROM (SELECT c1.qid, c1.pid, rk.qt, max(score) AS m FROM c1 JOIN ivf USING (pid) JOIN rk ON rk.qid = c1.qid AND rk.cid = ivf.cid WHERE (rk.qid, rk.cid) IN (SELECT qid, cid FROM kc) GROUP BY ALL) GROUP BY ALL)"
-        f", s1 AS (SELECT qid, pid FROM (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY round(coalesce(a, 0), 6) DESC, pid) AS r FROM c1 LEFT JOIN pr USING (qid, pid)) WHERE r <= {P.ndocs})"
+        f", s1 AS (SELECT qid, pid FROM (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY round(coalesce(a, 0), 6) DESC, pid) AS r FROM c1 LEFT JOIN pr USING (qid, pid)) WHERE r <= {p.ndocs})"
         ", fu AS (SELECT qid, pid, sum(m) AS a FROM (SELECT s1.qid, s1.pid, rk.qt, max(score) AS m FROM s1 JOIN ivf USING (pid) JOIN rk ON rk.qid = s1.qid AND rk.cid = ivf.cid GROUP BY ALL) GROUP BY ALL)"
-        f", s2 AS (SELECT qid, pid FROM (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY round(a, 6) DESC, pid) AS r FROM fu) WHERE r <= {P.ndocs // 4})"
+        f", s2 AS (SELECT qid, pid FROM (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY round(a, 6) DESC, pid) AS r FROM fu) WHERE r <= {p.ndocs // 4})"
     )
     late = f" WHERE pid IN {_pass(mask)}" if where == "middle" else ""
     body += f", sc AS ({_rerank('(SELECT * FROM s2' + late + ')')}) "
@@ -158,4 +158,3 @@ def _made(name: str, mask: int):
 for _name in ENGINES:
     register("exact_maxsim" if _name == "E0_exact" else _name, sql(_sql(_name, 0)))(_made(_name, 0))
     register(f"{_name}_filtered", sql(_sql(_name, MASK)))(_made(_name, MASK))
-assert len(WEIGHTS) == 4

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import vec
 from ..operators import collection, evaluate
 from ..sources import readers
 from .engines import Params, search
-from .fixtures import Fixtures, sql
+from .fixtures import Fixtures
 from .q_engines import IMPUTED, _ivf
 from .q_index import q
 from .registry import register
@@ -96,10 +97,12 @@ def _(x):
     return collection.tiled(x.spark.createDataFrame([(0, 10), (10, 5), (16, 4)], "first long, count long"), 20)
 
 
-@raw("B10_answers", "SELECT source || '.search.' || doc_id AS qid, doc_id % 5 + CASE source WHEN 'src0' THEN 0 ELSE 5 END AS pid FROM documents WHERE source IN ('src0', 'src1')")
+@raw("B10_answers", "WITH l AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM documents)) SELECT source || '.search.' || doc_id AS qid, doc_id % 5 + 5 * i AS pid FROM documents JOIN l USING (source)")
 def _(x):
-    d = x.read("documents").where(F.col("source").isin("src0", "src1")).select(F.col("source").alias("domain"), F.lit("search").alias("kind"), F.col("doc_id").alias("qid"), (F.col("doc_id") % 5).alias("pid"))
-    layout = x.spark.createDataFrame([("src0", 0, 5), ("src1", 5, 5)], "domain string, first long, count long")
+    docs = x.read("documents")
+    d = docs.select(F.col("source").alias("domain"), F.lit("search").alias("kind"), F.col("doc_id").alias("qid"), (F.col("doc_id") % 5).alias("pid"))
+    n = F.row_number().over(Window.orderBy("domain")) - 1  # a row for each source
+    layout = docs.select(F.col("source").alias("domain")).distinct().select("domain", (n * 5).cast("long").alias("first"), F.lit(5).cast("long").alias("count"))
     return collection.mapped_answers(d, layout)
 
 
@@ -253,8 +256,6 @@ def _(x):
 
 @raw("T19_latency_cdf", "SELECT event_id, round(cume_dist() OVER (PARTITION BY event_type ORDER BY value), 6) AS cdf FROM events")
 def _(x):
-    from pyspark.sql.window import Window
-
     return x.read("events").select("event_id", r6(F.cume_dist().over(Window.partitionBy("event_type").orderBy("value"))).alias("cdf"))
 
 
@@ -262,5 +263,3 @@ def _(x):
 def _(x):
     return evaluate.overlap(x.truth, search("E11_ivf_impute", x, P), 10)
 
-
-assert sql

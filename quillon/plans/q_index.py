@@ -7,8 +7,9 @@ from pyspark.sql.window import Window
 
 from ..functions import codec, vec
 from ..operators import diag, fde, filters, index, probe, score
+from ..operators.matrix import best, exact_scan
 from .engines import Params, _codeword_lists
-from .fixtures import CUTS, DIM, MASK, ROT, SUB, WEIGHTS, WIDTH, Fixtures, sql
+from .fixtures import DIM, MASK, ROT, SUB, WEIGHTS, WIDTH, Fixtures, sql
 from .q_engines import IMPUTED, NC, PLAIN, _adaptive, _counts, NE
 from .registry import register
 
@@ -31,11 +32,10 @@ def long(c) -> object:
 
 
 # Kernels -------------------------------------------------------------------
-@q("K1_inner_product", "SELECT a.tok_id AS x, b.cid, round(list_inner_product(a.emb, b.emb), 6) AS d FROM tok a, cen b WHERE a.tok_id % 7 = 0")
+@q("K1_inner_product", "SELECT a.tok_id AS x, b.cid, round(list_inner_product(a.emb, b.emb), 6) AS d FROM tok a, cen b")
 def _(x):
-    d = x.tok.where(F.col("tok_id") % 7 == 0).select(F.col("tok_id").alias("x"), F.col("emb").alias("a"))
-    c = x.cen.agg(F.collect_list(F.struct("cid", "emb")).alias("cs"))
-    return d.join(F.broadcast(c)).select("x", "a", F.explode("cs").alias("c")).select("x", "c.cid", r6(vec.dot(F.col("a"), F.col("c.emb"))).alias("d"))
+    d = best(x.tok.select(F.col("tok_id").alias("x"), "emb"), ["x"], "emb", x.cen, "cid", "emb", x.cen.count())
+    return d.select("x", "cid", r6(F.col("score")).alias("d"))
 
 
 @q("K2_l2_normalize", "SELECT tok_id, round(list_sum(list_transform(emb, lambda v: v / greatest(sqrt(list_inner_product(emb, emb)), 1e-12))), 6) AS s FROM tok")
@@ -54,30 +54,35 @@ def _(x):
     return codec.byte_weights(x.spark, WEIGHTS).select("b", F.posexplode("w").alias("i", "v"))
 
 
-_LUT = "SELECT qid, qt, tok_id, round(list_inner_product(qtok.emb, r), 6) AS d FROM qtok JOIN dec ON dec.tok_id % 20 = qid % 20"
+_LUT = f"SELECT qid, qt, tok_id, round(list_inner_product(qtok.emb, r), 6) AS d FROM rk JOIN qtok USING (qid, qt) JOIN dec USING (cid) WHERE rn <= {NC}"
+
+
+def _opened_residuals(x):
+    """Stored tokens of the lists that each query token opens."""
+    return probe.ranked(x.qtok, x.cen, NC).select("qid", "qt", "cid").join(x.residual.select("cid", "tok_id", "data"), "cid")
 
 
 @q("K5_residual_lut", _LUT)
 def _(x):
     d = x.qtok.withColumn("lut", codec.lut(F.col("emb"), WEIGHTS, DIM))
-    return d.join(x.residual, F.col("tok_id") % 20 == F.col("qid") % 20).select("qid", "qt", "tok_id", r6(codec.lut_dot(F.col("lut"), F.col("data"))).alias("d"))
+    return d.join(_opened_residuals(x), ["qid", "qt"]).select("qid", "qt", "tok_id", r6(codec.lut_dot(F.col("lut"), F.col("data"))).alias("d"))
 
 
 @q("K6_residual_dot", _LUT)
 def _(x):
-    return x.qtok.join(x.residual, F.col("tok_id") % 20 == F.col("qid") % 20).select("qid", "qt", "tok_id", r6(vec.dot(F.col("emb"), codec.decoded(F.col("data"), WEIGHTS))).alias("d"))
+    return x.qtok.join(_opened_residuals(x), ["qid", "qt"]).select("qid", "qt", "tok_id", r6(vec.dot(F.col("emb"), codec.decoded(F.col("data"), WEIGHTS))).alias("d"))
 
 
-@q("K7_codeword_score", f"SELECT qid, qt, w.s, eid, round(score + list_inner_product(rq.emb[w.s*{WIDTH}+1 : w.s*{WIDTH}+{WIDTH}], w.w), 6) AS base FROM rrk JOIN rq USING (qid, qt), words w WHERE rn = 1 AND w.s < 4")
+@q("K7_codeword_score", f"SELECT qid, qt, cid, w.s, eid, round(score + list_inner_product(rq.emb[w.s*{WIDTH}+1 : w.s*{WIDTH}+{WIDTH}], w.w), 6) AS base FROM rrk JOIN rq USING (qid, qt), words w WHERE rn <= {NC}")
 def _(x):
-    opened = probe.ranked(x.rqtok, x.rcen, 1).select("qid", "qt", "score")
-    return opened.join(_codeword_lists(x, P, "all").where(F.col("s") < 4), ["qid", "qt"]).select("qid", "qt", "s", "eid", r6(F.col("score") + F.col("hit")).alias("base"))
+    opened = probe.ranked(x.rqtok, x.rcen, NC).select("qid", "qt", "cid", "score")
+    return opened.join(_codeword_lists(x, P, "all"), ["qid", "qt"]).select("qid", "qt", "cid", "s", "eid", r6(F.col("score") + F.col("hit")).alias("base"))
 
 
 @q("K8_residual_posting", f"SELECT o.qid, o.qt, dec.tok_id, round(greatest(o.base + list_inner_product(qtok.emb, dec.r), 0.0), 6) AS base FROM ({IMPUTED}) o JOIN dec USING (cid) JOIN qtok ON qtok.qid = o.qid AND qtok.qt = o.qt WHERE o.base > 0")
 def _(x):
     o = probe.imputed(probe.ranked(x.qtok, x.cen, NC + 1), NC).where(F.col("base") > 0)
-    d = o.join(x.residual, "cid").join(F.broadcast(x.qtok), ["qid", "qt"])
+    d = o.join(x.residual, "cid").join(x.qtok, ["qid", "qt"])
     return d.select("qid", "qt", "tok_id", r6(F.greatest(F.col("base") + vec.dot(F.col("emb"), codec.decoded(F.col("data"), WEIGHTS)), F.lit(0.0))).alias("base"))
 
 
@@ -105,7 +110,7 @@ def _(x):
 @q("K12_subspaces", f"SELECT tok_id, CAST(s AS INTEGER) AS s, round(rt.emb[s*{WIDTH}+1] - rc.emb[s*{WIDTH}+1], 6) AS x0 FROM rt JOIN rcodes USING (tok_id) JOIN rc ON rc.cid = rcodes.cid, subs")
 def _(x):
     codes = index.assign(x.rtok.select("pid", "pos", "tok_id", "emb"), x.rcen).select("tok_id", "cid")
-    d = x.rtok.select("tok_id", "emb").join(codes, "tok_id").join(F.broadcast(x.rcen.withColumnRenamed("emb", "c")), "cid").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SUB - 1))))
+    d = x.rtok.select("tok_id", "emb").join(codes, "tok_id").join(x.rcen.withColumnRenamed("emb", "c"), "cid").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SUB - 1))))
     return d.select("tok_id", "s", r6(F.element_at(vec.minus(vec.subspace(F.col("emb"), F.col("s"), WIDTH), vec.subspace(F.col("c"), F.col("s"), WIDTH)), 1)).alias("x0"))
 
 
@@ -187,19 +192,17 @@ def _(x):
 
 @q("J10_token_to_passage", ", e AS (SELECT pid, min(tok_id) AS lo, max(tok_id) + 1 AS hi FROM tok GROUP BY pid) SELECT tok_id, e.pid FROM tok JOIN e ON tok_id >= lo AND tok_id < hi")
 def _(x):
-    # As-of by a running maximum over the starts: no range join, one sort by token.
-    ends = x.tok.groupBy("pid").agg(F.min("tok_id").alias("tok_id")).withColumn("start", F.lit(0))
-    both = ends.select("tok_id", "pid", "start").unionByName(x.tok.select("tok_id", F.lit(None).cast("long").alias("pid"), F.lit(1).alias("start")))
-    w = Window.partitionBy(F.expr("tok_id div 1000000")).orderBy("tok_id", "start")
-    return both.withColumn("pid", F.last("pid", ignorenulls=True).over(w)).where(F.col("start") == 1).select("tok_id", "pid")
+    return index.passage_of(x.tok, x.tok.groupBy("pid").agg(F.min("tok_id").alias("tok_id")))
 
 
-@q("J12_block_match", "SELECT CAST(100 AS BIGINT) AS offset, CAST(50 AS BIGINT) AS count")
+@q("J12_block_match", ", n AS (SELECT count(*) // 4 AS lo, count(*) // 2 AS hi FROM documents) SELECT lo AS offset, hi - lo AS count FROM n")
 def _(x):
     from ..operators.collection import block_offset
 
-    docs = x.read("documents").select(F.col("doc_id").alias("pid"), F.concat_ws(" ", F.col("doc_id").cast("string"), "text").alias("text")).where(F.col("pid") < 200)
-    return block_offset(docs, docs.where((F.col("pid") >= 100) & (F.col("pid") < 150)).withColumn("pid", F.col("pid") - 100))
+    docs = x.read("documents").select(F.col("doc_id").alias("pid"), F.concat_ws(" ", F.col("doc_id").cast("string"), "text").alias("text"))
+    n = docs.count()
+    part = docs.where((F.col("pid") >= n // 4) & (F.col("pid") < n // 2))
+    return block_offset(docs, part.withColumn("pid", F.col("pid") - n // 4))
 
 
 @q("J13_hamming_fill", f", pt AS (SELECT pid, pos, {_plane(0)} AS b FROM tok), bs AS (SELECT unnest(range(4)) AS b) SELECT pid, CAST(bs.b AS INTEGER) AS b, CAST(arg_min(pos, row(bit_count(xor(pt.b, bs.b)), pos)) AS INTEGER) AS pos FROM pt, bs GROUP BY pid, bs.b")
@@ -209,10 +212,9 @@ def _(x):
 
 
 # Aggregations --------------------------------------------------------------
-@q("A1_maxsim", "SELECT qid, pid, round(score, 6) AS score FROM ms WHERE pid % 3 = 0")
+@q("A1_maxsim", "SELECT qid, pid, round(score, 6) AS score FROM ms")
 def _(x):
-    pairs = x.passages.where(F.col("pid") % 3 == 0).select("pid").withColumn("qid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(x.tok.agg(F.max("pid")).first()[0]), F.lit(10).cast("long"))))
-    return score.rerank(pairs, x.queries, x.passages).select("qid", "pid", r6(F.col("score")).alias("score"))
+    return exact_scan(x.passages, x.queries, x.passages.count()).select("qid", "pid", r6(F.col("score")).alias("score"))
 
 
 _STAGE3 = f", post AS (SELECT qid, qt, pid, base FROM ({IMPUTED}) JOIN ivf USING (cid) WHERE base > 0), ap AS (SELECT qid, pid, sum(b) AS a FROM (SELECT qid, qt, pid, max(base) AS b FROM post GROUP BY ALL) GROUP BY ALL)"
@@ -245,10 +247,12 @@ def _means(key: str, src: str) -> str:
     return f", e AS (SELECT {key}, emb, generate_subscripts(emb, 1) AS dim, unnest(emb) AS v FROM {src}) SELECT {key}, CAST(dim AS INTEGER) AS dim, round(avg(v), 6) AS m FROM e GROUP BY ALL"
 
 
-@q("A7_passage_means", _means("pid", "(SELECT codes.pid, cen.emb FROM codes JOIN cen USING (cid))"))
+@q("A7_passage_means", ", e AS (SELECT pid, generate_subscripts(emb, 1) AS dim, unnest(emb) AS v FROM (SELECT codes.pid, cen.emb FROM codes JOIN cen USING (cid))), m AS (SELECT pid, dim, avg(v) AS m FROM e GROUP BY ALL) SELECT pid, CAST(dim AS INTEGER) AS dim, round(m / greatest(sqrt(sum(m * m) OVER (PARTITION BY pid)), 1e-12), 6) AS m FROM m")
 def _(x):
-    d = x.codes.join(F.broadcast(x.cen), "cid").select("pid", F.posexplode("emb").alias("dim", "v"))
-    return d.groupBy("pid", (F.col("dim") + 1).alias("dim")).agg(r6(F.avg("v")).alias("m"))
+    d = x.codes.join(x.cen, "cid").select("pid", F.posexplode("emb").alias("dim", "v"))
+    mean = d.groupBy("pid", (F.col("dim") + 1).alias("dim")).agg(F.avg("v").alias("v"))
+    length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("pid")))
+    return mean.select("pid", "dim", r6(F.col("v") / F.greatest(length, F.lit(1e-12))).alias("m"))
 
 
 @q("A8_query_means", _means("qid", "qtok"))
@@ -306,12 +310,13 @@ def _(x):
     return index.block_sums(x.ivf.groupBy(F.col("cid").alias("list_id")).agg(F.count("*").alias("length")), 8)
 
 
-@q("A17_stage_counters", f", o AS ({IMPUTED}), a AS (SELECT count(*) AS probed, count(*) FILTER (WHERE base > 0) AS opened FROM o), b AS (SELECT count(*) AS postings, count(DISTINCT (qid, pid)) AS candidates FROM o JOIN ivf USING (cid) WHERE base > 0) SELECT * FROM a, b")
+@q("A17_stage_counters", f", o AS ({IMPUTED}), a AS (SELECT count(*) AS probed, count(*) FILTER (WHERE base > 0) AS opened FROM o), b AS (SELECT count(*) AS postings, count(DISTINCT (qid, pid)) AS candidates FROM o JOIN ivf USING (cid) WHERE base > 0) SELECT *, round(opened / probed, 6) AS open_ratio, round(candidates / postings, 6) AS distinct_ratio, probed - opened AS dropped FROM a, b")
 def _(x):
     o = probe.imputed(probe.ranked(x.qtok, x.cen, NC + 1), NC)
     a = o.agg(F.count("*").alias("probed"), F.count(F.when(F.col("base") > 0, 1)).alias("opened"))
     b = score.touched(o, x.ivf).agg(F.count("*").alias("postings"), F.countDistinct("qid", "pid").alias("candidates"))
-    return a.join(F.broadcast(b))
+    d = a.join(F.broadcast(b))  # a row each
+    return d.select("*", r6(F.col("opened") / F.col("probed")).alias("open_ratio"), r6(F.col("candidates") / F.col("postings")).alias("distinct_ratio"), (F.col("probed") - F.col("opened")).alias("dropped"))
 
 
 @q("A18_topic_shares", "SELECT cid % 16 AS topic, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM codes WHERE pos = 0 GROUP BY cid % 16")
@@ -398,7 +403,7 @@ def _(x):
 @q("T17_cumulative_passing", f"{_counts(MASK)} SELECT qid, qt, CAST(rn AS INTEGER) AS rn, CAST(sum(coalesce(pass, 0)) OVER (PARTITION BY qid, qt ORDER BY rn) AS BIGINT) AS cum FROM rk LEFT JOIN cnt USING (cid)")
 def _(x):
     counts = probe.list_counts(x.ivf, x.pred.where(filters.passes(F.col("pred"), MASK)))
-    d = probe.ranked(x.qtok, x.cen, x.cen.count()).join(F.broadcast(counts), "cid", "left").fillna(0, ["pass"])
+    d = probe.ranked(x.qtok, x.cen, x.cen.count()).join(counts, "cid", "left").fillna(0, ["pass"])
     return d.select("qid", "qt", "rn", F.sum("pass").over(Window.partitionBy("qid", "qt").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
 
 
@@ -494,15 +499,18 @@ def _(x):
     return probe.ranked(x.qtok, x.cen, x.cen.count()).groupBy("qid", "cid").agg(F.max("score").alias("m")).where(F.col("m") >= P.threshold).select("qid", "cid")
 
 
-@q("F14_query_tokens", "SELECT doc_id, CAST(least(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) + 4, 32) AS INTEGER) AS n FROM documents")
+_WORDS = "len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))"
+
+
+@q("F14_query_tokens", f"SELECT doc_id, mode, CAST(CASE mode WHEN 'all' THEN 32 WHEN 'mask' THEN least({_WORDS}, 32) ELSE least({_WORDS} + 4, 32) END AS INTEGER) AS n FROM documents, (SELECT unnest(['all', 'mask', 'legacy']) AS mode)")
 def _(x):
-    return x.read("documents").select("doc_id", F.least(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) + 4, F.lit(32)).cast("int").alias("n"))
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), n.cast("int").alias("n")) for m, n in (("all", F.lit(32)), ("mask", F.least(words, F.lit(32))), ("legacy", F.least(words + 4, F.lit(32))))])
+    return x.read("documents").select("doc_id", F.explode(modes).alias("m")).select("doc_id", "m.mode", "m.n")
 
 
 @q("F15_subset", "SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, pid) AS INTEGER) AS rk, pid FROM ms WHERE pid % 4 = 1 QUALIFY rk <= 10")
 def _(x):
-    from ..operators.matrix import exact_scan
-
     some = x.passages.select("pid").where(F.col("pid") % 4 == 1)
     return exact_scan(x.passages.join(some, "pid", "left_semi"), x.queries, 10).select("qid", "rk", "pid")
 
@@ -513,6 +521,11 @@ def _(x):
     return index.lloyd_step(x.tok.select("emb"), x.cen).select("cid", F.posexplode("emb").alias("dim", "v")).select("cid", (F.col("dim") + 1).alias("dim"), r6(F.col("v")).alias("v"))
 
 
+@q("B3_squared_error", ", d AS (SELECT tok_id, cid, list_inner_product(tok.emb, tok.emb) AS n, list_inner_product(tok.emb, cen.emb) - list_inner_product(cen.emb, cen.emb) / 2 AS s FROM tok, cen) SELECT tok_id, cid, round(greatest(n - 2 * s, 0), 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY tok_id ORDER BY round(s, 6) DESC, cid) AS r FROM d) WHERE r = 1")
+def _(x):
+    return index.nearest(x.tok.select("tok_id", "emb"), x.cen).select("tok_id", "cid", r6(F.col("d2")).alias("d2"))
+
+
 @q("B2_kmeans")
 def _(x):
     c = index.kmeans(x.tok.select("emb"), 8, 5)
@@ -539,9 +552,9 @@ def _(x):
     return index.train_codebooks(_slices(x), 16)
 
 
-@q("B4_codebook_error", f", d AS (SELECT tok_id, w.s, min(list_sum(list_transform(list_zip(rt.emb[w.s*{WIDTH}+1 : w.s*{WIDTH}+{WIDTH}], w.w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d2, any_value(list_inner_product(rt.emb[w.s*{WIDTH}+1 : w.s*{WIDTH}+{WIDTH}], rt.emb[w.s*{WIDTH}+1 : w.s*{WIDTH}+{WIDTH}])) AS n2 FROM rt, words w WHERE w.s < 4 GROUP BY ALL) SELECT s, round(avg(d2), 6) AS mse, round(sum(d2) / sum(n2), 6) AS rel_err FROM d GROUP BY s")
+@q("B4_codebook_error", f", d AS (SELECT tok_id, w.s, min(list_sum(list_transform(list_zip(rt.emb[w.s*{WIDTH}+1 : w.s*{WIDTH}+{WIDTH}], w.w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d2, any_value(list_inner_product(rt.emb[w.s*{WIDTH}+1 : w.s*{WIDTH}+{WIDTH}], rt.emb[w.s*{WIDTH}+1 : w.s*{WIDTH}+{WIDTH}])) AS n2 FROM rt, words w GROUP BY ALL) SELECT s, round(avg(d2), 6) AS mse, round(sum(d2) / sum(n2), 6) AS rel_err FROM d GROUP BY s")
 def _(x):
-    return index.codebook_error(_slices(x, 4), x.codewords).select("s", r6(F.col("mse")).alias("mse"), r6(F.col("rel_err")).alias("rel_err"))
+    return index.codebook_error(_slices(x), x.codewords).select("s", r6(F.col("mse")).alias("mse"), r6(F.col("rel_err")).alias("rel_err"))
 
 
 @q("B5_codebook_index", "SELECT s, cid, eid, pid FROM postings")
@@ -559,16 +572,16 @@ def _(x):
     return index.token_ivf(x.codes)
 
 
-@q("B13_check_index", "SELECT (SELECT count(*) FROM ivf) AS postings, (SELECT count(DISTINCT cid) FROM ivf) AS lists, true AS no_empty_list, (SELECT min(pid) >= 0 FROM ivf) AS ids_from_zero, (SELECT max(pid) FROM ivf) = (SELECT max(pid) FROM p) AS last_id_fits, (SELECT count(DISTINCT pid) FROM ivf) = (SELECT count(*) FROM p) AS all_passages_seen")
+@q("B13_check_index", "SELECT (SELECT count(*) FROM ivf) AS postings, (SELECT count(DISTINCT cid) FROM ivf) AS lists, true AS no_empty_list, true AS starts_follow, (SELECT avg(CASE WHEN pid >= 4194304 THEN 1.0 ELSE 0.0 END) FROM ivf) AS wide_ids, (SELECT min(pid) >= 0 FROM ivf) AS ids_from_zero, (SELECT max(pid) FROM ivf) = (SELECT max(pid) FROM p) AS last_id_fits, (SELECT count(DISTINCT pid) FROM ivf) = (SELECT count(*) FROM p) AS all_passages_seen")
 def _(x):
     return index.checked(x.ivf, x.passages, ["cid"])
 
 
-@q("B14_hashed_encoder", ", w AS (SELECT doc_id AS pid, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:32] AS ws FROM documents), e AS (SELECT pid, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS word FROM w) SELECT pid, CAST(pos AS INTEGER) AS pos, round((1 - 2 * (('0x' || substr(sha256(word), 1, 1))::BIGINT % 2)) / 8.0, 6) AS first, round((1 - 2 * (('0x' || substr(sha256(word), 64, 1))::BIGINT % 2)) / 8.0, 6) AS last FROM e")
+@q("B14_hashed_encoder", ", w AS (SELECT doc_id AS pid, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM documents), e AS (SELECT pid, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS word FROM w) SELECT pid, CAST(pos AS INTEGER) AS pos, round((1 - 2 * (('0x' || substr(sha256(word), 1, 1))::BIGINT % 2)) / 8.0, 6) AS first, round((1 - 2 * (('0x' || substr(sha256(word), 64, 1))::BIGINT % 2)) / 8.0, 6) AS last FROM e")
 def _(x):
     from ..operators.collection import hashed_encoder
 
-    d = hashed_encoder(x.read("documents").select(F.col("doc_id").alias("pid"), "text"), 64, most=32)  # as in its SQL
+    d = hashed_encoder(x.read("documents").select(F.col("doc_id").alias("pid"), "text"), 64)
     return d.select("pid", "pos", r6(F.element_at("emb", 1)).alias("first"), r6(F.element_at("emb", 64)).alias("last"))
 
 
@@ -579,33 +592,39 @@ def _(x):
 
 
 # Diagnostics ---------------------------------------------------------------
-_QM = "(SELECT qid, emb FROM qtok WHERE qt = 0)"
-_PM = "(SELECT pid, emb FROM tok WHERE pos = 1)"
+_QM = "(SELECT qid * 5 + qt AS qid, emb FROM qtok)"
+_PM = "(SELECT tok_id AS pid, emb FROM tok)"
 
 
-def _first(x):
-    return x.qtok.where(F.col("qt") == 0).select("qid", "emb"), x.tok.where(F.col("pos") == 1).select("pid", "emb")
+def _vectors(x):
+    """Every query token, named by its token, and every token."""
+    return x.qtok.select((F.col("qid") * 5 + F.col("qt")).alias("qid"), "emb"), x.tok.select(F.col("tok_id").alias("pid"), "emb")
 
 
 @q("G1_shortlist_recall", f", a AS (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY round(list_inner_product(q.emb, p.emb), 6) DESC, pid) AS r, row_number() OVER (PARTITION BY qid ORDER BY round(list_inner_product(q.emb[1:16], p.emb[1:16]), 6) DESC, pid) AS s FROM {_QM} q, {_PM} p) SELECT qid, round(avg(CASE WHEN s <= 20 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM a WHERE r <= 10 GROUP BY qid")
 def _(x):
-    q_, p_ = _first(x)
+    q_, p_ = _vectors(x)
     return diag.shortlist_recall(q_, p_, 16, 10, 2).select("qid", r6(F.col("recall")).alias("recall"))
 
 
-_SLICE_HITS = ", h AS (SELECT qid, pid, (SELECT count(*) FROM range(16) t(s) WHERE round(list_sum(list_transform(list_zip(q.emb[s*3+1 : s*3+3], p.emb[s*3+1 : s*3+3]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) <= {r2}) AS hits FROM " + f"{_QM} q, {_PM} p)"
+_RMS = ", rms AS MATERIALIZED (SELECT s, sqrt(avg(list_inner_product(emb[s*3+1 : s*3+3], emb[s*3+1 : s*3+3]))) AS rms FROM tok, subs GROUP BY s)"
+_SLICE_HITS = ", h AS (SELECT qid, pid, count(*) FILTER (WHERE round(list_sum(list_transform(list_zip(q.emb[s*3+1 : s*3+3], p.emb[s*3+1 : s*3+3]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) <= {r2}) AS hits FROM " + f"{_QM} q, {_PM} p, " + "{slices} GROUP BY qid, pid)"
 
 
-@q("G2_hit_count", _SLICE_HITS.format(r2=0.1) + " SELECT qid, pid, CAST(hits AS INTEGER) AS hits FROM h")
+@q("G2_hit_count", _RMS + _SLICE_HITS.format(r2="round(rms * rms, 9)", slices="rms") + " SELECT qid, pid, CAST(hits AS INTEGER) AS hits FROM h")
 def _(x):
-    q_, p_ = _first(x)
-    return diag.slice_hits(q_, p_, 16, 3, 0.1)
+    q_, p_ = _vectors(x)
+    return diag.slice_hits(q_, p_, 16, 3, [round(r * r, 9) for r in diag.slice_rms(p_, 16, 3)])
 
 
-@q("G3_lossless_bound", _SLICE_HITS.format(r2=1.2 / 4) + " SELECT round(avg(CASE WHEN hits >= 13 THEN 1.0 ELSE 0.0 END), 6) AS share, round(avg(CASE WHEN hits >= 13 THEN 1.0 ELSE 0.0 END) FILTER (WHERE (qid, pid) IN (SELECT qid, pid FROM truth)), 6) AS recall FROM h")
+_NEAR = ", a AS MATERIALIZED (SELECT qid, pid FROM (SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY round(list_inner_product(q.emb, p.emb), 6) DESC, pid) AS r FROM " + f"{_QM} q, {_PM} p) WHERE r <= 10)"
+
+
+@q("G3_lossless_bound", _NEAR + _SLICE_HITS.format(r2=1.2 / 4, slices="subs") + " SELECT round(avg(CASE WHEN hits >= 13 THEN 1.0 ELSE 0.0 END), 6) AS share, round(avg(CASE WHEN hits >= 13 THEN 1.0 ELSE 0.0 END) FILTER (WHERE (qid, pid) IN (SELECT qid, pid FROM a)), 6) AS recall FROM h")
 def _(x):
-    q_, p_ = _first(x)
-    return diag.hit_filter(diag.slice_hits(q_, p_, 16, 3, 1.2 / 4), x.truth, 16 - 4 + 1).select(r6(F.col("share")).alias("share"), r6(F.col("recall")).alias("recall"))
+    q_, p_ = _vectors(x)
+    truth = best(q_, ["qid"], "emb", p_, "pid", "emb", 10)
+    return diag.hit_filter(diag.slice_hits(q_, p_, 16, 3, 1.2 / 4), truth, 16 - 4 + 1).select(r6(F.col("share")).alias("share"), r6(F.col("recall")).alias("recall"))
 
 
 @q("G4_stage1_recall", f", e AS ({_cut('hit > 0', 4)}), g AS ({_cut('hit > 0 AND hit >= 0.1', 4)}), r AS (SELECT DISTINCT qid, qt, w.s FROM rq, words w), c AS (SELECT e.qid, e.qt, e.s, avg(CASE WHEN g.eid IS NULL THEN 0.0 ELSE 1.0 END) AS v FROM e LEFT JOIN g ON e.qid = g.qid AND e.qt = g.qt AND e.s = g.s AND e.eid = g.eid GROUP BY ALL) SELECT round(avg(coalesce(v, 1.0)), 6) AS recall FROM r LEFT JOIN c USING (qid, qt, s)")
@@ -614,10 +633,18 @@ def _(x):
     return diag.stage1_recall(_codeword_lists(x, P, "topk").drop("hit"), _codeword_lists(x, Params(tau=0.1), "threshold"), rays, ["qid", "qt", "s"]).select(r6(F.col("recall")).alias("recall"))
 
 
-@q("G5_selective_lut", f"SELECT qid, w.s, eid FROM rq, words w WHERE qt = 0 AND round(list_sum(list_transform(list_zip(rq.emb[w.s*{WIDTH}+1 : w.s*{WIDTH}+{WIDTH}], w.w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) <= 0.05")
+def _query_slices(x):
+    return x.rqtok.select("qid", "qt", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SUB - 1)), lambda s: vec.subspace(F.col("emb"), s, WIDTH))).alias("s", "x"))
+
+
+_SLICE_D2 = f"round(list_sum(list_transform(list_zip(rq.emb[w.s*{WIDTH}+1 : w.s*{WIDTH}+{WIDTH}], w.w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9)"
+
+
+@q("G5_selective_lut", f"SELECT qid, qt, w.s, eid FROM rq, words w WHERE {_SLICE_D2} <= 0.05")
 def _(x):
-    pairs = x.rqtok.where(F.col("qt") == 0).select("qid", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SUB - 1)), lambda s: vec.subspace(F.col("emb"), s, WIDTH))).alias("s", "x"))
-    return diag.selective_lut(pairs, x.codewords, 0.05).select("qid", "s", "eid")
+    return diag.selective_lut(_query_slices(x), x.codewords, 0.05).select("qid", "qt", "s", "eid")
 
 
-assert CUTS
+@q("G5_quantile_radius", f"SELECT s, round(quantile_cont(d2, 0.25), 6) AS r2 FROM (SELECT w.s, {_SLICE_D2} AS d2 FROM rq, words w) GROUP BY s")
+def _(x):
+    return diag.radius_of(_query_slices(x), x.codewords, 0.25).select("s", r6(F.col("r2")).alias("r2"))

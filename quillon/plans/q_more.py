@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..operators import collection, evaluate, filters, index, probe, report, score
 from .engines import Params, _passing, search
-from .fixtures import MASK, SHARES, WIDTH, Fixtures, sql
-from .q_engines import IMPUTED, _adaptive, _counts, _final, _ivf, _pass, _staged
+from .fixtures import MASK, WIDTH
+from .q_engines import IMPUTED, _adaptive, _counts, _fde, _final, _ivf, _pass, _staged
 from .q_eval import _points, raw, _POINTS
-from .q_index import NC, _STAGE3, _slices, _stage3, q, r6
+from .q_index import NC, _STAGE3, _stage3, q, r6
 from ..sources import readers
 
 P = Params()
@@ -110,9 +110,9 @@ def _(x):
     return evaluate.judged(x.truth.select("qid", "rk", "pid"), x.qrels).where("rel = 1").groupBy("qid").agg(F.min("rk").alias("first"))
 
 
-@q("T14_encoding_top", None)
+@q("T14_encoding_top", _fde(0).replace(f"WHERE k <= {P.cands})", "WHERE k <= 5)"))
 def _(x):
-    return search("E23_fixed_dimensional", x, Params(cands=5))
+    return search("E23_fixed_dimensional", x, Params(cands=5)).select("qid", "rk", "pid", r6(F.col("score")).alias("score"))
 
 
 @raw("T15_hash_order", "SELECT doc_id AS qid FROM documents ORDER BY ('0x' || substr(sha256('1:' || doc_id), 1, 12))::BIGINT, doc_id LIMIT 30")
@@ -141,9 +141,9 @@ def _(x):
     return d.where(F.col("rn") <= NC).select("qid", "qt", "rn", "cid")
 
 
-@q("E25_rerank_only", f", c AS (SELECT qid, pid FROM q, p WHERE pid % 7 = qid % 7), sc AS (SELECT qid, pid, score FROM c JOIN ms USING (qid, pid)) {_final('sc')}")
+@q("E25_rerank_only", f", c AS (SELECT DISTINCT qid, pid FROM rk JOIN ivf USING (cid) WHERE rn <= {P.ncells}), sc AS (SELECT qid, pid, score FROM c JOIN ms USING (qid, pid)) {_final('sc')}")
 def _(x):
-    pairs = x.queries.select("qid").join(x.passages.select("pid"), F.col("qid") % 7 == F.col("pid") % 7)
+    pairs = probe.ranked(x.qtok, x.cen, P.ncells).select("qid", "cid").distinct().join(x.ivf, "cid").select("qid", "pid").distinct()
     return score.top(score.rerank(pairs, x.queries, x.passages), ["qid"], "score", P.top_k).select("qid", "rk", "pid", r6(F.col("score")).alias("score"))
 
 
@@ -205,27 +205,35 @@ def _(x):
     return index.assign(x.tok.select("pid", "pos", "tok_id", "emb"), cen)
 
 
-@raw("B19_passage_tokens", "SELECT doc_id AS pid, least(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')), 32) AS n FROM documents")
+@raw("B19_passage_tokens", "SELECT * FROM (SELECT doc_id AS pid, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS n FROM documents) WHERE n > 0")
 def _(x):
-    d = collection.hashed_encoder(x.read("documents").select(F.col("doc_id").alias("pid"), "text"), 64, most=32)  # as in its SQL
+    d = collection.hashed_encoder(x.read("documents").select(F.col("doc_id").alias("pid"), "text"), 64)
     return d.groupBy("pid").agg(F.count("*").alias("n"))
 
 
-def _budget(nc: int, nd: int) -> str:
-    global P
-    kept, P_ = P, Params(ncells=nc, ndocs=nd)
-    from . import q_engines
+#: Budgets of the staged engines in the filter sweep: cells, threshold, candidates.
+BUDGETS = ((2, 0.45, 1024), (4, 0.4, 4096), (8, 0.35, 16384), (16, 0.3, 65536))
+_SWEPT = {"E1_staged_post": "post", "E2_staged_early": "early", "E3_staged_middle": "middle", "E4_staged_early_rerank": "early"}
 
-    q_engines.P = P_
-    try:
-        return q_engines._staged(MASK, "early")
-    finally:
-        q_engines.P = kept
 
+def _swept() -> str:
+    """Each engine and budget as a query of its own inside one."""
+    one = " UNION ALL ".join(
+        f"SELECT '{name}' AS engine, CAST({nc} AS INTEGER) AS ncells, * FROM (WITH {_staged(MASK, where, Params(ncells=nc, threshold=t, ndocs=nd)).lstrip(', ')})"
+        for name, where in _SWEPT.items() for nc, t, nd in BUDGETS
+    )
+    return " " + one
 
-@q("V16_filter_budget", _budget(3, 40))
+
+@q("V16_filter_budget", _swept())
 def _(x):
-    return search("E2_staged_early", x, Params(ncells=3, ndocs=40), MASK).select("qid", "rk", "pid", r6(F.col("score")).alias("score"))
+    out = None
+    for name in _SWEPT:
+        for nc, t, nd in BUDGETS:
+            d = search(name, x, Params(ncells=nc, threshold=t, ndocs=nd), MASK)
+            d = d.select(F.lit(name).alias("engine"), F.lit(nc).alias("ncells"), "qid", "rk", "pid", r6(F.col("score")).alias("score"))
+            out = d if out is None else out.unionByName(d)
+    return out
 
 
 @raw("V18_stage_times")
@@ -256,6 +264,3 @@ def _(x):
 def _(x):
     log = report.steps([("build", lambda: None), ("truth", lambda: None), ("bench", lambda: None)], lambda n: n == "build")
     return x.spark.createDataFrame(log, "step string, state string")
-
-
-assert Fixtures and SHARES and sql and _slices

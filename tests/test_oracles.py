@@ -11,8 +11,6 @@ from quillon.plans import load, registry
 load()
 SF = "/root/testdata/sf0.001"
 NAMES = sorted(registry.oracle_sql())
-#: A cross-section; QUILLON_ALL=1 runs all of them.
-SOME = ["exact_maxsim", "E1_staged_post_filtered", "E5_codebook_filtered", "E11_ivf_impute", "E13_ivf_residual", "E18_ivf_adaptive_filtered", "E22_ivf_skip_empty_filtered", "E23_fixed_dimensional", "A9_bit_counts", "A15_block_sums", "V7_bootstrap", "IO2_qrels", "J10_token_to_passage", "B5_codebook_index"]
 
 
 @pytest.fixture(scope="module")
@@ -23,14 +21,8 @@ def duck():
     return con
 
 
-def _names():
-    import os
-
-    return NAMES if os.environ.get("QUILLON_ALL") else SOME
-
-
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
-@pytest.mark.parametrize("name", _names())
+@pytest.mark.parametrize("name", NAMES)
 def test_matches_sql(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     cols = sorted(df.columns)

@@ -225,3 +225,68 @@ def test_parameters_are_checked():
         Params(k_eids=0)
     with pytest.raises(ValueError):
         search("nothing", None)
+
+
+def test_passage_of_over_block_borders(spark):
+    """Ragged passages that span blocks, a block without any start, and ids that leave gaps."""
+    rng = np.random.default_rng(4)
+    starts = np.unique(rng.integers(3, 400, 25)) * 7
+    tokens = np.unique(np.r_[rng.integers(0, 2900, 900), starts])
+    d = index.passage_of(
+        spark.createDataFrame([(int(t),) for t in tokens], "tok_id long").repartition(3),
+        spark.createDataFrame([(int(t), 10 * i) for i, t in enumerate(starts)], "tok_id long, pid long"), block=50,
+    )
+    want = {int(t): (10 * (k - 1) if k else None) for t, k in zip(tokens, np.searchsorted(starts, tokens, side="right").tolist(), strict=True)}
+    assert {r.tok_id: r.pid for r in d.collect()} == want
+
+
+@pytest.mark.parametrize("most", [64_000_000, 60])
+def test_held_sides_in_blocks(spark, monkeypatch, most):
+    from quillon.operators import matrix
+
+    monkeypatch.setattr(matrix, "MOST_HELD", most)
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(23, 6)), rng.normal(size=(57, 6))
+    b[50] = b[3]  # a tie
+    frame = lambda m, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{name} long, emb array<double>").repartition(3)
+    for depth in (1, 4, 100):
+        order = np.array([np.lexsort((np.arange(57), -np.round(r, 6)))[:depth] for r in a @ b.T])
+        want = {(i, k + 1): int(j) for i, r in enumerate(order) for k, j in enumerate(r)}
+        got = matrix.best(frame(a, "q"), ["q"], "emb", frame(b, "cid"), "cid", "emb", depth).collect()
+        assert {(r.q, r.rn): r.cid for r in got} == want
+        got = matrix.searched(frame(b, "pid"), "pid", "emb", frame(a, "qid"), "qid", "emb", depth).collect()
+        assert {(r.qid, r.rn): r.pid for r in got} == want
+    assert matrix.searched(frame(b, "pid").limit(0), "pid", "emb", frame(a, "qid"), "qid", "emb", 3).count() == 0
+    near = {r.q: (r.cid, r.d2) for r in index.nearest(frame(a, "q"), frame(b, "cid")).collect()}
+    d2 = ((a[:, None, :] - b[None]) ** 2).sum(axis=2)
+    assert all(near[i][0] == int(d2[i].argmin()) and abs(near[i][1] - d2[i].min()) < 1e-9 for i in range(23))
+
+
+def test_other_names_of_an_engine_agree(spark):
+    from quillon.plans.engines import ENGINES, Params, search
+    from quillon.plans.fixtures import MASK, Fixtures
+
+    x = Fixtures(spark, "/root/testdata/sf0.001")
+    rows = lambda name, mask: {tuple(r) for r in search(name, x, Params(), mask).select("qid", "rk", "pid").collect()}
+    for names in (("E2_staged_early", "E4_staged_early_rerank"), ("E5_codebook", "E6_codebook_scan"), ("E11_ivf_impute", "E15_ivf_graph", "E16_ivf_hash", "E17_ivf_pairs")):
+        for mask in (0, MASK):
+            assert len({frozenset(rows(n, mask)) for n in names}) == 1 and all(n in ENGINES for n in names)
+
+
+def test_stored_index_gives_the_same_answers(spark, tmp_path):
+    from quillon.plans import store
+    from quillon.plans.engines import ENGINES, Params, search
+    from quillon.plans.fixtures import MASK, Fixtures
+
+    x = Fixtures(spark, "/root/testdata/sf0.001")
+    facts = store.build(x, f"file://{tmp_path}/index").first().asDict()
+    assert facts.pop("postings") == x.ivf.count() and facts.pop("lists") == x.ivf.select("cid").distinct().count() and facts.pop("wide_ids") == 0
+    assert all(v is True for v in facts.values())
+    y = store.Stored(spark, f"file://{tmp_path}/index")
+    rows = lambda name, v, mask: {(r.qid, r.rk, r.pid, round(r.score, 6)) for r in search(name, v, Params(), mask).select("qid", "rk", "pid", "score").collect()}
+    for name in ("E0_exact", "E1_staged_post", "E5_codebook", "E11_ivf_impute", "E13_ivf_residual", "E18_ivf_adaptive"):
+        assert name in ENGINES
+        for mask in (0, MASK):
+            assert rows(name, x, mask) == rows(name, y, mask), name
+    y.postings.limit(5).withColumn("eid", F.lit(9999)).write.mode("append").parquet(f"file://{tmp_path}/index/postings")
+    assert not store.check(store.Stored(spark, f"file://{tmp_path}/index")).first().eids_known
