@@ -8,7 +8,8 @@ round: a matrix product is far cheaper than shuffling or storing scores.
 
 Queries are read in chunks of at most ``CHUNK`` rows (the bound of what is
 broadcast and of what a round returns to the driver); each chunk meets all
-vectors in blocks of at most ``CELLS`` scores.
+vectors in blocks of at most ``CELLS`` scores, and its answers are written
+before the next one starts, so neither plans nor broadcasts add up.
 
 Defined results: vectors that are null or hold null or non-finite components,
 and rows with a null id, take no part.  An empty vector has score 0 with other
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import ready, table
+from .common import ready, stored, table
 
 CHUNK = 4096
 BINS = 256
@@ -147,7 +148,7 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str = "vec_i
     spark = ready(vectors.sparkSession)
     rows = _usable(vectors, id_col, vec_col)
     norms = {r.d: r.norm for r in rows.mapInArrow(_largest_norm(scale), "d int, norm double").groupBy("d").agg(F.max("norm").alias("norm")).collect()}
-    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    kind, found = "query_id long, rank int, vec_id long, score long", []
     for part in _chunks(_usable(queries, id_col, vec_col), scale, chunk):
         n = len(part.ids)
         hi = np.zeros(n, np.int64)
@@ -180,8 +181,9 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str = "vec_i
             open_ &= seen  # fewer than k candidates: all of them are wanted
         best = rows.mapInArrow(_winners(sent, floor, k, scale), "q long, query_id long, vec_id long, score long")
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-        found = found.unionByName(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
-    return found
+        found.append(stored(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk")._stored_at)
+        sent.destroy()
+    return spark.read.schema(kind).parquet(*found) if found else spark.createDataFrame([], kind)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -647,3 +647,108 @@ def test_pipeline(spark):
 
     t = Tokenizer.from_file(op10_pack.public_paths()[0])
     assert packed.agg(F.sum("length")).first()[0] == sum(len(t.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed.collect())
+
+
+@pytest.fixture(scope="module")
+def long_rows():
+    """A megabyte of words, one of a single word, one of two-byte letters, and their copies."""
+    rng = random.Random(21)
+    prose = words(rng, 200_000, 50_000)
+    one = "".join(rng.choice("abcdefgh") for _ in range(1_000_000))
+    return [(0, prose), (1, one), (2, "é" * 400_000), (3, prose[:500_000] + " z " + prose[500_000:]), (4, one), (5, None), (6, ""), (7, "short text")]
+
+
+def test_long_texts(spark, long_rows):
+    """Every operator takes a megabyte of words, and one without any space, whole."""
+    import public_tokenizers as P
+
+    d = spark.createDataFrame([(i, t, "en", "s" if i % 2 else "t", len(t or "")) for i, t in long_rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    body = {i: t or "" for i, t in long_rows}
+    counts = {r.doc_id: r for r in op02_tokens.count_tokens(d, P.path(op02_tokens.MODEL)).collect()}
+    assert {i: r.n_chars for i, r in counts.items()} == {i: len(t) for i, t in body.items()} and counts[1].n_tokens == counts[4].n_tokens > 100_000
+    mix = op03_mix.Mix(d)
+    taken = {r.doc_id: r for r in mix.taken().collect()}
+    assert all(r["size"] == size_of(body[i]) and r.taken <= 3 * r["size"] for i, r in taken.items()) and taken[0].taken > 0
+    assert sum(size_of(r.text) for r in mix.texts(d).collect()) == sum(r.taken for r in taken.values())
+    linked = {r.doc_id: (r.class_id, r.links) for r in op04_jaccard.join(d).collect()}
+    assert linked == {0: (0, 1), 3: (0, 1), 1: (1, 1), 4: (1, 1), 2: (2, 0), 5: (5, 0), 6: (6, 0), 7: (7, 0)}
+    prints = {r.doc_id: r for r in op05_fingerprints.fingerprints(d).collect()}
+    assert all(r.n_chars == len(body[i]) for i, r in prints.items()) and prints[1].fingerprint == prints[4].fingerprint and prints[0].near_edited > 0.6
+    assert {r.doc_id: r["size"] for r in op06_ring.shard(d, 16).collect()} == {i: len(t.encode()) + 1 for i, t in body.items()}
+    train = spark.createDataFrame([(i, words(random.Random(i), 30) + (" bad" if i % 2 else ""), i % 2) for i in range(60)], "doc_id long, text string, y int")
+    for op in (op07_toxicity, op08_quality):
+        scores = {r.doc_id: r.score for r in op.score(d, op.fit(train)).collect()}
+        assert set(scores) == set(body) and scores[1] == scores[4] and scores[5] == scores[6]
+    left = {r.doc_id: r.dedup for r in op09_suffix.dedup(d).collect()}
+    assert left[0].n_removed == 0 == left[1].n_removed and left[4].n_removed == 1_000_000 and left[4].kept == b""
+    assert len(left[3].kept) < 200 and body[2].encode() == bytes(left[2].kept)
+    pieces = op10_pack.pack(d, op10_pack.public_paths()).toPandas()
+    ids = op10_pack.Ids(*op10_pack.public_paths())
+    assert pieces.groupby("doc_id").length.sum().to_dict() == {i: len(ids.encode(t)) // 2 + 1 for i, t in body.items()}
+
+
+def test_chunks_byte_by_byte():
+    """The chunker against one that rolls over each byte."""
+    o, rng = op05_fingerprints, random.Random(17)
+
+    def plain(t):
+        out, at = set(), 0
+        import xxhash
+
+        while at < len(t):
+            cut = min(len(t), at + o.MOST)
+            for k in range(at + o.LEAST, cut + 1):
+                h = 0
+                for q in range(o.WINDOW):  # bytes before the text count as zero bytes, whose gear is 0
+                    byte = t[k - 1 - q] if k - 1 - q >= 0 else 0
+                    h = (h + (int(o.GEAR[byte]) << q)) & 0xFFFFFFFF
+                bits = o.STRICT if k < at + o.NORMAL else o.LOOSE
+                if h >> (32 - bits) == 0:
+                    cut = k
+                    break
+            out.add((xxhash.xxh64_intdigest(t[at:cut]) >> 16) << 8 | (cut - at))
+            at = cut
+        return sorted(out)
+
+    texts = [words(rng, n).encode() for n in (0, 1, 5, 60, 300)] + ["日本語 ".encode() * 90, b"a" * 700, bytes(rng.randrange(256) for _ in range(1500))]
+    assert o.chunk_sets(texts) == [plain(t) for t in texts]
+
+
+@pytest.mark.parametrize("name", ["op2_tokens", "op5_fingerprints", "op6_ring", "op7_toxicity", "op8_quality", "op9_suffix", "op10_pack"])
+def test_registered_queries(spark, name):
+    """The queries without SQL, over a whole table: their columns, ids and what their contract fixes."""
+    from quillon.llm import registry
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = registry.queries()[name](spark, SF).toPandas()
+    if name == "op10_pack":
+        assert set(got.doc_id) == set(docs) and (got.groupby("doc_id").length.sum() == got.groupby("doc_id").doc_tokens.first()).all() and (got.offset + got.length <= 1024).all()
+        return
+    assert sorted(got.doc_id) == sorted(docs)
+    rows = {r.doc_id: r for r in got.itertuples()}
+    if name in ("op7_toxicity", "op8_quality"):
+        kind, least = ("toxic", 0.5) if name == "op7_toxicity" else ("quality", 0.3)
+        assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == int(r.score >= least) and 0 <= r.score <= 1 for i, r in rows.items())
+        known = {r.doc_id: r[kind] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+        assert np.mean([rows[i].predicted == y for i, y in known.items() if i in rows]) > 0.9
+    elif name == "op9_suffix":
+        want = {i: (len(docs[i].encode()), n, spans, hashlib.sha256(kept).hexdigest()) for (i, n, spans, kept) in passages_brute(list(docs.items()))}
+        assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in rows.items()} == want
+    elif name == "op6_ring":
+        assert all(r.size == len(docs[i].encode()) + 1 and r.text_crc32 == zlib.crc32(docs[i].encode()) and r.law == "rows" for i, r in rows.items())
+        n = Counter(got.shard)
+        assert max(n.values()) - min(n[s] for s in range(16)) <= 1 and all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    else:
+        assert all(r.n_chars == len(docs[i]) for i, r in rows.items())
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, none):
+    """Nulls, repeated rows, clashing names and empty tables pass through every stage."""
+    import corpus_pipeline as cp
+
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "pack":
+            assert out.columns == docs.columns, name
+        assert out.count() > 0
+        assert stage(spark, none, SF).count() == 0, name
