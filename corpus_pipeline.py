@@ -3,15 +3,21 @@
 Each stage takes the documents that the stage before it left and returns
 documents; the last returns the pieces of packed sequences.
 
-1. quality: documents whose calibrated score is below 0.3 go.
+1. quality: documents whose calibrated score is below 0.3 go.  Null and empty
+   texts have a score like others.
 2. jaccard: of each group of near copies (five-word shingles, similarity 0.8 or
-   more), the document with the least id stays.
-3. suffix: bytes of 50-byte passages that an earlier document has are cut out; a
-   document of which nothing is left goes.
+   more), the document with the least id stays; of repeated rows one does.
+   Documents without words are near nothing and stay.
+3. suffix: bytes of 50-byte passages that an earlier document has are cut out,
+   and with them the rest of a character that a cut goes through; a document of
+   which nothing is left goes.  Documents with a null id stay as they are.
 4. mix: sources are drawn to their target weights in blocks of words.  A row is
    what one pass over its source takes of a document, so up to three rows have
-   one id.
-5. pack: tokens are packed along a space-filling curve.
+   one id.  Documents without words hold nothing to draw and go.
+5. pack: tokens are packed along a space-filling curve; a null text is empty.
+
+Every stage gives no rows for no rows, and keeps columns that it doesn't know,
+whatever their names.
 """
 
 from __future__ import annotations
