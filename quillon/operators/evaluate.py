@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,6 +43,21 @@ def truth_recall(ranking: DataFrame, truth: DataFrame, queries: DataFrame, k: in
     return queries.select("qid").distinct().join(per, "qid", "left")
 
 
+def ground_truth(spark: SparkSession, path: str, filters: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """filter, qid, rk, pid, score: each filter's exact answers, written under ``path`` as they are made.
+
+    A filter that is there whole isn't made again; one whose writing was cut off
+    is.  Runs over different filters add up in one folder.
+    """
+    sc = spark.sparkContext
+    conf, named = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop.fs.Path
+    for name, made in filters.items():
+        done = named(f"{path}/filter={name}/_SUCCESS")
+        if not done.getFileSystem(conf).exists(done):
+            made().select("qid", "rk", "pid", "score").write.mode("overwrite").parquet(f"{path}/filter={name}")
+    return spark.read.option("basePath", path).parquet(*[f"{path}/filter={n}" for n in filters]).withColumn("filter", F.col("filter").cast("string"))
+
+
 def official(ranking: DataFrame, qrels: DataFrame, queries: DataFrame, kind: str, filt: str) -> DataFrame:
     """mrr@10 or success@5, for the filters that the judgements were made under; null for others."""
     name, k = {"mrr@10": ("mrr", 10), "success@5": ("success", 5)}[kind]

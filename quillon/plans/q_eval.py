@@ -10,7 +10,7 @@ from ..operators import collection, evaluate
 from ..sources import readers
 from .engines import Params, search
 from .fixtures import Fixtures
-from .q_engines import IMPUTED, _ivf
+from .q_engines import IMPUTED, _ivf, _sql
 from .q_index import q
 from .registry import register
 
@@ -211,10 +211,45 @@ def _(x):
     return out
 
 
-@q("V15_filtered_recall", ", ps AS (SELECT pid FROM pred WHERE (pred & 2) <> 0), ft AS (SELECT qid, pid FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, pid) AS r FROM ms WHERE pid IN (SELECT pid FROM ps)) WHERE r <= 10), pr AS (SELECT qid, qt, pid, base FROM (" + IMPUTED + ") JOIN ivf USING (cid) WHERE base > 0 AND pid IN (SELECT pid FROM ps)), ap AS (SELECT qid, pid, sum(b) AS a FROM (SELECT qid, qt, pid, max(base) AS b FROM pr GROUP BY ALL) GROUP BY ALL), cd AS (SELECT qid, pid FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(a, 6) DESC, pid) AS r FROM ap) WHERE r <= 20), fin AS (SELECT qid, pid FROM (SELECT cd.qid, cd.pid, row_number() OVER (PARTITION BY cd.qid ORDER BY round(score, 6) DESC, cd.pid) AS r FROM cd JOIN ms USING (qid, pid)) WHERE r <= 10), g AS (SELECT t.qid, avg(CASE WHEN f.pid IS NULL THEN 0.0 ELSE 1.0 END) AS recall FROM ft t LEFT JOIN fin f USING (qid, pid) GROUP BY t.qid) SELECT qid, round(recall, 6) AS recall FROM q LEFT JOIN g USING (qid)")
+#: Filters by share of passages, and the engines that are held against each other under them.
+FILTERED = {"syn5": 1, "syn14": 2, "syn30": 4}
+COMPARED = ("E2_staged_early", "E11_ivf_impute", "E18_ivf_adaptive")
+
+
+def _filtered_sql(tail: str) -> str:
+    nested = lambda body: f"(WITH {body.lstrip(', ')})" if body.startswith(", ") else f"({body})"
+    runs = " UNION ALL ".join(f"SELECT '{f}' AS filter, '{e}' AS engine, qid, pid FROM {nested(_sql(e, m))}" for f, m in FILTERED.items() for e in COMPARED)
+    exact = " UNION ALL ".join(f"SELECT '{f}' AS filter, qid, pid FROM {nested(_sql('E0_exact', m))}" for f, m in FILTERED.items())
+    each = f"(SELECT unnest({list(COMPARED)}) AS engine) e"
+    return f", runs AS MATERIALIZED ({runs}), ft AS ({exact}), g AS MATERIALIZED (SELECT t.filter, e.engine, t.qid, avg(CASE WHEN r.pid IS NULL THEN 0.0 ELSE 1.0 END) AS recall FROM ft t CROSS JOIN {each} LEFT JOIN runs r ON r.filter = t.filter AND r.engine = e.engine AND r.qid = t.qid AND r.pid = t.pid GROUP BY ALL){tail.format(each=each, filters=f'(SELECT unnest({list(FILTERED)}) AS filter) f')}"
+
+
+def _filtered(x):
+    out = None
+    for f, mask in FILTERED.items():
+        truth = search("E0_exact", x, P, mask)
+        for e in COMPARED:
+            d = evaluate.truth_recall(search(e, x, P, mask), truth, x.queries, 10).select(F.lit(f).alias("filter"), F.lit(e).alias("engine"), "qid", "recall")
+            out = d if out is None else out.unionByName(d)
+    return out
+
+
+@q("V15_filtered_recall", _filtered_sql(" SELECT f.filter, e.engine, q.qid, round(recall, 6) AS recall FROM q CROSS JOIN {filters} CROSS JOIN {each} LEFT JOIN g ON g.filter = f.filter AND g.engine = e.engine AND g.qid = q.qid"))
+def _(x):
+    return _filtered(x).withColumn("recall", r6(F.col("recall")))
+
+
+@q("V15_paired_differences", _filtered_sql(" SELECT a.filter, a.engine AS a, b.engine AS b, count(*) AS n, round(avg(a.recall - b.recall), 6) AS diff FROM g a JOIN g b USING (filter, qid) WHERE a.engine > b.engine GROUP BY ALL"))
 def _(x):
-    truth = search("E0_exact", x, P, 2)
-    return evaluate.truth_recall(search("E11_ivf_impute", x, P, 2), truth, x.queries, 10).select("qid", r6(F.col("recall")).alias("recall"))
+    d, out = _filtered(x), None
+    for a in COMPARED:
+        for b in COMPARED:
+            if a > b:
+                side = lambda e: d.where(F.col("engine") == e).select(F.concat_ws("/", "filter", F.col("qid").cast("string")).alias("qid"), F.col("recall").alias("value"))
+                p = evaluate.paired(side(a), side(b)).groupBy(F.substring_index("qid", "/", 1).alias("filter")).agg(F.count("*").alias("n"), r6(F.avg("value")).alias("diff"))
+                p = p.select("filter", F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "diff")
+                out = p if out is None else out.unionByName(p)
+    return out
 
 
 @raw("V17_attribution", f"{_POINTS}, s AS (SELECT engine, min(lat) AS lat, max(quality) AS quality FROM pts GROUP BY engine) SELECT a.engine AS slow, b.engine AS fast, round(a.lat / b.lat, 6) AS ratio, round(b.quality - a.quality, 6) AS diff FROM s a JOIN s b ON a.engine < b.engine")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..operators import collection, evaluate, filters, index, probe, report, score
 from .engines import Params, _passing, search
-from .fixtures import MASK, WIDTH
-from .q_engines import IMPUTED, _adaptive, _counts, _fde, _final, _ivf, _pass, _staged
+from .fixtures import MASK, SHARES, WIDTH
+from .q_engines import IMPUTED, _adaptive, _counts, _fde, _final, _ivf, _pass, _sql, _staged
 from .q_eval import _points, raw, _POINTS
 from .q_index import NC, _STAGE3, _stage3, q, r6
 from ..sources import readers
@@ -179,10 +179,16 @@ def _(x):
     return near.select("qid", F.expr("shiftleft(1L, cast(16 + topic as int))").alias("mask"))
 
 
-@q("B11_ground_truth", f"SELECT 'all' AS filter, qid, CAST(rk AS INTEGER) AS rk, pid FROM truth UNION ALL SELECT 'syn14', qid, CAST(rk AS INTEGER), pid FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, pid) AS rk FROM ms WHERE pid IN {_pass(MASK)}) WHERE rk <= 10")
+_TRUTHS = {"all": 0} | {f"syn{share // 100}": 1 << b for b, share in enumerate(SHARES)}
+
+
+@q("B11_ground_truth", " " + " UNION ALL ".join(f"SELECT '{f}' AS filter, qid, rk, pid FROM ({_sql('E0_exact', m)})" for f, m in _TRUTHS.items()))
 def _(x):
-    have = search("E0_exact", x, P).select(F.lit("all").alias("filter"), "qid", "rk", "pid")
-    return have.unionByName(search("E0_exact", x, P, MASK).select(F.lit("syn14").alias("filter"), "qid", "rk", "pid"))
+    out = None
+    for name, mask in _TRUTHS.items():
+        d = search("E0_exact", x, P, mask).select(F.lit(name).alias("filter"), "qid", "rk", "pid")
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 @q("B12_encodings", "SELECT pid, 32 AS dims FROM p")

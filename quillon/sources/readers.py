@@ -7,13 +7,14 @@ path; parsers never infer a schema.
 from __future__ import annotations
 
 import json
-import struct
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.matrix import held, ready
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
@@ -73,27 +74,67 @@ def profiler_csv(df: DataFrame, metrics: list[str]) -> DataFrame:
     return d.agg(*num, F.count("*").alias("kernels"))
 
 
-def fvecs(spark: SparkSession, path: str) -> DataFrame:
-    """Vectors of an ``.fvecs`` file (int32 length, then float32s): id, vec.  Files are split by file."""
+def _binary_vectors(spark: SparkSession, path: str, decode) -> DataFrame:
+    """path, id, vec of each file's matrix, sent on in slices of rows; files are split by file."""
+    import numpy as np
+    import pyarrow as pa
 
     def run(batches):
-        import pandas as pd
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                m = decode(name, data)
+                for at in range(0, len(m), 4096):
+                    part = np.ascontiguousarray(m[at : at + 4096], dtype=np.float32)
+                    ends = pa.array(np.arange(len(part) + 1) * part.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))], ["path", "id", "vec"])
+
+    return ready(spark).read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, id long, vec array<float>")
+
+
+def fvecs(spark: SparkSession, path: str) -> DataFrame:
+    """Vectors of an ``.fvecs`` file: records of an int32 length and as many float32s, all of one length."""
+
+    def decode(name, data):
+        import numpy as np
+
+        if not data:
+            return np.zeros((0, 0), np.float32)
+        d = int(np.frombuffer(data, "<i4", 1)[0])
+        if len(data) % (4 + 4 * d):
+            raise ValueError(f"{name}: {len(data)} bytes aren't vectors of {d}")
+        return np.frombuffer(data, "<f4").reshape(-1, d + 1)[:, 1:]
+
+    return _binary_vectors(spark, path, decode)
+
+
+def npy(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
+    """Rows of the matrix in each ``.npy`` file, or of the array ``member`` of each ``.npz`` file."""
+
+    def decode(name, data):
+        import io
+
+        import numpy as np
+
+        m = np.load(io.BytesIO(data), allow_pickle=False)
+        m = m if member is None else m[member]
+        if m.ndim != 2:
+            raise ValueError(f"{name}: {m.ndim} dimensions, a matrix has two")
+        return m
+
+    return _binary_vectors(spark, path, decode)
+
 
-        for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                if not data:
-                    continue
-                (d,) = struct.unpack("<i", data[:4])
-                step = 4 + 4 * d
-                if len(data) % step:
-                    raise ValueError(f"{name}: {len(data)} bytes aren't vectors of {d}")
-                vecs = [list(struct.unpack(f"<{d}f", data[i + 4 : i + step])) for i in range(0, len(data), step)]
-                yield pd.DataFrame({"path": name, "id": range(len(vecs)), "vec": vecs})
+def write_npz(path: str, **tables: tuple[DataFrame, str, str]) -> None:
+    """Small tables, (table, id column, vector column) each, as ids and matrices of one ``.npz`` file; larger ones are refused."""
+    import numpy as np
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, id long, vec array<float>")
+    arrays = {}
+    for name, (df, id_col, vec_col) in tables.items():
+        arrays[f"{name}_ids"], arrays[name] = held(df, id_col, vec_col)
+    np.savez(path, **arrays)
 
 
-def dump_json(obj: Any, path: str) -> None:
+def write_json(obj: Any, path: str) -> None:
     """Small results as JSON; numpy numbers and arrays become plain ones."""
 
     def plain(x: Any) -> Any:

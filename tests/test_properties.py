@@ -184,7 +184,7 @@ def test_sources(spark, tmp_path):
         readers.collection(readers.lines(spark, str(tmp_path / "c.tsv")), check=True)
     (tmp_path / "v.fvecs").write_bytes(b"".join(np.int32(2).tobytes() + np.array([i, i + 1], "<f4").tobytes() for i in range(3)))
     assert [list(r.vec) for r in readers.fvecs(spark, str(tmp_path / "v.fvecs")).orderBy("id").collect()] == [[0, 1], [1, 2], [2, 3]]
-    readers.dump_json({"a": np.arange(3), "b": np.float32(1)}, str(tmp_path / "x.json"))
+    readers.write_json({"a": np.arange(3), "b": np.float32(1)}, str(tmp_path / "x.json"))
     assert "[" in (tmp_path / "x.json").read_text()
 
 
@@ -290,3 +290,35 @@ def test_stored_index_gives_the_same_answers(spark, tmp_path):
             assert rows(name, x, mask) == rows(name, y, mask), name
     y.postings.limit(5).withColumn("eid", F.lit(9999)).write.mode("append").parquet(f"file://{tmp_path}/index/postings")
     assert not store.check(store.Stored(spark, f"file://{tmp_path}/index")).first().eids_known
+
+
+def test_ground_truth_is_resumed_and_merged(spark, tmp_path):
+    made = []
+
+    def exact(name):
+        def run():
+            made.append(name)
+            return spark.createDataFrame([(1, 1, len(name), 0.5)], "qid long, rk int, pid long, score double")
+
+        return run
+
+    path = f"file://{tmp_path}/truth"
+    evaluate.ground_truth(spark, path, {n: exact(n) for n in ("all", "syn14")})
+    (tmp_path / "truth" / "filter=syn14" / "_SUCCESS").unlink()  # as if its writing had been cut off
+    got = evaluate.ground_truth(spark, path, {n: exact(n) for n in ("all", "syn14", "own")})
+    assert made == ["all", "syn14", "syn14", "own"]
+    assert {(r["filter"], r.pid) for r in got.collect()} == {("all", 3), ("syn14", 5), ("own", 3)}
+
+
+def test_binary_vectors(spark, tmp_path):
+    m = np.random.default_rng(2).normal(size=(9000, 5)).astype("<f4")
+    np.c_[np.full((9000, 1), 5, "<i4").view("<f4"), m].astype("<f4").tofile(tmp_path / "a.fvecs")
+    np.save(tmp_path / "b.npy", m)
+    rows = [(i, v.tolist()) for i, v in enumerate(m[:50].astype(float))]
+    readers.write_npz(str(tmp_path / "c.npz"), emb=(spark.createDataFrame(rows, "id long, v array<double>").repartition(3), "id", "v"))
+    for name, d, want in (("a", readers.fvecs(spark, f"{tmp_path}/a.fvecs"), m), ("b", readers.npy(spark, f"{tmp_path}/b.npy"), m), ("c", readers.npy(spark, f"{tmp_path}/c.npz", "emb"), m[:50])):
+        got = sorted(d.collect(), key=lambda r: r.id)
+        assert [r.id for r in got] == list(range(len(want))) and np.array_equal(np.array([r.vec for r in got], np.float32), want), name
+    (tmp_path / "bad.fvecs").write_bytes(np.array([5, 1], "<i4").tobytes())
+    with pytest.raises(Exception, match="aren't vectors"):
+        readers.fvecs(spark, f"{tmp_path}/bad.fvecs").collect()
