@@ -43,8 +43,6 @@ RANGE_TOKENS = 4_000_000
 RANGES = 20_000
 KEPT = 1_000_000
 END = 0
-#: Beside these a space may not start a pre-token; the rarer white space counts wherever it stands.
-_BESIDE = [x for c in " \t\n\x0b\x0c\r" for x in (f" {c}", f"{c} ")]
 _RARE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _MADE: dict = {}
@@ -52,7 +50,9 @@ _MADE: dict = {}
 
 def _simple(text: str) -> bool:
     """Every space stands between two characters that aren't white space."""
-    if text[0] == " " or text[-1] == " " or any(x in text for x in _BESIDE) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+    if text[0] == " " or text[-1] == " " or "  " in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return False
+    if any(c in text and (f" {c}" in text or f"{c} " in text) for c in "\t\n\x0b\x0c\r"):
         return False
     return text.isascii() or not _RARE.search(text)
 
