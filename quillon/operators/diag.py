@@ -11,13 +11,32 @@ from ..functions import vec
 from .matrix import best, held_blocks, ready
 
 
-def shortlist_recall(queries: DataFrame, points: DataFrame, m: int, k: int, alpha: int) -> DataFrame:
-    """Per query: how many of the exact top ``k`` are in the top ``alpha * k`` by the first ``m`` dimensions."""
+def shortlist_recall(queries: DataFrame, points: DataFrame, m: int, k: int, alpha: int, basis: np.ndarray | None = None) -> DataFrame:
+    """Per query: how many of the exact top ``k`` are in the top ``alpha * k`` by the first ``m`` dimensions.
+
+    With a ``basis`` (a column a direction, such as principal ones), by its first ``m`` directions.
+    """
+    if basis is not None:
+        from .index import projected
+
+        return _recall(queries, points, projected(queries, basis[:, :m]), projected(points, basis[:, :m]), k, alpha)
+    cut = F.slice("emb", 1, m)
+    return _recall(queries, points, queries.withColumn("emb", cut), points.withColumn("emb", cut), k, alpha)
+
+
+def _recall(queries: DataFrame, points: DataFrame, short_queries: DataFrame, short_points: DataFrame, k: int, alpha: int) -> DataFrame:
     exact = best(queries, ["qid"], "emb", points, "pid", "emb", k).select("qid", "pid")
-    short = best(queries.withColumn("emb", F.slice("emb", 1, m)), ["qid"], "emb", points.withColumn("emb", F.slice("emb", 1, m)), "pid", "emb", alpha * k).select("qid", "pid").withColumn("hit", F.lit(1))
+    short = best(short_queries, ["qid"], "emb", short_points, "pid", "emb", alpha * k).select("qid", "pid").withColumn("hit", F.lit(1))
     return exact.join(short, ["qid", "pid"], "left").groupBy("qid").agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
+def agreement(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Two encodings (a: qid, key, emb; b: key, emb) of the same tokens: each query's least cosine, and whether none is missing."""
+    cos = vec.dot(F.col("emb"), F.col("other")) / F.sqrt(vec.dot(F.col("emb"), F.col("emb")) * vec.dot(F.col("other"), F.col("other")) + 1e-12)
+    d = a.join(b.withColumnRenamed("emb", "other"), key, "left")
+    return d.groupBy("qid").agg(F.min(cos).alias("least"), (F.count("other") == F.count("*")).alias("same_count"))
+
+
 def slice_rms(points: DataFrame, subspaces: int, width: int) -> list[float]:
     """Root mean square length of each slice of the points."""
     from .index import energies

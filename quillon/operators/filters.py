@@ -16,6 +16,12 @@ def passes(pred: Column, mask: Column | int) -> Column:
     return (m == 0) | (pred.bitwiseAND(m) != 0)
 
 
+def signed32(mask: Column) -> Column:
+    """The 32 bits of an unsigned mask as a signed number, as systems without unsigned types store it."""
+    low = mask.cast("long").bitwiseAND(F.lit((1 << 32) - 1))
+    return F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low).cast("int")
+
+
 def selectivity(preds: DataFrame, mask: int) -> DataFrame:
     return preds.agg(F.avg(F.when(passes(F.col("pred"), mask), 1.0).otherwise(0.0)).alias("selectivity"))
 

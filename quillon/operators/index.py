@@ -140,9 +140,28 @@ def kmeans(points: DataFrame, k: int, iterations: int = 25, sample: int = 200_00
 
 
 def rotation(centroids: DataFrame, dims: int) -> np.ndarray:
-    """The top right singular vectors of the centred centroids, a column each."""
+    """The top right singular vectors of the centred centroids, a column each (where they span less, any directions beyond)."""
     _, m = held(centroids, "cid", "emb")
-    return np.linalg.svd(m - m.mean(axis=0), full_matrices=False)[2][:dims].T
+    c = m - m.mean(axis=0)
+    return np.linalg.eigh(c.T @ c)[1][:, ::-1][:, :dims]
+
+
+def projected(tokens: DataFrame, r: np.ndarray) -> DataFrame:
+    """``tokens`` (keys, emb) with emb @ ``r``, a column of ``r`` a dimension."""
+    ready(tokens.sparkSession)
+
+    @F.pandas_udf("array<double>")
+    def turned(emb):
+        import pandas as pd
+
+        return pd.Series(list(np.array(emb.tolist(), dtype=np.float64).reshape(len(emb), len(r)) @ r))
+
+    return tokens.withColumn("emb", turned("emb"))
+
+
+def rotated(tokens: DataFrame, r: np.ndarray) -> DataFrame:
+    """``tokens`` turned by ``r`` and scaled to length one again."""
+    return projected(tokens, r).withColumn("emb", vec.normalized(F.col("emb")))
 
 
 def fingerprint(r: np.ndarray) -> str:
@@ -168,6 +187,7 @@ def train_codebooks(slices: DataFrame, entries: int, iterations: int = 10, sampl
         import pandas as pd
 
         x = np.array(pdf["x"].tolist(), dtype=np.float64)
+        x = x[np.lexsort(x.T)]  # the same books from any layout
         rng = np.random.default_rng(int(pdf["s"].iloc[0]))
         c = x[rng.permutation(len(x))[:entries]]
         for _ in range(iterations):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,9 @@ MASK = 2  # the bit of the 14 % filter
 
 
 class Fixtures:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, words: int | None = None):
+        """``words``: how many codewords a slice has, where not all that there are."""
+        self.spark, self.dir, self.words = spark, sf_dir, words
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -95,19 +97,24 @@ class Fixtures:
     @cached_property
     def codewords(self) -> DataFrame:
         d = self.tok.where(F.col("tok_id") % 25 == 7).select(F.floor(F.col("tok_id") / 25.0).cast("int").alias("eid"), "emb")
+        d = d if self.words is None else d.where(F.col("eid") < self.words)
         d = d.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SUB - 1))))
         return d.select("s", "eid", vec.subspace(F.col("emb"), F.col("s"), WIDTH).alias("w"))
 
     @cached_property
-    def postings(self) -> DataFrame:
-        """s, cid, eid, pid: the codebook index over each token's slices of most energy."""
+    def slices(self) -> DataFrame:
+        """pid, cid, s, x: what each token's slices of most energy leave of its centroid."""
         rcodes = index.assign(self.rtok.select("pid", "pos", "tok_id", "emb"), self.rcen)
         d = rcodes.join(self.rtok.select("tok_id", "emb"), "tok_id")
         active = index.top_subspaces(self.rtok.select("tok_id", "emb"), SUB, WIDTH, 4).select("tok_id", "s")
         c = self.rcen.withColumnRenamed("emb", "center")
         x = vec.minus(vec.subspace(F.col("emb"), F.col("s"), WIDTH), vec.subspace(F.col("center"), F.col("s"), WIDTH))
-        slices = d.join(active, "tok_id").join(c, "cid").select("pid", "cid", "s", x.alias("x"))
-        return index.nearest_codeword(slices, self.codewords).select("s", "cid", "eid", "pid").distinct()
+        return d.join(active, "tok_id").join(c, "cid").select("pid", "cid", "s", x.alias("x"))
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """s, cid, eid, pid: the codebook index over each token's slices of most energy."""
+        return index.nearest_codeword(self.slices, self.codewords).select("s", "cid", "eid", "pid").distinct()
 
     @cached_property
     def truth(self) -> DataFrame:
@@ -116,6 +123,32 @@ class Fixtures:
         return exact_scan(self.passages, self.queries, 10)
 
 
+class Trained(Fixtures):
+    """The same views over a rotation and codebooks that are trained on the table."""
+
+    @cached_property
+    def rotation(self) -> np.ndarray:
+        return index.rotation(self.cen, ROT)
+
+    @cached_property
+    def rtok(self) -> DataFrame:
+        return index.rotated(self.tok, self.rotation)
+
+    @cached_property
+    def rcen(self) -> DataFrame:
+        return index.rotated(self.cen, self.rotation)
+
+    @cached_property
+    def rqtok(self) -> DataFrame:
+        return index.rotated(self.qtok, self.rotation)
+
+    @cached_property
+    def codewords(self) -> DataFrame:
+        """Trained once; the driver holds SUB books of ``words`` (16 unless given) short vectors."""
+        book = index.train_codebooks(self.slices.select("s", "x"), self.words or 16)
+        return self.spark.createDataFrame(book.collect(), book.schema)
+
+
 DOT = "list_inner_product({}, {})"
 
 PRE = f"""

@@ -156,6 +156,12 @@ def _(x):
     return x.read("documents").select("doc_id", vec.hash48(F.col("text")).alias("h"))
 
 
+@q("K20_signed_mask", "SELECT pid, m, CAST(CASE WHEN m >= 2147483648 THEN m - 4294967296 ELSE m END AS INTEGER) AS signed FROM (SELECT pid, (pred << 8) & 4294967295 AS m FROM pred)")
+def _(x):
+    m = F.shiftleft("pred", 8).bitwiseAND(F.lit((1 << 32) - 1))
+    return x.pred.select("pid", m.alias("m")).select("pid", "m", filters.signed32(F.col("m")).alias("signed"))
+
+
 # Joins ---------------------------------------------------------------------
 @q("J1_query_centroids", "SELECT qid, qt, cid, CAST(rn AS INTEGER) AS rn, round(score, 6) AS score FROM rk")
 def _(x):
@@ -419,6 +425,15 @@ def _(x):
     return probe.adaptive(probe.ranked(x.qtok, x.cen, ncap + 1), counts, NC, ncap, filters.selectivity(x.pred, MASK).first()[0])
 
 
+@q("P4_floor_ablation", f"{_counts(MASK)}, la AS (SELECT qid, qt, min(score) AS last FROM rk WHERE rn <= {NC} GROUP BY ALL) SELECT a.qid, a.qt, round(max(a.score) FILTER (WHERE a.cid IN (SELECT cid FROM cnt WHERE pass > 0)), 6) AS passing_floor, round(max(a.score), 6) AS any_floor FROM rk a JOIN la USING (qid, qt) WHERE a.score < last GROUP BY ALL HAVING passing_floor IS NOT NULL")
+def _(x):
+    ranks = probe.ranked(x.qtok, x.cen, x.cen.count())
+    counts = probe.list_counts(x.ivf, x.pred.where(filters.passes(F.col("pred"), MASK)))
+    among = ranks.join(counts.where(F.col("pass") > 0).select("cid"), "cid", "left_semi")
+    floors = [probe.with_floor(probe.plain(ranks, NC), a).select("qid", "qt", r6(F.col("floor")).alias(n)).distinct() for a, n in ((among, "passing_floor"), (ranks, "any_floor"))]
+    return floors[0].join(floors[1], ["qid", "qt"])
+
+
 @q("P2_nonempty_centroids", f"{_counts(MASK)} SELECT cid, pass FROM cnt WHERE pass > 0")
 def _(x):
     return probe.list_counts(x.ivf, x.pred.where(filters.passes(F.col("pred"), MASK))).where(F.col("pass") > 0).select("cid", "pass")
@@ -585,10 +600,12 @@ def _(x):
     return d.select("pid", "pos", r6(F.element_at("emb", 1)).alias("first"), r6(F.element_at("emb", 64)).alias("last"))
 
 
-@q("B15_encoder_agreement", "SELECT qid, round(min(list_inner_product(emb, emb)), 6) AS least FROM qtok GROUP BY qid")
+@q("B15_encoder_agreement", "SELECT a.pid AS qid, round(min(list_inner_product(emb, v) / sqrt(list_inner_product(v, v) * list_inner_product(emb, emb) + 1e-12)), 6) AS least, count(*) = any_value(n) AS same_count FROM tok a JOIN vecs b USING (tok_id) JOIN (SELECT pid, count(*) AS n FROM tok GROUP BY pid) c ON c.pid = a.pid WHERE a.pid % 10 = 0 GROUP BY a.pid")
 def _(x):
-    other = x.qtok.withColumnRenamed("emb", "o")
-    return x.qtok.join(other, ["qid", "qt"]).groupBy("qid").agg(r6(F.min(vec.dot(F.col("emb"), F.col("o")))).alias("least"))
+    """Tokens of passages that ask a query, as given and as the index stores them."""
+    v = codec.decompressed(F.col("center"), F.col("data"), WEIGHTS)
+    asked = x.tok.where(F.col("pid") % 10 == 0)
+    return diag.agreement(asked.select(F.col("pid").alias("qid"), "tok_id", "emb"), x.residual.select("tok_id", v.alias("emb")), "tok_id").select("qid", r6(F.col("least")).alias("least"), "same_count")
 
 
 # Diagnostics ---------------------------------------------------------------
@@ -607,6 +624,13 @@ def _(x):
     return diag.shortlist_recall(q_, p_, 16, 10, 2).select("qid", r6(F.col("recall")).alias("recall"))
 
 
+@q("G1_principal_recall")
+def _(x):
+    """By the 16 principal directions of the centroids."""
+    q_, p_ = _vectors(x)
+    return diag.shortlist_recall(q_, p_, 16, 10, 2, index.rotation(x.cen, 16)).select("qid", r6(F.col("recall")).alias("recall"))
+
+
 _RMS = ", rms AS MATERIALIZED (SELECT s, sqrt(avg(list_inner_product(emb[s*3+1 : s*3+3], emb[s*3+1 : s*3+3]))) AS rms FROM tok, subs GROUP BY s)"
 _SLICE_HITS = ", h AS (SELECT qid, pid, count(*) FILTER (WHERE round(list_sum(list_transform(list_zip(q.emb[s*3+1 : s*3+3], p.emb[s*3+1 : s*3+3]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) <= {r2}) AS hits FROM " + f"{_QM} q, {_PM} p, " + "{slices} GROUP BY qid, pid)"
 

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..operators import collection, evaluate, filters, index, probe, report, score
-from .engines import Params, _passing, search
-from .fixtures import MASK, SHARES, WIDTH
-from .q_engines import IMPUTED, _adaptive, _counts, _fde, _final, _ivf, _pass, _sql, _staged
+from .engines import Params, _codeword_lists, _passing, search
+from .fixtures import MASK, PRE, SHARES, SUB, WIDTH, Fixtures
+from .q_engines import IMPUTED, _adaptive, _book, _counts, _fde, _final, _ivf, _pass, _sql, _staged
 from .q_eval import _points, raw, _POINTS
-from .q_index import NC, _STAGE3, _stage3, q, r6
+from .q_index import _HITS, NC, _STAGE3, _stage3, q, r6
 from ..sources import readers
 
 P = Params()
@@ -93,8 +93,6 @@ def _(x):
 
 @q("T7_all_codewords", "SELECT qid, qt, s, count(*) AS n FROM rq, words GROUP BY ALL")
 def _(x):
-    from .engines import _codeword_lists
-
     return _codeword_lists(x, P, "all").groupBy("qid", "qt", "s").agg(F.count("*").alias("n"))
 
 
@@ -254,16 +252,37 @@ def _(x):
     return x.spark.createDataFrame(rows, "stage string, seconds double")
 
 
-@raw("V22_report")
+@raw("V22_report", f"{_POINTS}, r AS (SELECT row_number() OVER (ORDER BY engine, config) + 3 AS n, format('| {{}} | {{}} | {{:.4g}} | {{:.4g}} |', engine, config, lat, quality) AS line FROM pts) SELECT CAST(n AS INTEGER) AS n, line FROM (SELECT * FROM r UNION ALL SELECT unnest([0, 1, 2, 3]), unnest(['## Points', '', '| engine | config | lat | quality |', '|-|-|-|-|']))")
 def _(x):
     text = report.markdown(_points(x).orderBy("engine", "config"), "Points")
     return x.spark.createDataFrame([(i, line) for i, line in enumerate(text.splitlines())], "n int, line string")
 
 
-@raw("V24_codebook_sizes", f"{_POINTS}, t AS (SELECT round(quality, 1) AS target, config % 2 + 1 AS entries, quality FROM pts) SELECT target, max(quality) FILTER (WHERE entries = 1) AS \"1\", max(quality) FILTER (WHERE entries = 2) AS \"2\" FROM t GROUP BY target")
+#: Codewords a slice has in the sweep over codebook sizes.
+SIZES = (4, 16)
+
+
+def _size_sql(n: int) -> str:
+    """Recall, and the codewords that a query slice selects, of a codebook of ``n`` words a slice."""
+    own = PRE.replace("WHERE tok_id % 25 = 7)", f"WHERE tok_id % 25 = 7 AND floor(tok_id/25.0) < {n})")
+    run = f"({own}{_book(0, 'threshold', 1)})"
+    recall = f"SELECT avg(CASE WHEN r.pid IS NULL THEN 0.0 ELSE 1.0 END) FROM truth t LEFT JOIN {run} r USING (qid, pid)"
+    hit = f"SELECT row_number() OVER (PARTITION BY qid, qt, s ORDER BY round(hit, 9) DESC, eid) AS r FROM ({_HITS}) WHERE eid < {n} AND hit > 0 AND hit >= {P.tau}"
+    return f"SELECT {n} AS entries, ({recall}) AS recall, (SELECT count(*) FROM ({hit}) WHERE r <= {P.k_eids}) / (SELECT count(*) * {SUB} FROM rq) AS hits"
+
+
+@q("V24_codebook_sizes", ", z AS MATERIALIZED (" + " UNION ALL ".join(map(_size_sql, SIZES)) + ") " + " UNION ALL ".join(f"SELECT '{t}' AS target, " + ", ".join(f'round(max({t}) FILTER (WHERE entries = {n}), 6) AS "{n}"' for n in SIZES) + " FROM z" for t in ("recall", "hits")))
 def _(x):
-    d = _points(x).select(F.round("quality", 1).alias("target"), (F.col("config") % 2 + 1).alias("entries"), "quality")
-    return report.by_size(d, [1, 2])
+    out = None
+    for n in SIZES:
+        y = Fixtures(x.spark, x.dir, n)
+        recall = evaluate.truth_recall(search("E5_codebook", y, P), y.truth, y.queries, 10).agg(F.avg("recall").alias("quality")).withColumn("target", F.lit("recall"))
+        slices = y.rqtok.agg(F.count("*") * SUB).first()[0]
+        hits = _codeword_lists(y, P, "threshold").agg((F.count("*") / F.lit(slices)).alias("quality")).withColumn("target", F.lit("hits"))
+        d = recall.unionByName(hits).withColumn("entries", F.lit(n))
+        out = d if out is None else out.unionByName(d)
+    d = report.by_size(out, list(SIZES))
+    return d.select("target", *[r6(F.col(f"`{n}`")).alias(str(n)) for n in SIZES])
 
 
 @raw("V26_steps", "SELECT * FROM (VALUES ('build', 'skipped'), ('truth', 'done'), ('bench', 'done')) t(step, state)")

@@ -322,3 +322,50 @@ def test_binary_vectors(spark, tmp_path):
     (tmp_path / "bad.fvecs").write_bytes(np.array([5, 1], "<i4").tobytes())
     with pytest.raises(Exception, match="aren't vectors"):
         readers.fvecs(spark, f"{tmp_path}/bad.fvecs").collect()
+
+
+def test_trained_views(spark):
+    """A trained rotation turns tokens as numpy does; trained books are whole, stable and closer than picked ones of their size."""
+    from quillon.plans.engines import search
+    from quillon.plans.fixtures import ROT, SUB, Fixtures, Trained
+
+    x = Trained(spark, "/root/testdata/sf0.001", 8)
+    r = x.rotation
+    assert r.shape == (64, ROT) and np.allclose(r.T @ r, np.eye(ROT))
+    given = {t.tok_id: np.array(t.emb) for t in x.tok.select("tok_id", "emb").collect()}
+    for t in x.rtok.select("tok_id", "emb").collect():
+        want = given[t.tok_id] @ r
+        assert np.allclose(t.emb, want / np.linalg.norm(want))
+    words = {(w.s, w.eid): tuple(w.w) for w in x.codewords.collect()}
+    assert len(words) == SUB * 8 and words == {(w.s, w.eid): tuple(w.w) for w in index.train_codebooks(x.slices.select("s", "x").repartition(7), 8).collect()}
+    picked = Fixtures(spark, x.dir, 8).codewords
+    mse = lambda book: index.codebook_error(x.slices.select("s", "x"), book).agg(F.avg("mse")).first()[0]
+    assert mse(x.codewords) < mse(picked)
+    for engine in ("E5_codebook", "E9_rotated_ivf"):
+        recall = evaluate.truth_recall(search(engine, x, Params(nc=8, ndocs=100)), x.truth, x.queries, 10).agg(F.avg("recall")).first()[0]
+        assert recall > 0.5, (engine, recall)
+
+
+def test_shortlist_by_principal_directions(spark):
+    rng = np.random.default_rng(11)
+    low = rng.normal(size=(12, 3)) @ rng.normal(size=(3, 12))  # three directions hold everything
+    e = rng.normal(size=(80, 12)) @ low
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "pid long, emb array<double>")
+    q = p.where("pid < 6").withColumnRenamed("pid", "qid")
+    basis = np.linalg.svd(e, full_matrices=False)[2].T
+    got = lambda m: {r.qid: r.recall for r in diag.shortlist_recall(q, p, m, 5, 2, basis).collect()}
+    assert got(3) == dict.fromkeys(range(6), 1.0)
+    short, top = e @ basis[:, :1], lambda s, k: set(np.lexsort((np.arange(80), -np.round(s, 6)))[:k])
+    assert got(1) == {i: len(top(e @ e[i], 5) & top(short @ short[i], 10)) / 5 for i in range(6)}
+
+
+def test_signed_masks(spark):
+    d = spark.createDataFrame([(0,), (5,), (2**31 - 1,), (2**31,), (2**32 - 1,), (None,)], "m long")
+    assert [r.s for r in d.select(filters.signed32(F.col("m")).alias("s")).collect()] == [0, 5, 2**31 - 1, -(2**31), -1, None]
+
+
+def test_agreement_of_encodings(spark):
+    a = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 2, [0.0, 2.0]), (1, 3, [1.0, 1.0])], "qid long, tok_id long, emb array<double>")
+    b = spark.createDataFrame([(1, [2.0, 0.0]), (2, [1.0, 1.0])], "tok_id long, emb array<double>")
+    got = {r.qid: (r.least, r.same_count) for r in diag.agreement(a, b, "tok_id").collect()}
+    assert abs(got[0][0] - 0.5**0.5) < 1e-9 and got[0][1] is True and got[1] == (None, False)
