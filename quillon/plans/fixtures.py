@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, vec
@@ -142,12 +142,22 @@ class Trained(Fixtures):
     def rqtok(self) -> DataFrame:
         return index.rotated(self.qtok, self.rotation)
 
+    @property
+    def _tenth(self) -> Column:
+        """Slices that the books don't see; equal ones are on one side."""
+        return F.pmod(F.xxhash64("x"), F.lit(10)) == 0
+
     @cached_property
     def codewords(self) -> DataFrame:
         """Trained once; the driver holds SUB books of ``words`` (16 unless given) short vectors."""
-        book = index.train_codebooks(self.slices.select("s", "x"), self.words or 16)
+        book = index.train_codebooks(self.slices.where(~self._tenth).select("s", "x"), self.words or 16)
         return self.spark.createDataFrame(book.collect(), book.schema)
 
+    @cached_property
+    def errors(self) -> DataFrame:
+        """s, mse, rel_err of the books on the tenth of slices that they didn't see."""
+        return index.codebook_error(self.slices.where(self._tenth).select("s", "x"), self.codewords)
+
 
 DOT = "list_inner_product({}, {})"
 

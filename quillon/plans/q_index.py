@@ -9,7 +9,7 @@ from ..functions import codec, vec
 from ..operators import diag, fde, filters, index, probe, score
 from ..operators.matrix import best, exact_scan
 from .engines import Params, _codeword_lists
-from .fixtures import DIM, MASK, ROT, SUB, WEIGHTS, WIDTH, Fixtures, sql
+from .fixtures import DIM, MASK, ROT, SUB, WEIGHTS, WIDTH, Fixtures, Trained, sql
 from .q_engines import IMPUTED, NC, PLAIN, _adaptive, _counts, NE
 from .registry import register
 
@@ -572,6 +572,11 @@ def _(x):
     return index.codebook_error(_slices(x), x.codewords).select("s", r6(F.col("mse")).alias("mse"), r6(F.col("rel_err")).alias("rel_err"))
 
 
+@q("B4_held_out_error")
+def _(x):
+    return Trained(x.spark, x.dir).errors.select("s", r6(F.col("mse")).alias("mse"), r6(F.col("rel_err")).alias("rel_err"))
+
+
 @q("B5_codebook_index", "SELECT s, cid, eid, pid FROM postings")
 def _(x):
     return x.postings

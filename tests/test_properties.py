@@ -337,10 +337,16 @@ def test_trained_views(spark):
         want = given[t.tok_id] @ r
         assert np.allclose(t.emb, want / np.linalg.norm(want))
     words = {(w.s, w.eid): tuple(w.w) for w in x.codewords.collect()}
-    assert len(words) == SUB * 8 and words == {(w.s, w.eid): tuple(w.w) for w in index.train_codebooks(x.slices.select("s", "x").repartition(7), 8).collect()}
-    picked = Fixtures(spark, x.dir, 8).codewords
+    slices = [(t.s, np.array(t.x), t.tenth) for t in x.slices.select("s", "x", x._tenth.alias("tenth")).collect()]
+    assert len(words) == SUB * 8 and 0 < sum(t for _, _, t in slices) < len(slices) / 4
+    seen = spark.createDataFrame([(s, v.tolist()) for s, v, t in slices[::-1] if not t], "s int, x array<double>").repartition(7)
+    assert words == {(w.s, w.eid): tuple(w.w) for w in index.train_codebooks(seen, 8).collect()}
+    for e in x.errors.collect():
+        book = np.array([words[e.s, i] for i in range(8)])
+        off = [(((book - v) ** 2).sum(axis=1).min(), (v * v).sum()) for s, v, t in slices if t and s == e.s]
+        assert abs(e.mse - np.mean([d for d, _ in off])) < 1e-8 and abs(e.rel_err - sum(d for d, _ in off) / sum(n for _, n in off)) < 1e-6
     mse = lambda book: index.codebook_error(x.slices.select("s", "x"), book).agg(F.avg("mse")).first()[0]
-    assert mse(x.codewords) < mse(picked)
+    assert mse(x.codewords) < mse(Fixtures(spark, x.dir, 8).codewords)
     for engine in ("E5_codebook", "E9_rotated_ivf"):
         recall = evaluate.truth_recall(search(engine, x, Params(nc=8, ndocs=100)), x.truth, x.queries, 10).agg(F.avg("recall")).first()[0]
         assert recall > 0.5, (engine, recall)
