@@ -202,6 +202,16 @@ def test_encoder_takes_every_word(spark):
     assert collection.hashed_encoder(d, 8, most=32).count() == 32
 
 
+def test_encoder_by_single_coordinates(spark):
+    import hashlib
+
+    d = collection.hashed_words(spark.createDataFrame([(0, "a  b\nc d")], "pid long, text string"))
+    one = d.select("pos", "word", collection.hashed_sign(F.substring("h", 64, 1), 64).alias("last")).collect()
+    whole = {r.pos: r.emb for r in collection.hashed_encoder(spark.createDataFrame([(0, "a  b\nc d")], "pid long, text string"), 64).collect()}
+    assert {r.pos: r.last for r in one} == {i: e[63] for i, e in whole.items()}
+    assert all(whole[r.pos] == [(-1) ** int(c, 16) / 8 for c in hashlib.sha256(r.word.encode()).hexdigest()] for r in one)
+
+
 def test_slice_hits_of_many_queries(spark):
     rng = np.random.default_rng(3)
     q, p = unit(rng, 1100, 4), unit(rng, 3, 4)
