@@ -101,6 +101,14 @@ def test_pid24_overflow(spark, pid):
         spark.createDataFrame([(pid,)], "p long").select(codec.pid24(F.col("p"))).collect()
 
 
+@pytest.mark.parametrize("pid", [0, 16777215, 16777216, 8111 * 10_256, (1 << 40) + 5, -1])
+def test_ids_beyond_24_bits(spark, pid):
+    """The low bytes come first, and nothing of a wide id is lost."""
+    b = spark.createDataFrame([(pid,)], "p long").select(codec.pid_bytes(F.col("p")).alias("b"))
+    r = b.select("b", codec.pid_bytes_read(F.col("b")).alias("p")).first()
+    assert r.p == pid and r.b[:3] == [pid >> 8 * i & 255 for i in range(3)] and len(r.b) == (3 if 0 <= pid < 1 << 24 else 8)
+
+
 def test_pad_rows():
     assert index.real_tokens(1512, 1000) == 1000
     assert index.real_tokens(1000, 1000) == 1000
