@@ -393,3 +393,79 @@ def test_agreement_of_encodings(spark):
     b = spark.createDataFrame([(1, [2.0, 0.0]), (2, [1.0, 1.0])], "tok_id long, emb array<double>")
     got = {r.qid: (r.least, r.same_count) for r in diag.agreement(a, b, "tok_id").collect()}
     assert abs(got[0][0] - 0.5**0.5) < 1e-9 and got[0][1] is True and got[1] == (None, False)
+
+
+def _words(spark, rng, n=150):
+    w = rng.normal(size=(2, n, 3)).round(1)  # coarse, so that many are equal
+    return w, spark.createDataFrame([(s, i, v.tolist()) for s in range(2) for i, v in enumerate(w[s])], "s int, eid int, w array<double>")
+
+
+@pytest.mark.parametrize("most", [8_000_000, 200])
+def test_codewords_of_slices(spark, monkeypatch, most):
+    """Nearest ones, best hits and quantiles of distances as all pairs give them, with books in one block and in several."""
+    from quillon.operators import codebook, matrix
+
+    monkeypatch.setattr(matrix, "MOST_HELD", most)
+    rng = np.random.default_rng(12)
+    w, book = _words(spark, rng)
+    x = rng.normal(size=(70, 6)).round(1)
+    slices = spark.createDataFrame([(i, s, x[i, 3 * s : 3 * s + 3].tolist()) for i in range(70) for s in range(2)] * 2, "i long, s int, x array<double>").repartition(3)
+    d2 = np.array([np.round(((x[:, None, 3 * s : 3 * s + 3] - w[s][None]) ** 2).sum(axis=2), 9) for s in range(2)])
+    got = codebook.nearest(slices, book).collect()
+    assert len(got) == 280 and all((r.eid, r.d2) == (int(d2[r.s, r.i].argmin()), d2[r.s, r.i].min()) for r in got)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, emb array<double>").repartition(3)
+    hit = np.array([x[:, 3 * s : 3 * s + 3] @ w[s].T for s in range(2)])
+    for k, least in ((4, 0.0), (3, 0.9), (None, None)):
+        order = {(s, i): [e for e in np.lexsort((np.arange(150), -np.round(hit[s, i], 9)))[:k] if least is None or (hit[s, i, e] > 0 and hit[s, i, e] >= least)] for s in range(2) for i in range(70)}
+        want = {(i, s, int(e)) for (s, i), es in order.items() for e in es}
+        found = [(r.i, r.s, r.eid) for r in codebook.hits(rows, book, 2, 3, k, least).collect()]
+        assert len(found) == len(want) and set(found) == want
+    for part in (0.0, 0.25, 0.9, 1.0):
+        got = {r.s: r.r2 for r in codebook.quantile(rows.select("emb"), book, 2, 3, part).collect()}
+        assert got.keys() == {0, 1} and all(abs(got[s] - np.quantile(d2[s], part)) < 1e-8 for s in got)
+
+
+def test_best_of_wide_sides():
+    from quillon.operators import matrix
+
+    s = np.random.default_rng(13).normal(size=(40, 3001)).round(2)  # ties everywhere
+    for k in (1, 3, 20, 3001):
+        r, c = matrix.top(s, k)
+        assert (r == np.repeat(np.arange(40), k)).all()
+        assert (c.reshape(40, k) == np.argsort(-s, axis=1, kind="stable")[:, :k]).all()
+
+
+@pytest.mark.parametrize("most", [8_000_000, 64])
+def test_floors_and_interaction_without_full_rankings(spark, corpus, monkeypatch, most):
+    from quillon.operators import matrix
+
+    monkeypatch.setattr(matrix, "MOST_HELD", most)
+    toks, cen, qtok = corpus
+    c = np.array([r.emb for r in cen.orderBy("cid").collect()])
+    q = {k: np.array([r.emb for r in qtok.where(F.col("qid") == k).orderBy("qt").collect()]) for k in range(5)}
+    floors = {(r.qid, r.qt): r.floor for r in probe.with_floor(probe.plain(probe.ranked(qtok, cen, 3), 3), qtok, cen.where("cid % 2 = 0")).collect()}
+    for (k, t), f in floors.items():
+        s = c @ q[k][t]
+        assert abs(f - max(v for v in s[::2] if v < np.sort(s)[-3] - 1e-9)) < 1e-9
+    passages, queries = nested(toks, "pid", "pos"), nested(qtok, "qid", "qt")
+    codes = index.assign(toks, cen).cache()
+    of = {r.pid: sorted(r.c) for r in codes.groupBy("pid").agg(F.collect_set("cid").alias("c")).collect()}
+    cand = queries.select("qid").crossJoin(passages.select("pid")).where("(qid + pid) % 3 > 0")
+    got = score.interaction(cand, codes, queries, cen, 0.6).collect()
+    assert len(got) == cand.count()
+    for r in got:
+        s = q[r.qid] @ c[of[r.pid]].T
+        kept = s[:, s.max(axis=0) >= 0.6]
+        assert abs(r.approx - s.max(axis=1).sum()) < 1e-9 and abs(r.pruned - (kept.max(axis=1).sum() if kept.size else 0)) < 1e-9
+    a, b = ({(r.qid, r.pid): r.score for r in f(cand, queries, passages).collect()} for f in (score.rerank, score.rerank_many))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_hits_are_counted_in_place(spark):
+    rng = np.random.default_rng(14)
+    q, p = unit(rng, 30, 8), unit(rng, 50, 8)
+    qd, pd = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{n} long, emb array<double>") for m, n in ((q, "qid"), (p, "pid")))
+    hits = (np.round(((q[:, None] - p[None]) ** 2).reshape(30, 50, 4, 2).sum(axis=3), 9) <= 0.4).sum(axis=2)
+    truth = [(i, int(j)) for i in range(30) for j in np.argsort(-q[i] @ p.T)[:3]]
+    r = diag.hit_filter(qd, pd, 4, 2, 0.4, spark.createDataFrame(truth, "qid long, pid long"), 3).first()
+    assert abs(r.share - (hits >= 3).mean()) < 1e-12 and abs(r.recall - np.mean([hits[t] >= 3 for t in truth])) < 1e-12
