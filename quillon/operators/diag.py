@@ -77,11 +77,41 @@ def slice_hits(queries: DataFrame, points: DataFrame, subspaces: int, width: int
     return out
 
 
-def hit_filter(hits: DataFrame, truth: DataFrame, least: int) -> DataFrame:
-    """Share of points with ``least`` hits or more, and how many of the exact answers they hold."""
-    t = truth.select("qid", "pid").withColumn("t", F.lit(1))
-    d = hits.join(t, ["qid", "pid"], "left").withColumn("on", (F.col("hits") >= least).cast("int"))
-    return d.agg(F.avg("on").alias("share"), (F.sum(F.when(F.col("t") == 1, F.col("on"))) / F.sum("t")).alias("recall"))
+def hit_filter(queries: DataFrame, points: DataFrame, subspaces: int, width: int, radius2: float, truth: DataFrame, least: int) -> DataFrame:
+    """Share of (query, point) pairs with ``least`` hits or more, and of the exact answers (truth: qid, pid) among them.
+
+    Pairs are counted where they are made: a task sends a row of counts for each
+    batch; the hits of the exact answers are looked at again by themselves.
+    """
+    spark, out, n = ready(points.sparkSession).sparkContext, None, subspaces * width
+    cut = lambda d, k: d.select(F.col(k).cast("long").alias(k), F.slice("emb", 1, n).alias("emb"))
+    for block in held_blocks(cut(queries, "qid"), "qid", "emb"):
+        sent = spark.broadcast(block[1])
+
+        def run(batches, sent=sent):
+            q = sent.value.reshape(-1, subspaces, width)
+            off = ((q * q).sum(axis=2) - radius2 - 5e-10) / 2  # nearer by half a billionth still rounds to the radius
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    part, on = b.slice(at, 256), 0
+                    p = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, subspaces, width)
+                    half = (p * p).sum(axis=2) / 2
+                    for i in range(0, len(q), 2048):
+                        hits = np.zeros((len(q[i : i + 2048]), part.num_rows), np.int16)
+                        for s in range(subspaces):
+                            left = np.c_[q[i : i + 2048, s], off[i : i + 2048, s], np.ones(len(hits))]
+                            hits += left @ np.c_[p[:, s], -np.ones(part.num_rows), -half[:, s]].T >= 0
+                        on += int((hits >= least).sum())
+                    yield pa.RecordBatch.from_arrays([pa.array([on], pa.int64()), pa.array([part.num_rows * len(q)], pa.int64())], ["yes", "pairs"])
+
+        one = cut(points, "pid").select("emb").mapInArrow(run, "yes long, pairs long")
+        out = one if out is None else out.unionByName(one)
+    near = F.lit(0)
+    for s in range(subspaces):
+        near = near + (F.round(vec.l2(F.slice("_q", s * width + 1, width), F.slice("_p", s * width + 1, width)), 9) <= radius2).cast("int")
+    t = truth.select("qid", "pid").join(cut(queries, "qid").withColumnRenamed("emb", "_q"), "qid").join(cut(points, "pid").withColumnRenamed("emb", "_p"), "pid")
+    recall = t.agg(F.avg((near >= least).cast("int")).alias("recall"))
+    return out.agg((F.sum("yes") / F.sum("pairs")).alias("share")).join(F.broadcast(recall))  # a row each
 
 
 def stage1_recall(exact: DataFrame, got: DataFrame, rays: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..operators import collection, evaluate, filters, index, probe, report, score
 from .engines import Params, _codeword_lists, _passing, search
+from .engines import _staged as survivors
 from .fixtures import MASK, PRE, SHARES, SUB, WIDTH, Fixtures
 from .q_engines import IMPUTED, _adaptive, _book, _counts, _fde, _final, _ivf, _pass, _sql, _staged
 from .q_eval import _points, raw, _POINTS
@@ -135,8 +136,8 @@ def _(x):
 
 @q("P3_nonempty_ranks", f"{_counts(MASK)}, ne AS (SELECT qid, qt, cid, row_number() OVER (PARTITION BY qid, qt ORDER BY rn) AS rn FROM rk WHERE cid IN (SELECT cid FROM cnt WHERE pass > 0)) SELECT qid, qt, CAST(rn AS INTEGER) AS rn, cid FROM ne WHERE rn <= {NC}")
 def _(x):
-    d = probe.nonempty(probe.ranked(x.qtok, x.cen, x.cen.count()), probe.list_counts(x.ivf, _passing(x, MASK)))
-    return d.where(F.col("rn") <= NC).select("qid", "qt", "rn", "cid")
+    d = probe.ranked(x.qtok, probe.passing(x.cen, probe.list_counts(x.ivf, _passing(x, MASK))), NC)
+    return d.select("qid", "qt", "rn", "cid")
 
 
 @q("E25_rerank_only", f", c AS (SELECT DISTINCT qid, pid FROM rk JOIN ivf USING (cid) WHERE rn <= {P.ncells}), sc AS (SELECT qid, pid, score FROM c JOIN ms USING (qid, pid)) {_final('sc')}")
@@ -231,11 +232,15 @@ def _swept() -> str:
 
 @q("V16_filter_budget", _swept())
 def _(x):
+    """Engines that share survivors and exact scores of a budget share them here too."""
     out = None
-    for name in _SWEPT:
-        for nc, t, nd in BUDGETS:
-            d = search(name, x, Params(ncells=nc, threshold=t, ndocs=nd), MASK)
-            d = d.select(F.lit(name).alias("engine"), F.lit(nc).alias("ncells"), "qid", "rk", "pid", r6(F.col("score")).alias("score"))
+    for nc, t, nd in BUDGETS:
+        p = Params(ncells=nc, threshold=t, ndocs=nd)
+        late, early = (score.rerank_many(survivors(x, p, MASK, e), x.queries, x.passages) for e in (False, True))
+        first = score.top(late, ["qid"], "score", p.top_k).drop("rk").join(_passing(x, MASK), "pid", "left_semi")
+        for names, d in ((["E1_staged_post"], first), (["E3_staged_middle"], late.join(_passing(x, MASK), "pid", "left_semi")), (["E2_staged_early", "E4_staged_early_rerank"], early)):
+            d = score.top(d, ["qid"], "score", p.top_k).withColumn("engine", F.explode(F.array(*map(F.lit, names))))
+            d = d.select("engine", F.lit(nc).alias("ncells"), "qid", "rk", "pid", r6(F.col("score")).alias("score"))
             out = d if out is None else out.unionByName(d)
     return out
 
