@@ -469,3 +469,67 @@ def test_hits_are_counted_in_place(spark):
     truth = [(i, int(j)) for i in range(30) for j in np.argsort(-q[i] @ p.T)[:3]]
     r = diag.hit_filter(qd, pd, 4, 2, 0.4, spark.createDataFrame(truth, "qid long, pid long"), 3).first()
     assert abs(r.share - (hits >= 3).mean()) < 1e-12 and abs(r.recall - np.mean([hits[t] >= 3 for t in truth])) < 1e-12
+
+
+def test_products_in_single_precision_are_those_in_double():
+    from quillon.operators.matrix import top, top_products
+
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(900, 24))
+    m[300:600] = m[:300] + rng.choice([0, 3e-8, 4e-7], size=(300, 1))  # nearer than single precision tells
+    x = np.vstack([rng.normal(size=(50, 24)), m[:50]])
+    for scale in (1.0, 1e-4, 1e9, 1e200):
+        for k in (1, 4, 40, 900):
+            s = (x * scale) @ m.T
+            r, c = top(s, k)
+            got = top_products(x * scale, m, k)
+            assert (got[0] == r).all() and (got[1] == c).all()
+            assert np.allclose(got[2], s[r, c], rtol=1e-12)
+    assert (top_products(np.ones((3, 24)), np.ones((900, 24)), 2)[1] == [0, 1] * 3).all()
+
+
+
+@pytest.mark.parametrize("k", [3, 700])
+def test_scan_reads_passages_once(spark, monkeypatch, k):
+    from quillon.operators import matrix
+
+    monkeypatch.setattr(matrix, "WORK", 500)  # so that a task's best are merged, and leave, early
+    rng = np.random.default_rng(7)
+    t, u = np.round(rng.normal(size=(600, 2, 4)), 2), np.round(rng.normal(size=(300, 3, 4)), 2)
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(t)], "pid long, toks array<array<double>>").repartition(2)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "qid long, toks array<array<double>>")
+    d = exact_scan(p, q, k)
+    assert d._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    s = np.round(np.einsum("qad,pbd->qpab", u, t).max(axis=3).sum(axis=2), 6)
+    want = {(i, rk + 1): pid for i, row in enumerate(s) for rk, pid in enumerate(np.lexsort((np.arange(600), -row))[:k].tolist())}
+    assert {(r.qid, r.rk): r.pid for r in d.collect()} == want
+
+
+@pytest.mark.parametrize("held", [8_000_000, 40])
+def test_interaction_by_several_floors(spark, monkeypatch, held):
+    from quillon.operators import matrix, score
+
+    rng = np.random.default_rng(8)
+    cen = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(20, 4)))], "cid long, emb array<double>")
+    codes = spark.createDataFrame([(int(i), int(c)) for i in range(70_000, 70_060) for c in rng.integers(0, 20, 3)], "pid long, cid long")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(5, 2, 4)))], "qid long, toks array<array<double>>")
+    cand = queries.select("qid").crossJoin(codes.select("pid").distinct())
+    monkeypatch.setattr(matrix, "MOST_HELD", held)
+    floors = (0.5, 1.5, 9.0)
+    got = {(r.qid, r.pid): r for r in score.interaction(cand, codes, queries, cen, floors).collect()}
+    assert len(got) == 300
+    for i, least in enumerate(floors):
+        for r in score.interaction(cand, codes, queries, cen, least).collect():
+            assert got[r.qid, r.pid].pruned[i] == pytest.approx(r.pruned) and got[r.qid, r.pid].approx == pytest.approx(r.approx)
+
+
+
+def test_rerank_of_empty_passages(spark):
+    from quillon.operators import score
+
+    q = spark.createDataFrame([(0, [[1.0, 0.0], [0.0, 2.0]]), (1, [])], "qid long, toks array<array<double>>")
+    p = spark.createDataFrame([(0, [[3.0, 1.0], [0.0, 5.0]]), (1, [])], "pid long, toks array<array<double>>")
+    cand = q.select("qid").crossJoin(p.select("pid"))
+    d = score.rerank(cand, q, p)
+    assert {(r.qid, r.pid): r.score for r in d.collect()} == {(0, 0): 13.0, (0, 1): None, (1, 0): 0.0, (1, 1): 0.0}
+    assert "MapInArrow" in d._jdf.queryExecution().executedPlan().toString()
