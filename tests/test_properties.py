@@ -488,6 +488,22 @@ def test_products_in_single_precision_are_those_in_double():
     assert (top_products(np.ones((3, 24)), np.ones((900, 24)), 2)[1] == [0, 1] * 3).all()
 
 
+def test_hits_by_boxes_are_the_best_products():
+    from quillon.operators.codebook import Tree, _pruned
+
+    rng = np.random.default_rng(6)
+    w = np.vstack([rng.normal(size=(3000, 3)), np.zeros((40, 3))])
+    w[100:200] = w[:100]  # equal words: the lesser eid goes first
+    eids, x = rng.permutation(len(w)) * 7, np.vstack([rng.normal(size=(300, 3)), np.zeros((1, 3))])
+    order = np.argsort(eids)
+    eids, w = eids[order], w[order]
+    for k in (1, 4, 16):
+        r, e, v = _pruned(x, Tree(eids, w), k, 9)
+        h = np.round(x @ w.T, 9)
+        want = np.array([np.lexsort((eids, -row))[:k] for row in h])
+        assert (r == np.repeat(np.arange(len(x)), k)).all() and (e == eids[want].ravel()).all()
+        assert np.allclose(v, h[r, want.ravel()], atol=1e-8)
+
 
 @pytest.mark.parametrize("k", [3, 700])
 def test_scan_reads_passages_once(spark, monkeypatch, k):
