@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..operators import collection, evaluate, filters, index, probe, report, score
 from .engines import Params, _codeword_lists, _passing, search
-from .engines import _staged as survivors
 from .fixtures import MASK, PRE, SHARES, SUB, WIDTH, Fixtures
 from .q_engines import IMPUTED, _adaptive, _book, _counts, _fde, _final, _ivf, _pass, _sql, _staged
 from .q_eval import _points, raw, _POINTS
@@ -232,17 +231,26 @@ def _swept() -> str:
 
 @q("V16_filter_budget", _swept())
 def _(x):
-    """Engines that share survivors and exact scores of a budget share them here too."""
-    out = None
-    for nc, t, nd in BUDGETS:
-        p = Params(ncells=nc, threshold=t, ndocs=nd)
-        late, early = (score.rerank_many(survivors(x, p, MASK, e), x.queries, x.passages) for e in (False, True))
-        first = score.top(late, ["qid"], "score", p.top_k).drop("rk").join(_passing(x, MASK), "pid", "left_semi")
-        for names, d in ((["E1_staged_post"], first), (["E3_staged_middle"], late.join(_passing(x, MASK), "pid", "left_semi")), (["E2_staged_early", "E4_staged_early_rerank"], early)):
-            d = score.top(d, ["qid"], "score", p.top_k).withColumn("engine", F.explode(F.array(*map(F.lit, names))))
-            d = d.select("engine", F.lit(nc).alias("ncells"), "qid", "rk", "pid", r6(F.col("score")).alias("score"))
-            out = d if out is None else out.unionByName(d)
-    return out
+    """Candidates of the widest budget, with the fewest cells that reach each, serve all; so do their interaction and exact scores."""
+    least = F.min("rn").alias("cells")
+    tops = probe.ranked(x.qtok, x.cen, max(nc for nc, _, _ in BUDGETS)).groupBy("qid", "cid").agg(least)
+    cand = tops.join(x.ivf, "cid").groupBy("qid", "pid").agg(F.min("cells").alias("cells"))
+    both = score.interaction(cand, x.codes, x.queries, x.cen, tuple(t for _, t, _ in BUDGETS))
+    both = both.join(cand, ["qid", "pid"]).join(_passing(x, MASK).select("pid", F.lit(True).alias("ok")), "pid", "left").fillna(False, ["ok"])
+    runs = [(nc, nd, i, early) for i, (nc, _, nd) in enumerate(BUDGETS) for early in (False, True)]
+    in_run = [F.struct(F.lit(1 << n).alias("bit"), F.lit(nd).alias("nd"), F.col("pruned")[i].alias("pruned"), ((F.col("cells") <= nc) & (F.col("ok") if early else F.lit(True))).alias("on")) for n, (nc, nd, i, early) in enumerate(runs)]
+    each = both.withColumn("r", F.explode(F.array(*in_run))).where("r.on").select("qid", "pid", "ok", "approx", "r.*")
+    some = score.top(score.top(each, ["qid", "bit"], "pruned", F.col("nd")), ["qid", "bit"], "approx", F.greatest(F.lit(1), F.expr("nd div 4")))
+    passed = 1 << len(runs)
+    tag = F.bit_or(F.col("bit").bitwiseOR(F.when(F.col("ok"), passed).otherwise(0))).cast("long")
+    d = score.rerank_many(some.groupBy("qid", "pid").agg(tag.alias("tag")), x.queries, x.passages)
+    run = F.explode(F.array(*[F.struct(F.lit(1 << n).alias("bit"), F.lit(nc).alias("ncells"), F.lit(early).alias("early")) for n, (nc, _, _, early) in enumerate(runs)]))
+    d = d.withColumn("r", run).where(F.col("tag").bitwiseAND(F.col("r.bit")) != 0).select("qid", "pid", "score", (F.col("tag").bitwiseAND(F.lit(passed)) != 0).alias("ok"), "r.*")
+    d = score.top(d, ["qid", "bit"], "score", F.expr(f"{2**31 - 1}"), rank="of_all")
+    d = score.top(d.where("ok"), ["qid", "bit"], "score", P.top_k)  # a cut ranking's passing rows are the first that pass
+    names = F.when(F.col("early"), F.array(F.lit("E2_staged_early"), F.lit("E4_staged_early_rerank")))
+    names = names.when(F.col("of_all") <= P.top_k, F.array(F.lit("E1_staged_post"), F.lit("E3_staged_middle"))).otherwise(F.array(F.lit("E3_staged_middle")))
+    return d.select(F.explode(names).alias("engine"), "ncells", "qid", "rk", "pid", r6(F.col("score")).alias("score"))
 
 
 @raw("V18_stage_times")

@@ -539,6 +539,13 @@ def test_interaction_by_several_floors(spark, monkeypatch, held):
             assert got[r.qid, r.pid].pruned[i] == pytest.approx(r.pruned) and got[r.qid, r.pid].approx == pytest.approx(r.approx)
 
 
+def test_budget_sweep_takes_each_step_once(spark):
+    from quillon.plans import load, registry
+
+    load()
+    plan = registry.queries()["V16_filter_budget"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 8, plan.count("MapInArrow")
+
 
 def test_rerank_of_empty_passages(spark):
     from quillon.operators import score
