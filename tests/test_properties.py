@@ -471,9 +471,11 @@ def test_hits_are_counted_in_place(spark):
     assert abs(r.share - (hits >= 3).mean()) < 1e-12 and abs(r.recall - np.mean([hits[t] >= 3 for t in truth])) < 1e-12
 
 
-def test_products_in_single_precision_are_those_in_double():
+def test_products_in_single_precision_are_those_in_double(monkeypatch):
+    from quillon.operators import matrix
     from quillon.operators.matrix import top, top_products
 
+    monkeypatch.setattr(matrix, "TILE", 256)
     rng = np.random.default_rng(5)
     m = rng.normal(size=(900, 24))
     m[300:600] = m[:300] + rng.choice([0, 3e-8, 4e-7], size=(300, 1))  # nearer than single precision tells
@@ -556,3 +558,15 @@ def test_rerank_of_empty_passages(spark):
     d = score.rerank(cand, q, p)
     assert {(r.qid, r.pid): r.score for r in d.collect()} == {(0, 0): 13.0, (0, 1): None, (1, 0): 0.0, (1, 1): 0.0}
     assert "MapInArrow" in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_assignment_is_made_once_for_its_readers(spark):
+    from quillon.plans import fixtures
+
+    x = fixtures.Fixtures(spark, "/root/testdata/sf0.001")
+    d = x.ivf.join(x.codes.groupBy("pid").count(), "pid")
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation") == 2
+    n = d.count()
+    for _ in range(5):
+        fixtures.Fixtures(spark, "/root/testdata/sf0.001").codes
+    assert len(fixtures._KEPT) == 4 and d.count() == n
